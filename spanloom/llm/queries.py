@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, sharding, simhash, url_filter
+from . import decontaminate, near_embeddings, quality, secrets, sentencepiece_codec, sharding, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_path() -> str:
+    """The tokenizer file; its place is a parameter of the operator and known on the driver only."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), model_path())
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -33,5 +52,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_kd_sharding, op8_url_filter, op9_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sentencepiece, op3_quality, op4_secret_scan, op5_kd_sharding, op8_url_filter, op9_simhash, op10_decontamination)}
 ORACLES: dict[str, str] = {}
