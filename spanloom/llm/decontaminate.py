@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,18 +25,6 @@ K = 5
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
-class Hashes(dict):
-    """word -> 64-bit hash, remembered; emptied when it holds `most` words."""
-
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(FOLD).split() if text else []
 
@@ -53,14 +42,18 @@ def kgram_hashes(h: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the fingerprints: the rightmost least hash of every window of k-grams; one window if there are fewer."""
+    """Places of the fingerprints: whatever is the least hash of some window of k-grams (of all, if there are fewer)."""
     n = len(grams)
     if n == 0:
         return np.empty(0, np.int64)
-    if n <= window:
-        return np.array([n - 1 - int(np.argmin(grams[::-1]))])
-    shifted = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.unique(np.arange(n - window + 1) + window - 1 - np.argmin(shifted[:, ::-1], axis=1))
+    window = min(window, n)
+    least = grams[: n - window + 1].copy()  # of the window that starts there
+    for i in range(1, window):
+        np.minimum(least, grams[i : n - window + 1 + i], out=least)
+    most = np.zeros(n, np.uint64)  # the greatest of the leasts of the windows around a place
+    for i in range(window):
+        np.maximum(most[i : n - window + 1 + i], least, out=most[i : n - window + 1 + i])
+    return np.flatnonzero(most == grams)
 
 
 class Benchmark:
@@ -69,55 +62,70 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str | None]], length: int):
         self.length, self.words, self.short = length, {}, defaultdict(lambda: defaultdict(set))
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        memo = Hashes()
+        self.known: dict[bytes, int] = {}
         for number, (item, text) in enumerate(items):
             words = words_of(text)
             if 0 < len(words) < length:
                 self.short[len(words)][tuple(words)].add(item)
             elif words:
                 self.words[number] = (item, words)
-                h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+                self.known |= {w: xxhash.xxh64_intdigest(w) for w in words}
+                h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
                 grams = kgram_hashes(h)
                 for p in winnow(grams, length - K + 1):
                     self.places[int(grams[p])].append((number, int(p)))
         self.hashes = np.array(sorted(self.places), np.uint64)
         self.firsts = {n: {w[0] for w in group} for n, group in self.short.items()}
 
-    def match(self, words: list[bytes], memo: Hashes) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and the items with an occurring window."""
-        n, length = len(words), self.length
-        hit, items = np.zeros(n, bool), set()
-        if n >= length and len(self.hashes):
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    def match(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray | None, set[int]]]:
+        """For each text, which words are hit (None: none) and the items with an occurring window."""
+        out: list[tuple[np.ndarray | None, set[int]]] = [(None, set()) for _ in texts]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        if len(self.hashes) and ends[-1] >= self.length:
+            # a word of no item can be in no shared span: all such words have one hash
+            h = np.fromiter(map(self.known.get, chain.from_iterable(texts), repeat(0)), np.uint64, ends[-1])
             grams = kgram_hashes(h)
-            at = winnow(grams, length - K + 1)
-            at = at[np.isin(grams[at], self.hashes)]
+            for back in range(1, K):  # a k-gram that runs over the end of its text is none
+                across = ends - back
+                grams[across[(across >= 0) & (across < len(grams))]] = np.uint64(2**64 - 1)
+            at = winnow(grams, self.length - K + 1)
+            own = grams[at]
+            where = np.searchsorted(self.hashes, own)
+            where[where == len(self.hashes)] = 0
+            at = at[self.hashes[where] == own]
             done = set()
-            for p in at.tolist():
+            for p, i in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
+                place = p - int(ends[i] - sizes[i])
                 for number, q in self.places[int(grams[p])]:
-                    item, theirs = self.words[number]
-                    if (number, p - q) in done:
-                        continue
-                    done.add((number, p - q))
-                    self.extend(words, theirs, p, q, hit, items, item)
+                    if (i, number, place - q) not in done:
+                        done.add((i, number, place - q))
+                        item, theirs = self.words[number]
+                        out[i] = self.extend(texts[i], theirs, place, q, out[i], item)
         for size, group in self.short.items():
             first = self.firsts[size]
-            for i, w in enumerate(words):
-                if w in first and (found := group.get(tuple(words[i : i + size]))):
-                    hit[i : i + size] = True
-                    items |= found
-        return hit, items
-
-    def extend(self, ours: list[bytes], theirs: list[bytes], p: int, q: int, hit: np.ndarray, items: set[int], item: int) -> None:
-        """All maximal equal runs on the diagonal of a hit; those of at least `length` words count."""
+            for k, words in enumerate(texts):
+                for i in [i for i, w in enumerate(words) if w in first]:
+                    if found := group.get(tuple(words[i : i + size])):
+                        hit, items = out[k]
+                        hit = np.zeros(len(words), bool) if hit is None else hit
+                        hit[i : i + size] = True
+                        out[k] = hit, items | found
+        return out
+
+    def extend(self, ours: list[bytes], theirs: list[bytes], p: int, q: int, before: tuple[np.ndarray | None, set[int]], item: int) -> tuple[np.ndarray | None, set[int]]:
+        """Adds the equal runs around a hit, on its diagonal, that have at least `length` words."""
+        hit, items = before
         back = min(p, q)
         i, j, run = p - back, q - back, 0
         while i < len(ours) and j < len(theirs):
             run = run + 1 if ours[i] == theirs[j] else 0
             if run >= self.length:
+                hit = np.zeros(len(ours), bool) if hit is None else hit
                 hit[i - (run if run == self.length else 1) + 1 : i + 1] = True
                 items.add(item)
             i, j = i + 1, j + 1
+        return hit, items
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -153,19 +161,21 @@ def counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def matcher(items: list[tuple[int, str]], length: int, parts: bool = False):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bench, memo = Benchmark(items, length), Hashes()
+        bench = Benchmark(items, length)
         for f in frames:
-            rows = []
-            for t in f["text"]:
-                words = words_of(t)
-                hit, found = bench.match(words, memo)
-                rows.append((words, hit, found))
+            texts = f["text"].tolist()
+            sizes, rows = [], []
+            for lo in range(0, len(texts), 200):
+                part = [words_of(t) for t in texts[lo : lo + 200]]
+                sizes += map(len, part)
+                rows += bench.match(part)
             if parts:
-                yield pd.DataFrame({"key": f["key"], "hits": [np.flatnonzero(h).astype("int32") for _, h, _ in rows], "ids": [sorted(i) for _, _, i in rows]}).loc[lambda x: x["ids"].map(len) > 0]
+                keep = [i for i, (_, ids) in enumerate(rows) if ids]
+                yield pd.DataFrame({"key": f["key"].to_numpy()[keep], "hits": pd.Series([np.flatnonzero(rows[i][0]).tolist() for i in keep], dtype=object), "ids": pd.Series([sorted(rows[i][1]) for i in keep], dtype=object)})
                 continue
             yield pd.DataFrame({
-                "doc_id": f["doc_id"].astype("Int64"), "n_words": [len(w) for w, _, _ in rows], "n_hit": [int(h.sum()) for _, h, _ in rows],
-                "n_items": [len(i) for _, _, i in rows], "item_ids": [",".join(sorted(map(str, i))) for _, _, i in rows], "contaminated": [bool(i) for _, _, i in rows],
+                "doc_id": f["doc_id"].astype("Int64"), "n_words": sizes, "n_hit": [0 if h is None else int(h.sum()) for h, _ in rows],
+                "n_items": [len(i) for _, i in rows], "item_ids": [",".join(sorted(map(str, i))) for _, i in rows], "contaminated": [bool(i) for _, i in rows],
             })
 
     return run
