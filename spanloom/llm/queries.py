@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_embeddings, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
+from . import decontaminate, near_embeddings, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents")))
 
@@ -56,5 +60,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sentencepiece, op3_quality, op4_secret_scan, op5_kd_sharding, op7_substring_dedup, op8_url_filter, op9_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sentencepiece, op3_quality, op4_secret_scan, op5_kd_sharding, op6_suffix_dedup, op7_substring_dedup, op8_url_filter, op9_simhash, op10_decontamination)}
 ORACLES: dict[str, str] = {}
