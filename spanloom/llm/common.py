@@ -38,6 +38,13 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def without(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """df without the rows whose key is in ids(key); the ids are broadcast only if they are counted to be few. Null keys stay."""
+    ids = materialize(ids.select(key).distinct())
+    few = ids.count() <= broadcast_rows
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(a, b) longs -> (node, component), the component being its smallest node.
 

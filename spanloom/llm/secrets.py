@@ -15,7 +15,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, text_rows
+from .common import ascii_lower, materialize
 
 
 @dataclass(frozen=True)
@@ -169,14 +169,15 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
 
-def find_secrets(df: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """One row per input row: doc_id, text, found: array of (start, order, end, kind) sorted by start, then rule order.
+def find_secrets(df: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, text (and with carry all input columns as struct row), found: array of (start, order, end, kind) sorted by start, then rule order.
 
     Candidates are broadcast only if they are counted to be at most broadcast_rows (about 24 bytes each), else joined by
     a shuffle. A null text is empty and has no spans; repeated rows each keep their own row; other columns are ignored.
     """
     rules = BASE + MORE if rules is None else rules
-    docs = text_rows(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *row).withColumn("key", F.xxhash64("text"))
     keyed = [r for r in rules if literals(r.regex)]
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     if keyed:
@@ -190,7 +191,7 @@ def find_secrets(df: DataFrame, rules: list[Rule] | None = None, id_col: str = "
         else:
             hit = F.col("text").rlike(r.regex)
         parts.append(F.when(hit, spans_of(F.col("text"), r, order)).otherwise(none))
-    return docs.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+    return docs.select("doc_id", "text", *(["row"] if carry else []), F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def mask_secrets(df: DataFrame, mask: str = "[SECRET]") -> DataFrame:
