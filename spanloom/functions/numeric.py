@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -70,8 +71,6 @@ def splitter_table(spark: SparkSession, most: int = 4096) -> DataFrame:
 
 def custom_plan(sizes: list[int]):
     """A pandas function hh -> (counts per size, ascending) for size lists without the divisibility that splitter_plan() uses."""
-    import pandas as pd
-
     sizes = sorted(sizes)
 
     def best(hh: int) -> list[int]:

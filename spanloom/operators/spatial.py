@@ -61,7 +61,7 @@ def within(points: DataFrame, segs: DataFrame, reach: float, key: str = "fid") -
 
 def nearest(points: DataFrame, segs: DataFrame, reach: float, keep: list[str], key: str = "fid") -> DataFrame:
     """key, d, fx, fy and the kept columns of the nearest segment within reach; ties by the kept columns, then by sequence."""
-    c = point_segment_candidates(points.select(key, "x", "y"), segs, reach)
+    c = point_segment_candidates(points.select(key, "x", "y"), segs.select("seq", "ax", "ay", "bx", "by", *keep), reach)
     order = F.struct(F.round("d", 9), *keep, "seq")
     best = c.groupBy(key).agg(F.min_by(F.struct("d", "fx", "fy", *keep), order).alias("b"))
     return best.select(key, "b.*")
