@@ -81,48 +81,57 @@ def anchor_rows(least: int):
 
 
 def context_rows(least: int, shared: np.ndarray | None):
-    """Contexts of the anchors that are in `shared`, or at the places in column wanted."""
+    """Contexts (hashed, with their place) of the anchors that are in `shared`, or at the places in column wanted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = least - GRAM
+        reach, digest = least - GRAM, xxhash.xxh3_64_intdigest
         for frame in frames:
-            for f, data in batches(frame, 500_000):
+            for f, data in batches(frame):
+                h, text, pos = anchors(data, least)
                 if shared is not None:
-                    h, text, pos = anchors(data, least)
                     ok = np.isin(h, shared)
-                    h, text, pos = h[ok].view(np.int64), text[ok], pos[ok]
                 else:
-                    h, text, pos = anchors(data, least)
                     places = [set(w.tolist()) for w in f["wanted"]]
                     ok = np.fromiter((p in places[t] for t, p in zip(text.tolist(), pos.tolist(), strict=True)), bool, len(h))
-                    h, text, pos = h[ok].view(np.int64), text[ok], pos[ok]
+                h, text, pos = h[ok].view(np.int64), text[ok], pos[ok]
                 left = np.minimum(pos, reach)
-                parts = [data[t][p - r : p + GRAM + reach] for t, p, r in zip(text.tolist(), pos.tolist(), left.tolist(), strict=True)]
-                ctx = [xxhash.xxh3_128_digest(c) for c in parts]
-                sums = np.frombuffer(b"".join(ctx), np.int64).reshape(-1, 2)
-                ids = f["doc_id"].astype("Int64").array[text]
-                yield pd.DataFrame({"h": h, "c1": sums[:, 0], "c2": sums[:, 1] ^ left, "doc_id": ids, "dkey": f["dkey"].to_numpy()[text], "start": (pos - left).astype(np.int32), "size": np.fromiter(map(len, parts), np.int32, len(parts)), "context": pd.Series(parts, dtype=object)})
+                size = np.minimum(pos + GRAM + reach, np.array([len(d) for d in data])[text]) - pos + left
+                start = pos - left
+                c = np.fromiter((digest(data[t][s : s + n], r) for t, s, n, r in zip(text.tolist(), start.tolist(), size.tolist(), left.tolist(), strict=True)), np.uint64, len(h))
+                yield pd.DataFrame({"h": h, "c": c.view(np.int64), "doc_id": f["doc_id"].astype("Int64").array[text], "dkey": f["dkey"].to_numpy()[text], "start": start.astype(np.int32), "size": size.astype(np.int32)})
 
     return run
 
 
-def suffix_array(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order and rank of all suffixes, by doubling the compared length."""
-    n, base = len(codes), int(codes.max()) + 2
-    first = 4 if base < 50_000 else 2
-    padded = np.concatenate((codes + 1, np.zeros(first, np.int64)))
-    key = np.zeros(n, np.int64)
-    for i in range(first):
+def cut_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the contexts listed in column heads of each text."""
+    for frame in frames:
+        for lo in range(0, len(frame), 200):
+            rows = []
+            for doc, dkey, text, heads in zip(*(frame[c].iloc[lo : lo + 200] for c in ("doc_id", "dkey", "text", "heads")), strict=True):
+                data, doc = text.encode("utf-8", "replace"), None if pd.isna(doc) else int(doc)
+                rows += [(x["h"], x["m"], doc, dkey, x["start"], data[x["start"] : x["start"] + x["size"]]) for x in heads]
+            yield pd.DataFrame(rows, columns=["h", "m", "doc_id", "dkey", "start", "context"]).astype({"doc_id": "Int64"})
+
+
+def sorted_suffixes(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """All suffixes in the order of their first `least` codes at least, where in that order prefixes of the returned length
+    begin to differ, and that length: the greatest up to `least` that the doubling of the compared length has met."""
+    n, base = len(codes), int(codes.max()) + 1
+    width = max(k for k in range(1, least + 1) if k == 1 or base**k < 2**62)
+    padded, key = np.concatenate((codes, np.zeros(width, np.int64))), np.zeros(n, np.int64)
+    for i in range(width):
         key = key * base + padded[i : n + i]
-    width = first
+    edge, known = np.ones(n + 1, bool), 0
     while True:
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, np.int64)
-        fresh[0], fresh[1:] = 0, np.cumsum(np.diff(key[order]) != 0)
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if width > longest or fresh[-1] == n - 1:
-            return order, rank
+        order = np.argsort(key)
+        new = np.diff(key[order]) != 0
+        if width <= least:
+            edge[1:n], known = new, width
+        if width >= least:
+            return order, edge, known
+        rank = np.zeros(n, np.int64)
+        rank[order[1:]] = np.cumsum(new)
         key = rank * (n + 1)
         key[: n - width] += rank[width:] + 1
         width *= 2
@@ -130,91 +139,114 @@ def suffix_array(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarra
 
 def equal_strings(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal strings of `least` bytes: group, context and offset of every member of a group of two or more."""
-    m, sizes = len(contexts), np.array([len(c) for c in contexts])
+    sizes = np.array([len(c) for c in contexts])
     begin = np.cumsum(sizes + 1) - sizes - 1
-    codes = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + m
-    codes[begin + sizes] = np.arange(m)  # every separator differs, so no prefix runs over one
-    order, rank = suffix_array(codes, int(sizes.max()) + 1)
+    codes = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
+    codes[begin + sizes] = 0  # a separator; strings that hold one are left out at the end
+    codes = (np.cumsum(np.bincount(codes, minlength=257) > 0) - 1)[codes]
+    order, edge, level = sorted_suffixes(codes, least)
     n = len(codes)
-    after = rank[(order + 1) % n]  # in the transform's terms, the row that a backward step leads here from
-    first = codes[order]
-    edge = np.ones(n + 1, bool)  # edge[i]: rows i - 1 and i share fewer characters than the level
-    edge[1:n] = first[1:] != first[:-1]
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     live = np.flatnonzero(~edge[:n])
-    for _ in range(least - 1):
+    after = row[(order + 1) % n]  # in the transform's terms, the row that a backward step leads here from
+    a, b = after[live - 1], after[live]
+    for _ in range(least - level):
         if not len(live):
             break
-        seen = np.cumsum(edge[:n])
-        a, b = after[live - 1], after[live]
+        seen = np.cumsum(edge[:n], dtype=np.int32)
         # a string's interval, put one character further back, splits where the interval it comes from is split
-        split = seen[np.maximum(a, b)] != seen[np.minimum(a, b)]
+        split = seen[a] != seen[b]
         edge[live[split]] = True
-        live = live[~split]
-    if not len(live):
-        return (np.empty(0, np.int64),) * 3
+        live, a, b = live[~split], a[~split], b[~split]
     keep = ~edge[:n]
     keep[:-1] |= keep[1:]
     rows = np.flatnonzero(keep)
     group, at = np.cumsum(edge[:n])[rows], order[rows]
     owner = np.searchsorted(begin, at, side="right") - 1
-    return group, owner, at - begin[owner]
+    whole = at - begin[owner] + least <= sizes[owner]  # equal strings hold a separator all or none
+    return group[whole], owner[whole], (at - begin[owner])[whole]
+
 
+def covered(least: int, batch: int = 128_000):
+    """dkey, start, stop: starts (stop exclusive) of strings that also start earlier; anchors are expanded a few at a time."""
 
-def covered(least: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """dkey, start, stop: starts (stop exclusive) of strings that also start earlier."""
-        group, owner, offset = equal_strings(frame["context"].to_list(), least)
-        known = frame["doc_id"].notna().to_numpy()
-        doc, dkey = frame["doc_id"].fillna(0).to_numpy(np.int64), frame["dkey"].to_numpy(np.int64)
-        where = frame["start"].to_numpy(np.int64)[owner] + offset
-        ids, has = doc[owner], known[owner]
-        order = np.lexsort((where, ids, has, group))  # a null id comes first
-        g, w, d, k, key = group[order], where[order], ids[order], has[order], dkey[owner][order]
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, int)
-        lead = np.repeat(head, np.diff([*head, len(g)]))
-        late = (w != w[lead]) | (d != d[lead]) | (k != k[lead])
-        key, w = key[late], w[late]
+        frame = frame.sort_values("h", kind="stable").reset_index(drop=True)
+        h, held = frame["h"].to_numpy(), np.cumsum(frame["context"].map(len).to_numpy())
+        ends = np.flatnonzero(np.concatenate((h[1:] != h[:-1], [True]))) + 1
+        lo, keys, starts = 0, [], []
+        for end in ends.tolist():
+            if held[end - 1] - (held[lo - 1] if lo else 0) >= batch or end == len(frame):
+                key, w = late_starts(frame.iloc[lo:end], least)
+                keys.append(key)
+                starts.append(w)
+                lo = end
+        key, w = np.concatenate(keys), np.concatenate(starts)
         order = np.lexsort((w, key))
         key, w = key[order], w[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (w[1:] > w[:-1] + 1))) if len(w) else np.empty(0, bool)
         at = np.flatnonzero(new)
-        return pd.DataFrame({"dkey": key[at], "start": w[at].astype(np.int32), "stop": (w[np.concatenate((at[1:], [len(w)])).astype(int) - 1] + 1).astype(np.int32)}) if len(w) else pd.DataFrame({"dkey": np.empty(0, np.int64), "start": np.empty(0, np.int32), "stop": np.empty(0, np.int32)})
+        last = np.concatenate((at[1:], [len(w)])).astype(int) - 1 if len(w) else at
+        return pd.DataFrame({"dkey": key[at], "start": w[at].astype(np.int32), "stop": (w[last] + 1).astype(np.int32)})
 
     return run
 
 
+def late_starts(frame: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place of every string of these contexts that another of them holds earlier."""
+    group, owner, offset = equal_strings(frame["context"].to_list(), least)
+    known = frame["doc_id"].notna().to_numpy()
+    doc, dkey = frame["doc_id"].fillna(0).to_numpy(np.int64), frame["dkey"].to_numpy(np.int64)
+    where = frame["start"].to_numpy(np.int64)[owner] + offset
+    ids, has = doc[owner], known[owner]
+    order = np.lexsort((where, ids, has, group))  # a null id comes first
+    g, w, d, k, key = group[order], where[order], ids[order], has[order], dkey[owner][order]
+    head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, int)
+    lead = np.repeat(head, np.diff([*head, len(g)]))
+    late = (w != w[lead]) | (d != d[lead]) | (k != k[lead])
+    return key[late], w[late]
+
+
+def place_order(doc_id: str = "doc_id", start: str = "start"):
+    """(doc_id, start) as one number that orders like the pair; a null id comes first."""
+    doc = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit("-9300000000000000000").cast("decimal(20,0)"))
+    return (doc * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col(start)).cast("decimal(38,0)")
+
+
 def repeat_starts(docs: DataFrame, least: int, shared_bound: int = 4_000_000, hot: int = 20_000, task_bytes: int = 2_000_000) -> DataFrame:
     """(dkey, start, stop) ranges of starts whose strings of `least` bytes start earlier too; ranges may overlap."""
     spark = docs.sparkSession
-    texts = docs
-    found = texts.mapInPandas(anchor_rows(least), "h long, dkey long, pos int")
+    found = docs.mapInPandas(anchor_rows(least), "h long, dkey long, pos int")
     shared = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     n = shared.count()
-    schema = "h long, c1 long, c2 long, doc_id long, dkey long, start int, size int, context binary"
+    schema = "h long, c long, doc_id long, dkey long, start int, size int"
     if n <= shared_bound:  # 8 bytes each
         known = np.sort(shared.toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if n else np.empty(0, np.uint64)
         sent = spark.sparkContext.broadcast(known)
-        contexts = texts.mapInPandas(lambda frames: context_rows(least, sent.value)(frames), schema)
+        contexts = docs.mapInPandas(lambda frames: context_rows(least, sent.value)(frames), schema)
     else:
         wanted = found.join(shared, "h").groupBy("dkey").agg(F.collect_set("pos").alias("wanted"))
-        contexts = texts.join(wanted, "dkey").mapInPandas(context_rows(least, None), schema)
-    contexts = materialize(contexts.withColumn("order", F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit("-10000000000000000000").cast("decimal(38,0)")) * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col("start")).withColumn("order", F.col("order").cast("decimal(38,0)")))
-    first = contexts.groupBy("h", "c1", "c2").agg(F.min("order").alias("first"))
-    first = materialize(first)
-    again = contexts.select("h", "c1", "c2", "order", "dkey", "start", "size").join(first, ["h", "c1", "c2"])
-    whole = again.where("order > first").select("dkey", "start", (F.col("start") + F.col("size") - (least - 1)).cast("int").alias("stop")).where("stop > start")
-    several = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    heads = contexts.join(first.join(several, "h").select("h", "c1", "c2", F.col("first").alias("order"), "n"), ["h", "c1", "c2", "order"])
-    heads = materialize(heads.dropDuplicates(["h", "c1", "c2"]))
-    total = heads.where(F.col("n") <= hot).agg(F.sum("size")).first()[0] or 0
+        contexts = docs.join(wanted, "dkey").mapInPandas(context_rows(least, None), schema)
+    contexts = materialize(contexts).withColumn("order", place_order())
+    first = contexts.groupBy("h", "c").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    several = first.groupBy("h").agg(F.count("*").alias("m"))
+    first = materialize(first.join(several, "h").where("n > 1 OR m > 1").select("h", "c", "first", "m"))
+    met = contexts.join(first, ["h", "c"]).withColumn("again", F.col("order") > F.col("first")).where("again OR m > 1")
+    met = materialize(met.select("h", "m", "dkey", "start", "size", "again"))
+    whole = met.where("again").select("dkey", "start", (F.col("start") + F.col("size") - (least - 1)).cast("int").alias("stop")).where("stop > start")
+    heads = met.where("NOT again").groupBy("dkey").agg(F.collect_set(F.struct("h", "m", "start", "size")).alias("heads"))
+    total = met.where(f"NOT again AND m <= {hot}").agg(F.sum("size")).first()[0] or 0
+    heads = materialize(docs.join(heads, "dkey").mapInPandas(cut_contexts, "h long, m long, doc_id long, dkey long, start int, context binary"))
     buckets = max(1, total // task_bytes)
-    bwt = heads.where(F.col("n") <= hot).select(F.pmod("h", F.lit(buckets)).alias("bucket"), "doc_id", "dkey", "start", "context").groupBy("bucket").applyInPandas(covered(least), "dkey long, start int, stop int")
+    bwt = heads.where(F.col("m") <= hot).select(F.pmod("h", F.lit(buckets)).alias("bucket"), "h", "doc_id", "dkey", "start", "context").groupBy("bucket").applyInPandas(covered(least), "dkey long, start int, stop int")
     # anchors with very many contexts: the strings themselves are keys of a partially aggregated minimum
-    spread = heads.where(F.col("n") > hot).select("dkey", "start", "order", "context", F.explode(F.sequence(F.lit(0), F.col("size") - least)).alias("at")) if heads.where(F.col("n") > hot).limit(1).count() else None
-    if spread is None:
+    crowded = heads.where(F.col("m") > hot)
+    if crowded.isEmpty():
         return whole.union(bwt)
+    spread = crowded.select("dkey", "start", place_order().alias("order"), "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - least)).alias("at"))
     spread = spread.select("dkey", (F.col("start") + F.col("at")).alias("start"), (F.col("order") + F.col("at")).cast("decimal(38,0)").alias("order"), F.expr(f"substring(context, at + 1, {least})").alias("string"))
-    least_of = spread.groupBy("string").agg(F.min("order").alias("first"))
+    least_of = materialize(spread.groupBy("string").agg(F.min("order").alias("first")))
     far = spread.join(least_of, "string").where("order > first").select("dkey", "start", (F.col("start") + 1).cast("int").alias("stop"))
     return whole.union(bwt).union(far)
 
