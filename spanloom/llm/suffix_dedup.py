@@ -222,7 +222,7 @@ def repeat_starts(docs: DataFrame, least: int, shared_bound: int = 4_000_000, ho
     n = shared.count()
     schema = "h long, c long, doc_id long, dkey long, start int, size int"
     if n <= shared_bound:  # 8 bytes each
-        known = np.sort(shared.toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if n else np.empty(0, np.uint64)
+        known = np.sort(shared.toArrow()["h"].to_numpy().view(np.uint64)) if n else np.empty(0, np.uint64)
         sent = spark.sparkContext.broadcast(known)
         contexts = docs.mapInPandas(lambda frames: context_rows(least, sent.value)(frames), schema)
     else:
