@@ -89,7 +89,8 @@ def context_rows(least: int, shared: np.ndarray | None):
             for f, data in batches(frame):
                 h, text, pos = anchors(data, least)
                 if shared is not None:
-                    ok = np.isin(h, shared)
+                    at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+                    ok = shared[at] == h if len(shared) else np.zeros(len(h), bool)
                 else:
                     places = [set(w.tolist()) for w in f["wanted"]]
                     ok = np.fromiter((p in places[t] for t, p in zip(text.tolist(), pos.tolist(), strict=True)), bool, len(h))
@@ -168,7 +169,7 @@ def equal_strings(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.nda
     return group[whole], owner[whole], (at - begin[owner])[whole]
 
 
-def covered(least: int, batch: int = 128_000):
+def covered(least: int, batch: int = 48_000):
     """dkey, start, stop: starts (stop exclusive) of strings that also start earlier; anchors are expanded a few at a time."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
