@@ -32,7 +32,7 @@ def layer(spark: SparkSession, source: DataFrame | str) -> DataFrame | None:
     """A frame, a view or table by name, or a Parquet, CSV or JSON path; null if there is none."""
     if isinstance(source, DataFrame):
         return source
-    if spark.catalog.tableExists(source):
+    if "/" not in source and spark.catalog.tableExists(source):
         return spark.table(source)
     kind = source.rsplit(".", 1)[-1].lower()
     try:
