@@ -3,7 +3,9 @@
 Distinct vectors are dealt to overlapping cluster shards. Each shard builds a robust-pruned graph; the adjacency lists of
 a vector from all its shards are united; then each shard searches for all of its vectors from the medoid, greedily until a
 beam settles, and expands every result in range along the graph. Similarities are verified in double precision, and
-recall is audited against brute force on a bounded set of queries; too low a recall repeats the search with more overlap.
+recall is audited against brute force on a bounded set of queries, over all links and as the mean of the queries' own
+recalls; too low a recall repeats the search with more overlap. If that does not help, as in a dense group that is cut over
+many shards, vectors are compared without a graph: each with every shard that can hold a link of it.
 """
 
 from __future__ import annotations
@@ -188,7 +190,8 @@ def links_of(floor: float, beam: int):
 
 
 def audit(vectors: DataFrame, found: DataFrame, floor: float, queries: int = 1000) -> float:
-    """Recall of links against brute force: a bounded set of query vectors against all vectors, in blocks."""
+    """Recall against brute force, a bounded set of query vectors against all vectors, in blocks: the lesser of the share of
+    all their links and the mean share of each query's own links, so that neither dense groups nor single pairs hide the other."""
     ask = vectors.orderBy(F.xxhash64("id")).limit(queries).join(found, "id", "left").select("id", "v", F.coalesce("links", F.lit(0)).alias("links")).toPandas()
     if not len(ask):
         return 1.0
@@ -202,17 +205,77 @@ def audit(vectors: DataFrame, found: DataFrame, floor: float, queries: int = 100
         yield pd.DataFrame({"id": own, "true": total})
 
     true = vectors.mapInPandas(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true")).toPandas()
-    both = ask.merge(true, on="id")
-    return float(np.minimum(both["links"], both["true"]).sum() / both["true"].sum()) if both["true"].any() else 1.0
+    both = ask.merge(true, on="id").query("true > 0")
+    hit = np.minimum(both["links"], both["true"])
+    return float(min(hit.sum() / both["true"].sum(), (hit / both["true"]).mean())) if len(both) else 1.0
 
 
-def search_all(vectors: DataFrame, rows: int, floor: float, overlap: int, beam: int) -> DataFrame:
-    """id, links, least for every distinct vector (id, copies, v); several rows per id, to be summed and united."""
+def sampled_centres(vectors: DataFrame, rows: int) -> np.ndarray:
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("id", F.lit(1))).select("v").limit(SAMPLE_ROWS).toPandas()
     k = max(1, min(MAX_CENTRES, rows // SHARD_ROWS, len(sample)))
-    c = centres(unit(sample["v"]), k) if len(sample) else np.zeros((1, 1), np.float32)
-    placed = materialize(dealt(vectors, c, overlap))
+    return centres(unit(sample["v"]), k) if len(sample) else np.zeros((1, 1), np.float32)
+
+
+def compared(floor: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """links_of() for one block of queries against one block of data, by all similarities in double precision."""
+        data, ask = frame[~frame["ask"]], frame[frame["ask"]]
+        asked, ids, copies = ask["id"].to_numpy(), data["id"].to_numpy(), data["copies"].to_numpy()
+        if not len(data) or not len(ask):
+            return pd.DataFrame({"id": asked, "links": 0, "least": asked})
+        x, q = unit(data["v"]), unit(ask["v"])
+        found = np.concatenate([q[lo : lo + 256] @ x.T >= floor for lo in range(0, len(q), 256)]) & (asked[:, None] != ids[None, :])
+        both = np.unique(np.concatenate((asked, ids)))
+        least, a, b = np.arange(len(both), dtype=np.int32), np.searchsorted(both, asked), np.searchsorted(both, ids)
+        while True:
+            new = least.copy()
+            np.minimum.at(new, a, np.where(found, least[b], len(both)).min(axis=1).astype(np.int32))
+            np.minimum.at(new, b, np.where(found, least[a][:, None], len(both)).min(axis=0).astype(np.int32))
+            if (new == least).all():
+                break
+            least = new
+        out = pd.DataFrame({"id": asked, "links": found @ copies, "least": both[least[a]]})
+        more = ~np.isin(ids, asked) & (both[least[b]] != ids)
+        return pd.concat([out, pd.DataFrame({"id": ids[more], "links": 0, "least": both[least[b[more]]]})], ignore_index=True)
+
+    return run
+
+
+def compare_all(cells: DataFrame, floor: float) -> DataFrame:
+    """(cell, ask, id, copies, v) -> id, links, least: the queries (ask) of a cell with all data of the cell, block against block."""
+    blocks = cells.groupBy("cell").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK_ROWS), F.lit(1)).cast("int").alias(n) for n, c in (("asks", F.col("ask")), ("datas", ~F.col("ask")))])
+    placed = cells.join(F.broadcast(blocks), "cell")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = placed.withColumn("x", F.explode(F.when(F.col("ask"), F.array(own("asks"))).otherwise(every("asks")))).withColumn("y", F.explode(F.when(F.col("ask"), every("datas")).otherwise(F.array(own("datas")))))
+    return placed.select("cell", "x", "y", "ask", "id", "copies", "v").groupBy("cell", "x", "y").applyInPandas(compared(floor), "id long, links long, least long")
+
+
+def reached(vectors: DataFrame, rows: int, floor: float, reach: float) -> DataFrame:
+    """search_all() without a graph: each vector is data of the shard of its nearest centre c and asks every shard that can
+    hold a link of it. Its partner is nearer to that shard's centre d, so it lies beyond the plane between c and d; at an angle of
+    arccos(floor) that is at most sin(arccos(floor)) away. reach is the share of this distance; at 1 no link is left out."""
+    c = sampled_centres(vectors, rows)
+    apart = np.sqrt(np.maximum((c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * c @ c.T, 0))
+    most = reach * np.sqrt(1 - floor**2)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                sims = unit(f["v"]).astype(np.float32) @ c.T
+                home = np.argmax(sims, axis=1)
+                near = sims[np.arange(len(f)), home][:, None] - sims <= most * apart[home] + 1e-4
+                yield f.assign(home=home.astype("int32"), shards=[np.flatnonzero(r).astype("int32") for r in near])
+
+    placed = materialize(vectors.mapInPandas(run, "id long, copies long, v array<float>, home int, shards array<int>"))
+    data = placed.select(F.col("home").alias("cell"), F.lit(False).alias("ask"), "id", "copies", "v")
+    return compare_all(data.union(placed.select(F.explode("shards"), F.lit(True), "id", "copies", "v")), floor)
+
+
+def search_all(vectors: DataFrame, rows: int, floor: float, overlap: int, beam: int) -> DataFrame:
+    """id, links, least for every distinct vector (id, copies, v); several rows per id, to be summed and united."""
+    placed = materialize(dealt(vectors, sampled_centres(vectors, rows), overlap))
     spread = placed.select("id", "copies", "v", "shards", F.explode("shards").alias("shard"))
     blocks = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # MAX_CENTRES rows at most
     spread = spread.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -227,11 +290,24 @@ def search_all(vectors: DataFrame, rows: int, floor: float, overlap: int, beam:
     return work.select("shard", "block", "other", "role", "id", "copies", "v", "shards", "near").groupBy("shard", "block", "other").applyInPandas(links_of(floor, beam), "id long, links long, least long")
 
 
+def searched(vectors: DataFrame, rows: int, floor: float, recall: float) -> DataFrame:
+    """The first search over vectors of one length whose audited recall suffices; the last one is exact."""
+    for overlap, beam in ((2, 32), (3, 64), (4, 128)):
+        hits = materialize(search_all(vectors, rows, floor, overlap, beam))
+        if audit(vectors, hits.groupBy("id").agg(F.sum("links").alias("links")), floor) >= recall:
+            return hits
+    hits = materialize(reached(vectors, rows, floor, 0.5))
+    if audit(vectors, hits.groupBy("id").agg(F.sum("links").alias("links")), floor) >= recall:
+        return hits
+    return materialize(reached(vectors, rows, floor, 1.0))
+
+
 def near_vectors(df: DataFrame, floor: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.98) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Equal vectors are searched for once and counted as often as they occur. Null, empty, zero and non-finite vectors link
-    with nothing; only vectors of one length are compared (the most frequent length; others link with equal rows only).
+    with nothing; vectors of each length are compared among themselves. Lengths of at most SAMPLE_ROWS vectors, but for the
+    most frequent one, are compared without a graph.
     Repeated rows count as vectors of their own. Other columns are ignored.
     """
     v = F.col(f"`{vector_col}`").cast("array<float>")
@@ -240,14 +316,13 @@ def near_vectors(df: DataFrame, floor: float = 0.95, id_col: str = "vec_id", vec
     rows = materialize(rows.withColumn("v", F.when(fit, F.col("v"))))
     distinct = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     distinct = materialize(distinct.select("id", "copies", "v"))
-    lengths = distinct.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    vectors = distinct.where(F.size("v") == (lengths["n"] if lengths else 0))
-    total = lengths["count"] if lengths else 0
-    for overlap, beam in ((2, 32), (3, 64), (4, 128)):
-        hits = materialize(search_all(vectors, total, floor, overlap, beam))
-        found = hits.groupBy("id").agg(F.sum("links").alias("links"))
-        if audit(vectors, found, floor) >= recall:
-            break
+    lengths = distinct.groupBy(F.size("v").alias("n")).count()
+    large = lengths.where(F.col("count") > SAMPLE_ROWS).union(lengths.orderBy(F.desc("count"), "n").limit(1)).distinct().collect()
+    rest = distinct.where(~F.size("v").isin([r["n"] for r in large])).withColumn("cell", F.size("v"))
+    hits = materialize(compare_all(rest.withColumn("ask", F.explode(F.array(F.lit(False), F.lit(True)))), floor))
+    for r in large:
+        hits = hits.union(searched(distinct.where(F.size("v") == r["n"]), r["count"], floor, recall))
+    found = hits.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(hits.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")))
     named = distinct.join(found, "id", "left").join(comps, distinct["id"] == comps["node"], "left")
     named = materialize(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))

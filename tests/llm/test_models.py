@@ -48,6 +48,20 @@ def test_blocks_of_one_shard_find_the_same(spark, monkeypatch):
     assert all(r[1] == 29 for r in whole)
 
 
+def test_dense_group_over_many_shards_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(near_embeddings, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(6)
+    rows = np.concatenate((np.eye(16)[0] + rng.normal(scale=0.04, size=(800, 16)), rng.normal(size=(400, 16)))).astype(np.float32)
+    short = [(5000 + i, [1.0, 0.01 * i, 0.0]) for i in range(5)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + short, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_embeddings.near_vectors(df).collect()}
+    x = near_embeddings.unit(rows)
+    true = (x @ x.T >= 0.95).sum(axis=1) - 1
+    ours = np.array([got[i].n_links for i in range(len(x))])
+    assert (ours <= true).all() and np.mean(ours[true > 0] / true[true > 0]) >= 0.98 and ours.sum() >= 0.98 * true.sum()
+    assert [(got[i].n_links, got[i].component_id) for i, _ in short] == [(4, 5000)] * 5
+
+
 @pytest.fixture(scope="module")
 def codec():
     return sentencepiece_codec.Codec(sentencepiece_codec.read_model(MODEL))
