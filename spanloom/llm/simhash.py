@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -75,18 +76,30 @@ def simhash_groups(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LANES = 4  # 64-bit lanes of a long fingerprint
+TABLES_AT_ONCE = 6  # bounds the shuffled files of near_copies()
 
 
-def long_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """LANES * 64 bits over the set of word shingles, as longs; zeros without words."""
+def tuned(width: int, similarity: float, recall: float) -> int:
+    """The least number of tables of `width` bits that brings a pair of that Jaccard similarity within 2 bits in one of them with that probability."""
+    p = differing(similarity)
+    met = sum(comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(3))
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - met)))
+
+
+def differing(similarity: float) -> float:
+    """Probability that a bit differs in a pair of that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def long_fingerprint(text: str | None, shingle: int, count: int) -> np.ndarray:
+    """count * 64 bits over the set of word shingles, as longs; zeros without words."""
     grams = np.array(sorted(shingle_set(text, shingle)), np.uint64)
     if not len(grams):
-        return np.zeros(LANES, np.int64)
-    lanes = [(grams ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F) for k in range(1, LANES + 1)]
+        return np.zeros(count, np.int64)
+    lanes = [(grams ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F) for k in range(1, count + 1)]
     h = np.stack([(x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) for x in lanes], axis=1)
     h ^= h >> np.uint64(29)
-    bits = np.zeros(LANES * 64, np.int64)
+    bits = np.zeros(count * 64, np.int64)
     for lo in range(0, len(h), 4096):
         bits += np.unpackbits(h[lo : lo + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(bits * 2 > len(h), bitorder="little").view(np.int64)
@@ -103,32 +116,54 @@ def shingle_set(text: str | None, shingle: int) -> set[int]:
     return {digest(line[a:b]) for a, b in zip((stops - lengths)[:n].tolist(), stops[min(shingle, len(words)) - 1 :].tolist(), strict=True)}
 
 
-def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep: for every document in a group of near copies, the smallest doc_id of the group.
 
     A pair of that similarity differs in more bits than a ball of a 64-bit fingerprint can hold, so a long fingerprint is cut
     into tables of short ones; in each table the ball hashing of ball_links() runs on the short fingerprints. What
     collides is first judged by all bits of the long fingerprints, then verified by the exact Jaccard similarity of the sets
     of word shingles. The bits of a table grow with the logarithm of the number of documents, so chance collisions stay
-    in proportion. Documents of equal long fingerprints are compared like any others. Null and empty texts are left
+    in proportion; the number of tables and the length of the fingerprint follow, so that a pair of that similarity meets
+    in a ball with probability `recall` (for independent bits) at any number of documents. Documents of equal long fingerprints are compared like any others. Null and empty texts are left
     alone, as are null ids; repeated ids are one document; other columns are ignored.
     """
     docs = text_rows(df, id_col, text_col).where("text != '' AND doc_id IS NOT NULL")
 
+    width = min(60, max(24, int(np.ceil(np.log2(max(2, docs.count())))) + 7))
+    tables = tuned(width, similarity, recall)
+    lanes = -(-tables * width // 64)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            fps = np.stack([long_fingerprint(t, shingle) for t in f["text"]]) if len(f) else np.zeros((0, LANES), np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"]} | {f"f{k}": fps[:, k] for k in range(LANES)})
+            fps = np.stack([long_fingerprint(t, shingle, lanes) for t in f["text"]]) if len(f) else np.zeros((0, lanes), np.int64)
+            yield pd.DataFrame({"doc_id": f["doc_id"]} | {f"f{k}": fps[:, k] for k in range(lanes)})
 
-    names = [f"f{k}" for k in range(LANES)]
+    names = [f"f{k}" for k in range(lanes)]
     marked = materialize(docs.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
     # equal fingerprints: one stands for all, each of the others is a candidate with it
     lead = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")))
     same = marked.join(lead.where("n > 1"), names).where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    total = lead.count()
-    width = min(60, max(24, int(np.ceil(np.log2(max(2, total)))) + 7))
-    cut = lambda t: short(names, t * LANES * 64 // tables, width)
-    sent = lead.select("lead", F.posexplode(F.array(*[cut(t) for t in range(tables)])).alias("table", "fp"))
+    close = same
+    for lo in range(0, tables, TABLES_AT_ONCE):
+        close = close.union(materialize(star_pairs(lead, names, range(lo, min(tables, lo + TABLES_AT_ONCE)), width, tolerance(similarity, lanes * 64))))
+    close = materialize(close.distinct())
+    wanted = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "doc_id")
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"], "grams": pd.Series([sorted(x - 2**64 if x >= 2**63 else x for x in shingle_set(t, shingle)) for t in f["text"]], dtype=object)})
+
+    grams = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]))
+    both = close.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    near = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b")
+    return connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("keep"))
+
+
+def star_pairs(lead: DataFrame, names: list[str], tables: range, width: int, most: int) -> DataFrame:
+    """(a, b): documents that these tables bring together and whose long fingerprints differ in `most` bits at most."""
+    cut = lambda t: short(names, t * width, width)
+    sent = lead.select("lead", F.posexplode(F.array(*[cut(t) for t in tables])).alias("table", "fp"))
     own = sent.groupBy("table", "fp").agg(F.min("lead").alias("centre"), F.count("*").alias("n"))
     inner = sent.join(own.where("n > 1"), ["table", "fp"]).where("lead != centre").select(F.col("lead").alias("a"), F.col("centre").alias("b"))
     one = F.lit(1).cast("long")
@@ -145,32 +180,19 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, tables
     pairs = inner.union(outer).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left, right = lead.select(F.col("lead").alias("a"), F.struct(*names).alias("fa")), lead.select(F.col("lead").alias("b"), F.struct(*names).alias("fb"))
     apart = sum((F.bit_count(F.col(f"fa.{n}").bitwiseXOR(F.col(f"fb.{n}"))) for n in names), F.lit(0))
-    close = pairs.join(left, "a").join(right, "b").where(apart <= tolerance(similarity)).select("a", "b")
-    close = materialize(close.union(same).distinct())
-    wanted = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "doc_id")
-
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "grams": pd.Series([sorted(x - 2**64 if x >= 2**63 else x for x in shingle_set(t, shingle)) for t in f["text"]], dtype=object)})
-
-    grams = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]))
-    both = close.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    near = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b")
-    return connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("keep"))
+    return pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
 
 
-def tolerance(similarity: float) -> int:
+def tolerance(similarity: float, bits: int) -> int:
     """Bits in which fingerprints of a pair of that Jaccard similarity may differ: the mean and four deviations."""
-    bits = LANES * 64
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    p = differing(similarity)
     return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
 
 
 def short(names: list[str], first: int, width: int):
-    """width bits of the long fingerprint from bit `first` on, around its end."""
-    lane, shift = first // 64 % LANES, first % 64
+    """width bits of the long fingerprint from bit `first` on."""
+    lane, shift = first // 64, first % 64
     low = F.shiftrightunsigned(names[lane], shift) if shift else F.col(names[lane])
     if shift + width > 64:
-        low = low.bitwiseOR(F.shiftleft(names[(lane + 1) % LANES], 64 - shift))
+        low = low.bitwiseOR(F.shiftleft(names[lane + 1], 64 - shift))
     return low.bitwiseAND(F.lit((1 << width) - 1).cast("long"))

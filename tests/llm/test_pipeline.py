@@ -52,6 +52,19 @@ def test_near_copies_match_all_pairs(spark):
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
+def test_near_copies_at_the_required_similarity_are_found(spark):
+    rng, docs = random.Random(12), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for i in range(600):
+        w = [word() for _ in range(300)]
+        docs.append((2 * i, " ".join(w)))
+        for k in range(20, 300, 50):  # six words, five shingles each: Jaccard 266 / 326
+            w[k] = word()
+        docs.append((2 * i + 1, " ".join(w)))
+    got = dict(simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert all(keep == i // 2 * 2 for i, keep in got.items()) and len(got) >= 2 * 0.99 * 600
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(8)
     docs = texts(5)
