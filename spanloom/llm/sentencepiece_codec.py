@@ -2,14 +2,12 @@
 
 A text is normalised by repeatedly taking the longest prefix that the model's compiled character map knows (a double-array
 trie over UTF-8 bytes) and noting for every normalised byte where it came from. Pieces partition the normalised text, so
-each piece projects to a span of original bytes. Where no piece of a BPE model holds a word mark after its first
-characters, words are segmented one by one and remembered; the result is the same as for the whole text.
+each piece projects to a span of original bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -24,6 +22,7 @@ from .common import text_rows
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
+PART = 200_000  # characters encoded in one call of the library
 
 
 class CharacterMap:
@@ -57,22 +56,26 @@ class CharacterMap:
 
 
 class Codec:
-    """Encoder and decoder of one model; remembers at most `most` words."""
+    """Encoder and decoder of one model.
 
-    def __init__(self, model: bytes, most: int = 250_000):
+    The library segments and names the pieces; where they come from is worked out here: the character map's longest prefixes
+    give the normalised bytes and their alignment with the source, and the pieces, which partition the normalised bytes,
+    are projected through it.
+    """
+
+    def __init__(self, model: bytes):
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         spec = proto.normalizer_spec
         self.map, self.squeeze, self.dummy = CharacterMap(spec.precompiled_charsmap), spec.remove_extra_whitespaces, spec.add_dummy_prefix
         byte = {i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
-        self.width = [1 if i in byte else len(p.piece.encode()) for i, p in enumerate(proto.pieces)]
-        self.by_word = proto.trainer_spec.model_type == 2 and not self.map.units and not self.squeeze and self.dummy and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
-        self.mark, self.end, self.most = self.lib.piece_to_id(MARK), self.lib.eos_id(), most
-        self.known: dict[str, tuple] = {}
+        self.width = np.array([1 if i in byte else len(p.piece.encode()) for i, p in enumerate(proto.pieces)])
+        self.decimal = [str(i) for i in range(len(proto.pieces))]
+        self.end = self.lib.eos_id()
 
     def normalised(self, text: str) -> tuple[bytes, list[int]]:
-        """The normalised bytes, and for each of them and the end the source byte it starts at."""
+        """The normalised bytes, and for each of them the source byte it starts at."""
         data, at, out, source = text.encode("utf-8", "replace"), 0, bytearray(), []
         spaces = self.squeeze
         if self.dummy and data.strip(b" " if self.squeeze else b""):
@@ -90,58 +93,57 @@ class Codec:
             at += taken
         while self.squeeze and out.endswith(MARK_BYTES):
             del out[-3:], source[-3:]
-        return bytes(out), [*source, len(data)]
-
-    def project(self, text: str, ids: list[int]) -> list[int]:
-        """Source bytes of each piece of a text that was encoded as a whole, from its start."""
-        norm, source = self.normalised(text)
-        if sum(widths := [self.width[i] for i in ids]) != len(norm):  # an unknown piece: ask the library how long it is
-            widths = [len(p.piece.encode()) for p in self.lib.encode(text, out_type="immutable_proto").pieces]
-        ends = np.cumsum(widths)
-        stops = [source[min(e, len(norm))] for e in ends.tolist()]
-        if stops:
-            stops[-1] = source[-1]
-        return np.diff([0, *stops]).tolist()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for w, ids in zip(fresh, self.lib.encode(fresh, num_threads=1), strict=True):
-            ids = ids or [self.mark]
-            self.known[w] = (ids, " ".join(map(str, ids)), self.word_widths(w, ids))
-
-    def word_widths(self, word: str, ids: list[int]) -> list[int]:
-        """Source bytes of a word's pieces, without the mark before it."""
-        if self.map.units or " " in word or MARK in word:
-            return self.project(word, ids)
-        widths = [self.width[i] for i in ids]  # without a map and inner spaces the bytes are the source's
-        return [widths[0] - len(MARK_BYTES), *widths[1:]] if sum(widths) == len(word.encode()) + len(MARK_BYTES) else self.project(word, ids)
+        return bytes(out), source
+
+    def alignment(self, texts: list[str], parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts laid end to end: the source byte of every normalised byte, counted in its own text, and each text's normalised size.
+
+        With an empty character map every character is its own longest prefix: only spaces widen, to the mark.
+        """
+        if self.map.units or self.squeeze:
+            sources = [self.normalised(t)[1] for t in texts]
+            sizes = np.fromiter(map(len, sources), np.int64, len(texts))
+            return np.fromiter(chain.from_iterable(sources), np.int64, sizes.sum()), sizes
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), np.uint8)
+        width = np.where(data == 0x20, len(MARK_BYTES), 1)
+        if self.dummy:
+            width[begin[sizes > 0]] += len(MARK_BYTES)  # the mark before a text lies at its first byte
+        before = np.concatenate(([0], np.cumsum(width)))
+        return np.repeat(np.arange(len(data)) - np.repeat(begin, sizes), width), before[begin + sizes] - before[begin]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """For each text, its ids with the end id, and the source byte where each piece but the end id stops."""
+        lo = held = 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= PART or i == len(texts) - 1:
+                yield from self.encode_part([t or "" for t in texts[lo : i + 1]])
+                lo, held = i + 1, 0
+
+    def encode_part(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        parts, ids = [t.encode("utf-8", "replace") for t in texts], self.lib.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        width = self.width[np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())]
+        source, norm = self.alignment(texts, parts)
+        last = np.cumsum(counts)
+        before = np.concatenate(([0], np.cumsum(width)))
+        for i in np.flatnonzero(before[last] - before[last - counts] != norm).tolist():  # an unknown piece: ask the library how long it is
+            width[last[i] - counts[i] : last[i]] = [len(p.piece.encode()) for p in self.lib.encode(texts[i], out_type="immutable_proto").pieces]
+        stops = np.concatenate((source, [0]))[np.minimum(np.cumsum(width), len(source))]
+        some = counts > 0
+        stops[last[some] - 1] = np.fromiter(map(len, parts), np.int64, len(parts))[some]
+        for own, a, b in zip(ids, (last - counts).tolist(), last.tolist(), strict=True):
+            own.append(self.end)
+            yield own, stops[a:b]
 
     def encode(self, text: str | None) -> tuple[list[int], str, np.ndarray]:
-        """ids with the end id, the same joined by spaces, and the source byte where each piece but the end id stops."""
-        if not text:
-            return [self.end], str(self.end), np.empty(0, np.int64)
-        if not self.by_word:
-            ids = self.lib.encode(text)
-            return [*ids, self.end], " ".join(map(str, [*ids, self.end])), np.cumsum(np.array(self.project(text, ids), np.int64))
-        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            units = re.findall(f"[ {MARK}]+[^ {MARK}]*", " " + text)
-            words, marks = [u[1:] for u in units], [0, *(len(u[0].encode()) for u in units[1:])]
-        else:
-            words = text.split(" ")
-            marks = None
-        if missing := set(words).difference(self.known):
-            self.learn(missing)
-            if any(w not in self.known for w in words):  # the memory was emptied on the way
-                self.learn(set(words))
-        got = [self.known[w] for w in words]
-        ids = [*chain.from_iterable([g[0] for g in got]), self.end]
-        counts = np.fromiter((len(g[0]) for g in got), np.int64, len(got))
-        widths = np.fromiter(chain.from_iterable([g[2] for g in got]), np.int64, len(ids) - 1)
-        starts = np.cumsum(counts) - counts
-        widths[starts[1:]] += 1 if marks is None else np.array(marks[1:], np.int64)
-        return ids, " ".join([*(g[1] for g in got), str(self.end)]), np.cumsum(widths)
+        """ids with the end id, the same joined by spaces, and the stops of encode_all()."""
+        ((ids, stops),) = self.encode_all([text])
+        return ids, self.joined(ids), stops
+
+    def joined(self, ids: list[int]) -> str:
+        return " ".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
@@ -163,8 +165,8 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         for f in frames:
             for part in range(0, len(f), 500):
                 p = f.iloc[part : part + 500]
-                rows = [codec.encode(t) for t in p["text"]]
-                stops = [r[2].astype("int32") for r in rows]
+                rows = list(codec.encode_all(p["text"].tolist()))
+                stops = [r[1].astype("int32") for r in rows]
                 yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64").array, "ids": [np.array(r[0], "int32") for r in rows], "starts": [np.concatenate(([0], s[:-1])).astype("int32") if len(s) else s for s in stops], "stops": stops})
 
     return text_rows(df, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, starts array<int>, stops array<int>")
@@ -195,9 +197,8 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         codec = Codec(model)
         for f in frames:
             rows = []
-            for t in f["text"]:
-                ids, joined, stops = codec.encode(t)
-                rows.append((len(ids), sha(joined.encode()), sha(codec.decode(ids).encode()), int(stops[-1]) if len(stops) else 0, sha(stops.tobytes())))
+            for ids, stops in codec.encode_all(f["text"].tolist()):
+                rows.append((len(ids), sha(codec.joined(ids).encode()), sha(codec.decode(ids).encode()), int(stops[-1]) if len(stops) else 0, sha(stops.tobytes())))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "spans_sha256"])
             out.insert(0, "doc_id", f["doc_id"].astype("Int64").array)
             yield out

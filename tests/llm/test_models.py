@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from sentencepiece import sentencepiece_model_pb2
 
 from spanloom.llm import near_embeddings, quality, sentencepiece_codec
 
@@ -110,8 +111,8 @@ def build_map(rules: dict[bytes, bytes]) -> bytes:
             place(prefix + bytes([c]), base ^ c)
 
     place(b"", 0)
-    size = max(used) + 257
-    return struct.pack("<I", size * 4) + struct.pack(f"<{size}I", *(units.get(i, 0x7F) for i in range(size))) + texts
+    size = (max(used) + 512) // 256 * 256
+    return struct.pack("<I", size * 4) + struct.pack(f"<{size}I", *(units.get(i, 0xFF) for i in range(size))) + texts
 
 
 def test_longest_prefix_of_the_character_map():
@@ -120,6 +121,26 @@ def test_longest_prefix_of_the_character_map():
     assert m.longest("éz".encode(), 0) == (b"e", 2) and m.longest("zé漢".encode(), 3) == ("漢".encode(), 3)
 
 
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_a_model_with_a_character_map(squeeze):
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(sentencepiece_codec.read_model(MODEL))
+    proto.normalizer_spec.precompiled_charsmap = build_map({b"A": b"a", "é".encode(): b"e", "ﬁ".encode(): b"fi", "　".encode(): b" ", b"\t": b" ", b"xyz": b"y", b"xy": b"q", b"\x01": b""})
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    codec = sentencepiece_codec.Codec(proto.SerializeToString())
+    rng = random.Random(3)
+    parts = ["A", "b", " ", "  ", "é", "ﬁ", "　", "\t", "xyz", "xy", "x", "\x01", "漢", "the", "😀", "▁"]
+    texts = ["", "ﬁA xyz", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800))]
+    for text, (ids, stops) in zip(texts, codec.encode_all(texts), strict=True):
+        norm, source = codec.normalised(text)
+        assert ids == codec.lib.encode(text, add_eos=True) and norm.decode() == codec.lib.normalize(text).replace(" ", "▁")
+        assert len(norm) == len(source) == sum(codec.width[ids[:-1]])
+        assert [*source, 0][: len(norm)] == sorted(source) and (np.diff(stops) >= 0).all() and (not len(stops) or stops[-1] == len(text.encode()))
+    ids, _, stops = codec.encode("ﬁA xyz")
+    at = dict(zip(np.cumsum(codec.width[ids[:-1]]).tolist(), stops.tolist(), strict=True))
+    assert [at[n] for n in (5, 6) if n in at] == [[3, 4][n - 5] for n in (5, 6) if n in at] and stops[-1] == 8
+
+
 def test_round_trip_digests(spark, codec):
     docs = [(1, "plain text\nwith lines"), (2, None), (3, ""), (3, ""), (4, "x" * 20000 + " end"), (None, " lead and trail ")]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, ids int")
