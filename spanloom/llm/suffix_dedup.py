@@ -28,16 +28,18 @@ def anchors(parts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.
     """For texts: hash, text number and place of every gram that is the least of some window of `least` bytes."""
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    data = b"".join(parts)
     n, wide = len(data) - GRAM + 1, least - GRAM + 1
     if n < wide:
         return np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int)
-    h, width = (data.astype(np.uint64) + np.uint64(1)) * P, 1
-    while width < GRAM:
-        a, b = h[:-width], h[width:]
-        h = (a ^ (a >> np.uint64(31))) * P + (b ^ (b >> np.uint64(29))) * Q
-        width *= 2
+    # eight bytes at every place as one number; a gram is a few of these, each times its own odd factor
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).copy()
+    h = eight[:n] * P
+    for k in range(8, GRAM, 8):
+        h += eight[k : n + k] * (Q << np.uint64(k) | P)
     h ^= h >> np.uint64(32)
+    h *= P
+    h ^= h >> np.uint64(29)
 
     def window(x: np.ndarray, f) -> np.ndarray:
         """f over every `wide` consecutive values."""
@@ -60,7 +62,8 @@ def anchors(parts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.
     return h[at], text, at - (ends - sizes)[text]
 
 
-def batches(frame: pd.DataFrame, size: int = 2_000_000) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+def batches(frame: pd.DataFrame, size: int = 100_000) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """The rows and their UTF-8 bytes, about `size` bytes at a time, which keeps the arrays over all places small."""
     data = [(t or "").encode("utf-8", "replace") for t in frame["text"]]
     lo = held = 0
     for i, d in enumerate(data):
@@ -71,35 +74,19 @@ def batches(frame: pd.DataFrame, size: int = 2_000_000) -> Iterator[tuple[pd.Dat
 
 
 def anchor_rows(least: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for f, data in batches(frame):
-                h, text, pos = anchors(data, least)
-                yield pd.DataFrame({"h": h.view(np.int64), "dkey": f["dkey"].to_numpy()[text], "pos": pos.astype(np.int32)})
-
-    return run
-
-
-def context_rows(least: int, shared: np.ndarray | None):
-    """Contexts (hashed, with their place) of the anchors that are in `shared`, or at the places in column wanted."""
+    """Hash of every anchor, 128-bit hash of its context (and of the anchor's place in it), and where the context lies."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach, digest = least - GRAM, xxhash.xxh3_64_intdigest
+        reach, digest = least - GRAM, xxhash.xxh3_128_digest
         for frame in frames:
             for f, data in batches(frame):
                 h, text, pos = anchors(data, least)
-                if shared is not None:
-                    at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-                    ok = shared[at] == h if len(shared) else np.zeros(len(h), bool)
-                else:
-                    places = [set(w.tolist()) for w in f["wanted"]]
-                    ok = np.fromiter((p in places[t] for t, p in zip(text.tolist(), pos.tolist(), strict=True)), bool, len(h))
-                h, text, pos = h[ok].view(np.int64), text[ok], pos[ok]
                 left = np.minimum(pos, reach)
-                size = np.minimum(pos + GRAM + reach, np.array([len(d) for d in data])[text]) - pos + left
+                size = np.minimum(pos + GRAM + reach, np.fromiter(map(len, data), np.int64, len(data))[text]) - pos + left
                 start = pos - left
-                c = np.fromiter((digest(data[t][s : s + n], r) for t, s, n, r in zip(text.tolist(), start.tolist(), size.tolist(), left.tolist(), strict=True)), np.uint64, len(h))
-                yield pd.DataFrame({"h": h, "c": c.view(np.int64), "doc_id": f["doc_id"].astype("Int64").array[text], "dkey": f["dkey"].to_numpy()[text], "start": start.astype(np.int32), "size": size.astype(np.int32)})
+                c = b"".join([digest(data[t][s : s + n], r) for t, s, n, r in zip(text.tolist(), start.tolist(), size.tolist(), left.tolist(), strict=True)])
+                c = np.frombuffer(c, np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"h": h.view(np.int64), "c": c[:, 0], "d": c[:, 1], "doc_id": f["doc_id"].astype("Int64").array[text], "dkey": f["dkey"].to_numpy()[text], "start": start.astype(np.int32), "size": size.astype(np.int32)})
 
     return run
 
@@ -215,25 +202,15 @@ def place_order(doc_id: str = "doc_id", start: str = "start"):
     return (doc * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col(start)).cast("decimal(38,0)")
 
 
-def repeat_starts(docs: DataFrame, least: int, shared_bound: int = 4_000_000, hot: int = 20_000, task_bytes: int = 2_000_000) -> DataFrame:
+def repeat_starts(docs: DataFrame, least: int, hot: int = 20_000, task_bytes: int = 2_000_000) -> DataFrame:
     """(dkey, start, stop) ranges of starts whose strings of `least` bytes start earlier too; ranges may overlap."""
-    spark = docs.sparkSession
-    found = docs.mapInPandas(anchor_rows(least), "h long, dkey long, pos int")
-    shared = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    n = shared.count()
-    schema = "h long, c long, doc_id long, dkey long, start int, size int"
-    if n <= shared_bound:  # 8 bytes each
-        known = np.sort(shared.toArrow()["h"].to_numpy().view(np.uint64)) if n else np.empty(0, np.uint64)
-        sent = spark.sparkContext.broadcast(known)
-        contexts = docs.mapInPandas(lambda frames: context_rows(least, sent.value)(frames), schema)
-    else:
-        wanted = found.join(shared, "h").groupBy("dkey").agg(F.collect_set("pos").alias("wanted"))
-        contexts = docs.join(wanted, "dkey").mapInPandas(context_rows(least, None), schema)
-    contexts = materialize(contexts).withColumn("order", place_order())
-    first = contexts.groupBy("h", "c").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    found = materialize(docs.mapInPandas(anchor_rows(least), "h long, c long, d long, doc_id long, dkey long, start int, size int"))
+    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    contexts = materialize(found.join(shared, "h", "left_semi")).withColumn("order", place_order())
+    first = contexts.groupBy("h", "c", "d").agg(F.min("order").alias("first"), F.count("*").alias("n"))
     several = first.groupBy("h").agg(F.count("*").alias("m"))
-    first = materialize(first.join(several, "h").where("n > 1 OR m > 1").select("h", "c", "first", "m"))
-    met = contexts.join(first, ["h", "c"]).withColumn("again", F.col("order") > F.col("first")).where("again OR m > 1")
+    first = materialize(first.join(several, "h").where("n > 1 OR m > 1").select("h", "c", "d", "first", "m"))
+    met = contexts.join(first, ["h", "c", "d"]).withColumn("again", F.col("order") > F.col("first")).where("again OR m > 1")
     met = materialize(met.select("h", "m", "dkey", "start", "size", "again"))
     whole = met.where("again").select("dkey", "start", (F.col("start") + F.col("size") - (least - 1)).cast("int").alias("stop")).where("stop > start")
     heads = met.where("NOT again").groupBy("dkey").agg(F.collect_set(F.struct("h", "m", "start", "size")).alias("heads"))

@@ -40,11 +40,11 @@ def corpus():
     return docs + [(70, docs[12][1]), (71, docs[12][1] + "!"), (70, docs[12][1]), (72, docs[20][1][5:])]
 
 
-@pytest.mark.parametrize("more", [{}, {"shared_bound": 0}, {"hot": 3}, {"task_bytes": 3000}])
+@pytest.mark.parametrize("more", [{}, {"hot": 3}, {"task_bytes": 3000}])
 def test_bytes_match_brute_force(spark, monkeypatch, more):
     docs = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, h int")
-    monkeypatch.setattr(suffix_dedup.repeat_starts, "__defaults__", tuple({"shared_bound": 4_000_000, "hot": 20_000, "task_bytes": 2_000_000, **more}.values()))
+    monkeypatch.setattr(suffix_dedup.repeat_starts, "__defaults__", tuple({"hot": 20_000, "task_bytes": 2_000_000, **more}.values()))
     want = brute(docs)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.repeated_bytes(df)).collect())
     assert got == sorted((str(i), *want[i, t]) for i, t in docs)
