@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a session without one (tests) gets a temporary folder."""
+    """The folder named by spark.checkpoint.dir, which all executors share; without one there is no safe place, so it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; remembers a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of `size` words; of the whole sequence if there are fewer, none without words."""
+    size = min(size, len(h))
+    n = len(h) - size + 1 if size else 0
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : i + n]) * MIX
+        out ^= out >> np.uint64(31)
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later steps do not recompute it and survive lost executors.
 
@@ -46,6 +71,12 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def place_order(doc_id: str = "doc_id", start: str = "start") -> Column:
+    """(doc_id, start) as one number that orders like the pair; a null id comes first."""
+    doc = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit("-9300000000000000000").cast("decimal(20,0)"))
+    return (doc * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col(start)).cast("decimal(38,0)")
+
+
 def without(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """df without the rows whose key is in ids(key); the ids are broadcast only if they are counted to be few. Null keys stay."""
     ids = materialize(ids.select(key).distinct())

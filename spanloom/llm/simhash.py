@@ -11,7 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_rows
+from .common import MIX, WordHashes, connected_components, gram_hashes, materialize, text_rows
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of 64-bit numbers; 255 rows at a time fit a byte."""
+    bits = np.zeros(h.shape[1] * 64, np.int64)
+    for lo in range(0, len(h), 255):
+        bits += np.add.reduce(np.unpackbits(h[lo : lo + 255].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return bits
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -26,7 +34,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     last = min(shingle, len(words)) - 1
     h = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[:n], stops[last:], strict=True)), np.uint64, n)
-    bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = bit_counts(h.reshape(n, 1))
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -69,14 +77,17 @@ def simhash_groups(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """
     docs = materialize(fingerprints(df, shingle, id_col, text_col))
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comps = connected_components(ball_links(fps))
+    fps = materialize(fps)
+    dealt = fps.repartition(max(8, fps.count() // 16_384), "fp")  # each becomes 65 rows
+    comps = connected_components(ball_links(dealt))
     named = fps.join(comps, fps["fp"] == comps["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = materialize(named.join(least, "component").select("fp", "component_id"))
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-TABLES_AT_ONCE = 6  # bounds the shuffled files of near_copies()
+TABLES_AT_ONCE, STAR_TABLES = 13, 3  # what near_copies() shuffles at once; tables that find the dense groups first
+SMALL, LEAF = 64, 50_000  # members of a ball whose pairs are listed; rows of a bucket that are expanded at once
 
 
 def tuned(width: int, similarity: float, recall: float) -> int:
@@ -91,51 +102,52 @@ def differing(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def long_fingerprint(text: str | None, shingle: int, count: int) -> np.ndarray:
-    """count * 64 bits over the set of word shingles, as longs; zeros without words."""
-    grams = np.array(sorted(shingle_set(text, shingle)), np.uint64)
-    if not len(grams):
-        return np.zeros(count, np.int64)
-    lanes = [(grams ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F) for k in range(1, count + 1)]
-    h = np.stack([(x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) for x in lanes], axis=1)
-    h ^= h >> np.uint64(29)
-    bits = np.zeros(count * 64, np.int64)
-    for lo in range(0, len(h), 4096):
-        bits += np.unpackbits(h[lo : lo + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(bits * 2 > len(h), bitorder="little").view(np.int64)
+def tolerance(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of a pair of that Jaccard similarity may differ: the mean and four deviations."""
+    p = differing(similarity)
+    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
 
 
-def shingle_set(text: str | None, shingle: int) -> set[int]:
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return set()
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    stops = np.cumsum(lengths + 1) - 1
-    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
-    return {digest(line[a:b]) for a, b in zip((stops - lengths)[:n].tolist(), stops[min(shingle, len(words)) - 1 :].tolist(), strict=True)}
+def shingle_set(text: str | None, shingle: int, memo: WordHashes) -> np.ndarray:
+    """The sorted hashes of a text's word shingles; of the whole sequence if it is shorter."""
+    return np.unique(gram_hashes(memo.of(text.encode("utf-8", "replace").lower().split() if text else []), shingle))
 
 
-def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def long_fingerprint(grams: np.ndarray, count: int) -> np.ndarray:
+    """count * 64 bits over the set of word shingles, as longs; zeros without words."""
+    lanes = np.arange(1, count + 1, dtype=np.uint64) * MIX
+    bits = np.zeros(count * 64, np.int64)
+    for lo in range(0, len(grams), 4080):
+        h = (grams[lo : lo + 4080, None] ^ lanes) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(32))) * MIX
+        bits += bit_counts(h ^ (h >> np.uint64(29)))
+    return np.packbits(bits * 2 > len(grams), bitorder="little").view(np.int64)
+
+
+def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep: for every document in a group of near copies, the smallest doc_id of the group.
 
     A pair of that similarity differs in more bits than a ball of a 64-bit fingerprint can hold, so a long fingerprint is cut
-    into tables of short ones; in each table the ball hashing of ball_links() runs on the short fingerprints. What
-    collides is first judged by all bits of the long fingerprints, then verified by the exact Jaccard similarity of the sets
-    of word shingles. The bits of a table grow with the logarithm of the number of documents, so chance collisions stay
-    in proportion; the number of tables and the length of the fingerprint follow, so that a pair of that similarity meets
-    in a ball with probability `recall` (for independent bits) at any number of documents. Documents of equal long fingerprints are compared like any others. Null and empty texts are left
-    alone, as are null ids; repeated ids are one document; other columns are ignored.
+    into tables of short ones; in each table the ball hashing runs on the short fingerprints. All that meet in a ball are
+    compared, first by all bits of the long fingerprints, then by the exact Jaccard similarity of the sets of word shingles;
+    only pairs that are known to be in one group are passed over. So that dense groups are known early, a few tables first
+    compare each member of a ball with one of them. The bits of a table are log2 of the number of documents and 14 more, so chance
+    collisions stay below one a document and table at any size; the number of tables follows, so that a pair of just that
+    similarity meets with probability `recall` (for independent bits). Documents of equal long fingerprints are
+    compared like any others. Null and empty texts are left alone, as are null ids; repeated ids are one document; other
+    columns are ignored.
     """
     docs = text_rows(df, id_col, text_col).where("text != '' AND doc_id IS NOT NULL")
-
-    width = min(60, max(24, int(np.ceil(np.log2(max(2, docs.count())))) + 7))
+    rows = max(2, docs.count())
+    width = min(60, max(26, int(np.ceil(np.log2(rows))) + 14))
     tables = tuned(width, similarity, recall)
     lanes = -(-tables * width // 64)
+    prefix = min(16, max(2, int(np.ceil(np.log2(rows / 16_384)))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
         for f in frames:
-            fps = np.stack([long_fingerprint(t, shingle, lanes) for t in f["text"]]) if len(f) else np.zeros((0, lanes), np.int64)
+            fps = np.stack([long_fingerprint(shingle_set(t, shingle, memo), lanes) for t in f["text"]]) if len(f) else np.zeros((0, lanes), np.int64)
             yield pd.DataFrame({"doc_id": f["doc_id"]} | {f"f{k}": fps[:, k] for k in range(lanes)})
 
     names = [f"f{k}" for k in range(lanes)]
@@ -143,50 +155,130 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall
     # equal fingerprints: one stands for all, each of the others is a candidate with it
     lead = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")))
     same = marked.join(lead.where("n > 1"), names).where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    close = same
+    most = tolerance(similarity, lanes * 64)
+    star = met_pairs(lead.withColumn("label", F.col("lead")), names, range(min(STAR_TABLES, tables)), width, prefix, most, True)
+    known = verified(docs, same.union(star), shingle, similarity)
+    labels = connected_components(known).withColumnsRenamed({"node": "lead", "component": "label"})
+    lead = materialize(lead.join(labels, "lead", "left").withColumn("label", F.coalesce("label", "lead")))
+    close = None
     for lo in range(0, tables, TABLES_AT_ONCE):
-        close = close.union(materialize(star_pairs(lead, names, range(lo, min(tables, lo + TABLES_AT_ONCE)), width, tolerance(similarity, lanes * 64))))
-    close = materialize(close.distinct())
-    wanted = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "doc_id")
+        some = materialize(met_pairs(lead, names, range(lo, min(tables, lo + TABLES_AT_ONCE)), width, prefix, most, False))
+        close = some if close is None else close.union(some)
+    near = verified(docs, close, shingle, similarity)
+    return connected_components(known.union(near)).select(F.col("node").alias("doc_id"), F.col("component").alias("keep"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of word shingles have at least that Jaccard similarity."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "grams": pd.Series([sorted(x - 2**64 if x >= 2**63 else x for x in shingle_set(t, shingle)) for t in f["text"]], dtype=object)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "grams": pd.Series([shingle_set(t, shingle, memo).view(np.int64) for t in f["text"]], dtype=object)})
 
+    pairs = materialize(pairs.distinct())
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     grams = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]))
-    both = close.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
+    both = pairs.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    near = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b")
-    return connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("keep"))
+    return materialize(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b"))
+
 
+def met_pairs(lead: DataFrame, names: list[str], tables: range, width: int, prefix: int, most: int, star: bool) -> DataFrame:
+    """(a, b): documents of different labels that meet in a ball of these tables and whose long fingerprints differ in `most` bits at most.
 
-def star_pairs(lead: DataFrame, names: list[str], tables: range, width: int, most: int) -> DataFrame:
-    """(a, b): documents that these tables bring together and whose long fingerprints differ in `most` bits at most."""
-    cut = lambda t: short(names, t * width, width)
-    sent = lead.select("lead", F.posexplode(F.array(*[cut(t) for t in tables])).alias("table", "fp"))
-    own = sent.groupBy("table", "fp").agg(F.min("lead").alias("centre"), F.count("*").alias("n"))
-    inner = sent.join(own.where("n > 1"), ["table", "fp"]).where("lead != centre").select(F.col("lead").alias("a"), F.col("centre").alias("b"))
+    A fingerprint goes to the buckets of its one-bit variants, by their first `prefix` bits; the variants themselves are made
+    in the bucket. With star, members of a ball are paired with its least one only; else all of them are: pair by
+    pair in small balls, block by block in others, where only pairs within `most` bits are listed.
+    """
     one = F.lit(1).cast("long")
-    flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct(F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i)).alias("v"), F.call_function("shiftleft", one, i).alias("mask")))
-    balls = own.select("table", F.explode(F.concat(flips, F.array(F.struct(F.col("fp").alias("v"), F.lit(0).cast("long").alias("mask"))))).alias("x")).select("table", "x.v", "x.mask")
-    met = balls.groupBy("table", "v").agg(F.bit_or("mask").alias("mask"), F.max((F.col("mask") == 0).cast("int")).alias("self"), F.count("*").alias("n")).where("n > 1")
-    bit = lambda i: F.call_function("shiftleft", one, i)
-    members = F.concat(F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("mask").bitwiseAND(bit(i)) != 0), lambda i: F.col("v").bitwiseXOR(bit(i))), F.when(F.col("self") == 1, F.array("v")).otherwise(F.array().cast("array<long>")))
-    # members of a ball, at most width + 1, in a row: each with the next and with the first
-    rows = met.select("table", members.alias("m")).select("table", "m", F.posexplode("m").alias("i", "x")).where("i > 0")
-    links = rows.select("table", "x", F.explode(F.array_distinct(F.array(F.col("m")[0], F.element_at("m", F.col("i"))))).alias("y")).distinct()
-    centres = own.select("table", "fp", "centre")
-    outer = links.join(centres.withColumnsRenamed({"fp": "x", "centre": "a"}), ["table", "x"]).join(centres.withColumnsRenamed({"fp": "y", "centre": "b"}), ["table", "y"]).select("a", "b")
-    pairs = inner.union(outer).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left, right = lead.select(F.col("lead").alias("a"), F.struct(*names).alias("fa")), lead.select(F.col("lead").alias("b"), F.struct(*names).alias("fb"))
+    cut = lead.select("lead", "label", F.posexplode(F.array(*[short(names, t * width, width) for t in tables])).alias("table", "fp"))
+    head = F.shiftrightunsigned("fp", width - prefix)
+    buckets = F.concat(F.array(head), F.transform(F.sequence(F.lit(0), F.lit(prefix - 1)), lambda i: head.bitwiseXOR(F.call_function("shiftleft", one, i))))
+    sent = cut.select("lead", "label", "table", "fp", F.explode(buckets).alias("bucket"))
+    met = sent.groupBy("table", "bucket").applyInPandas(ball_members(width, prefix, star), "ball long, a long, b long")
+    met = met if star else materialize(met)
+    left, right = (lead.select(F.col("lead").alias(c), F.struct(*names).alias(f"f{c}")) for c in "ab")
     apart = sum((F.bit_count(F.col(f"fa.{n}").bitwiseXOR(F.col(f"fb.{n}"))) for n in names), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-
-
-def tolerance(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of a pair of that Jaccard similarity may differ: the mean and four deviations."""
-    p = differing(similarity)
-    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+    pairs = met.where("b IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+    if star:
+        return pairs
+    big = met.where("b IS NULL").select("ball", F.col("a").alias("lead"))
+    sizes = big.groupBy("ball").agg(F.ceil(F.count("*") / 1000).cast("int").alias("blocks"))
+    own = big.join(sizes, "ball").join(lead, "lead").withColumn("own", F.pmod(F.xxhash64("lead"), F.col("blocks")).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y")))
+    spread = own.select("ball", "lead", "label", "own", *names, F.explode(places).alias("at")).select("ball", "at.x", "at.y", "lead", "label", "own", *names)
+    return pairs.union(spread.groupBy("ball", "x", "y").applyInPandas(block_pairs(names, most), "a long, b long"))
+
+
+def ball_members(width: int, prefix: int, star: bool):
+    """Pairs (a, b) that meet in a ball, and for balls of more than SMALL members the members (a) by ball."""
+
+    def leaf(fp, who, value, low):
+        """Variants below a prefix of the fingerprints that have it, and of those that differ from it in one bit."""
+        own = fp >> low == value
+        mine, near = fp[own], fp[~own]
+        made = [mine, *(mine ^ (1 << i) for i in range(low)), (value << low) | (near & ((1 << low) - 1))]
+        return np.concatenate(made), np.concatenate([*[who[own]] * (low + 1), who[~own]])
+
+    def leaves(fp, who, value, low):
+        if len(fp) <= LEAF or low == 0:
+            yield leaf(fp, who, value, low)
+            return
+        own, bit = fp >> low == value, fp >> (low - 1) & 1
+        for b in (0, 1):
+            keep = own | (bit == b)
+            yield from leaves(fp[keep], who[keep], value * 2 + b, low - 1)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, table = frame["lead"].to_numpy(), frame["label"].to_numpy(), int(frame["table"].iloc[0])
+        order = np.argsort(ids)
+        ids, labels = ids[order], labels[order]
+        pairs, members = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+        for v, who in leaves(frame["fp"].to_numpy()[order], np.arange(len(ids)), int(frame["bucket"].iloc[0]), width - prefix):
+            at = np.argsort(v, kind="stable")
+            v, who = v[at], who[at]
+            edge = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.empty(0, np.int64)
+            size = np.diff([*edge, len(v)])
+            if not len(edge):
+                continue
+            mixed = np.minimum.reduceat(labels[who], edge) != np.maximum.reduceat(labels[who], edge)
+            first = np.minimum.reduceat(who, edge)
+            if star:
+                hit = np.repeat(mixed, size)
+                a, b = who[hit], np.repeat(first, size)[hit]
+                pairs.append(np.unique(np.stack((b, a), axis=1)[labels[a] != labels[b]], axis=0))
+                continue
+            few = np.repeat(mixed & (size <= SMALL), size)
+            w, ball = who[few], np.repeat(np.arange(len(size)), size)[few]
+            for k in range(1, int(size[mixed & (size <= SMALL)].max(initial=1))):
+                ok = (ball[k:] == ball[:-k]) & (labels[w[k:]] != labels[w[:-k]])
+                pairs.append(np.sort(np.stack((w[:-k][ok], w[k:][ok]), axis=1), axis=1))
+            many = np.repeat(mixed & (size > SMALL), size)
+            members.append(np.stack((v[many] * 64 + table, ids[who[many]]), axis=1))
+        p, m = np.unique(np.concatenate(pairs), axis=0), np.concatenate(members)
+        none = pd.array([None] * len(m), "Int64")
+        two = pd.DataFrame({"ball": np.zeros(len(p), np.int64), "a": ids[p[:, 1]], "b": pd.array(ids[p[:, 0]], "Int64")})
+        return pd.concat([two, pd.DataFrame({"ball": m[:, 0], "a": m[:, 1], "b": none})], ignore_index=True)
+
+    return run
+
+
+def block_pairs(names: list[str], most: int):
+    """Pairs of different labels, of one block or of two, whose long fingerprints differ in `most` bits at most."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, fps = frame["lead"].to_numpy(), frame["label"].to_numpy(), frame[names].to_numpy().view(np.uint64)
+        x, y = (np.flatnonzero(frame["own"] == frame[c]) for c in "xy")
+        out = []
+        for i in x.tolist():
+            near = y[np.bitwise_count(fps[y] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most]
+            near = near[labels[near] != labels[i]]
+            out.append(np.stack((np.maximum(ids[near], ids[i]), np.minimum(ids[near], ids[i])), axis=1))
+        out = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
 
 
 def short(names: list[str], first: int, width: int):

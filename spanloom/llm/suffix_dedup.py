@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import materialize, place_order, text_rows
 
 GRAM = 32
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -196,12 +196,6 @@ def late_starts(frame: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray
     return key[late], w[late]
 
 
-def place_order(doc_id: str = "doc_id", start: str = "start"):
-    """(doc_id, start) as one number that orders like the pair; a null id comes first."""
-    doc = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit("-9300000000000000000").cast("decimal(20,0)"))
-    return (doc * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col(start)).cast("decimal(38,0)")
-
-
 def repeat_starts(docs: DataFrame, least: int, hot: int = 20_000, task_bytes: int = 2_000_000) -> DataFrame:
     """(dkey, start, stop) ranges of starts whose strings of `least` bytes start earlier too; ranges may overlap."""
     found = materialize(docs.mapInPandas(anchor_rows(least), "h long, c long, d long, doc_id long, dkey long, start int, size int"))

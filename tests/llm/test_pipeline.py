@@ -65,6 +65,43 @@ def test_near_copies_at_the_required_similarity_are_found(spark):
     assert all(keep == i // 2 * 2 for i, keep in got.items()) and len(got) >= 2 * 0.99 * 600
 
 
+def test_near_copies_in_a_template_and_in_large_balls(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "LEAF", 40)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, docs = [word() for _ in range(400)], []
+    for i in range(120):  # all alike in 0.6 or so, every two of them in 0.9
+        w = list(template)
+        for k in range(60):
+            w[k] = word()
+        docs.append((2 * i, " ".join(w)))
+        for k in range(0, 20, 10):
+            w[k] = word()
+        docs.append((2 * i + 1, " ".join(w)))
+    base = [word() for _ in range(300)]
+    for i in range(100):  # one group
+        w = list(base)
+        w[rng.randrange(300)] = word()
+        docs.append((1000 + i, " ".join(w)))
+    got = dict(simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = jaccard_groups(docs)
+    assert len(got) >= 0.98 * len(docs) and all(got[i] == want[i] for i in got)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rows = [(None, "some words without an id", "en", "a", None, "x"), (1, None, None, None, None, "x"), (1, None, None, None, None, "x"), (2, "", "", "", 0, "x"), (3, "w " * 40_000, "en", "a", 80_000, "x")]
+    for docs in (rows, []):
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, keep string")
+        folder = tmp_path / str(len(docs))
+        spark.createDataFrame([(3, 1, 0), (9, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "a b c")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(folder))
+            assert name == "encoding" or out.schema.names == df.schema.names
+            assert sorted(map(str, out.select("doc_id").collect())) == sorted(map(str, df.select("doc_id").collect())), name
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(8)
     docs = texts(5)

@@ -54,7 +54,7 @@ def test_removals_match_brute_force(spark):
                 lines.append(" ".join(w).title())
         lines.append(" ".join(word() for _ in range(30)))
         docs.append((10 + i, "\n".join(lines)))
-    got, found = check(spark, docs)
+    got, found = check(spark, docs, window=10_000)
     want = brute(docs, 20)
     assert len(got ^ want) <= 0.01 * len(want) and len(want) > 50
     for r in substring_dedup.digest(found).collect():
@@ -80,6 +80,42 @@ def test_blocks_find_the_same(spark, monkeypatch):
     assert whole == blocks == brute(docs, 20)
 
 
+def test_passages_inside_different_lines(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    passages, docs = [text(51 + 3 * i) for i in range(20)], []
+    for i in range(20):
+        docs.append((10 + i, " ".join(text(70) + passages[i] + text(40))))
+        docs.append((100 + i, "\n".join(" ".join(w) for w in (text(30), text(15) + passages[i][:20], passages[i][20:35], passages[i][35:] + text(25)))))
+    docs += [(200 + i, " ".join(text(200))) for i in range(20)]
+    got, found = check(spark, docs)
+    assert not got
+    rows = {r.doc_id: r for r in substring_dedup.digest(found).collect()}
+    assert all(rows[i].n_removed == 0 for i in rows if not 100 <= i < 200)
+    hit = [i for i in range(20) if rows[100 + i].n_removed > 0]
+    assert len(hit) >= 19 and all(rows[100 + i].kept_in == [10 + i] for i in hit)
+    own = dict(docs)
+    for r in substring_dedup.without_repeats(found).collect():
+        starts = {tuple(own[r.doc_id].split()[a : a + 25]) for a in r.windows}
+        earlier = {tuple(t.split()[a : a + 25]) for i, t in docs if i < r.doc_id for a in range(len(t.split()))}
+        assert starts <= earlier and len(r.kept.split()) <= len(own[r.doc_id].split()) - 25 * bool(r.windows)
+
+
+def test_what_remains():
+    cut = lambda t, g, w, n: substring_dedup.remainder(t, g, w, n)
+    assert cut(b" a b\n c  d e\n\nf", [], [1], 3) == b" a \ne\n\nf"
+    assert cut(b"a b\nc d\ne", [0], [3], 2) == b"c "
+    assert cut(b"a\tb\n", [], [], 2) == b"a\tb\n" and cut(b"a b\nc", [], [0, 1], 2) == b""
+
+
+def test_very_long_line(spark):
+    line = " ".join(f"w{i}" for i in range(60_000))
+    got, found = check(spark, [(1, line), (2, "x " * 30 + line), (3, "y " * 50_000)])
+    rows = {r.doc_id: r for r in substring_dedup.digest(found).collect()}
+    assert (2, 0) in got and rows[1].n_removed == 0 and rows[3].n_removed == 0
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     line = " ".join(f"w{i}" for i in range(25))
     got, found = check(spark, [(1, line), (1, line), (2, line + "\n" + line), (None, "x")])
