@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
@@ -46,6 +47,18 @@ def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialize() that nothing will read again, from whatever file system holds them."""
+    for df in tables:
+        if path := WRITTEN.pop(df, None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later steps do not recompute it and survive lost executors.
 
@@ -58,7 +71,9 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -100,7 +115,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         small = hung.select("v", "m").union(hung.select(F.col("u").alias("v"), "m")).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
-        e = materialize(small)
+        before, e = e, materialize(small)
+        discard(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == last:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

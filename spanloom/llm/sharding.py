@@ -13,12 +13,22 @@ SCALE, TIES = 1024, 4096
 
 
 def dimensions(df: DataFrame) -> list[Column]:
-    """Metadata dimensions on one scale: log size, language, source (by hash) and position of the id."""
-    low, high = df.agg(F.min("doc_id"), F.max("doc_id")).first()
-    span = max(1, (high or 0) - (low or 0))
+    """Metadata dimensions on one scale: log size, language, source (by hash) and position of the id. Ids are told apart as
+    doubles, so the widest of them neither overflow nor fail."""
+    place = F.col("lead").cast("double")
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    span = max(1.0, (high or 0.0) - (low or 0.0))
     code = lambda c: F.pmod(F.xxhash64(c), F.lit(SCALE)).cast("int")
-    place = F.coalesce(((F.col("doc_id") - F.lit(low)).cast("double") / span * (SCALE - 1)).cast("int"), F.lit(0))
-    return [F.least(F.lit(SCALE - 1), (F.log2("size") * 24).cast("int")), code("lang"), code("source"), place]
+    return [F.least(F.lit(SCALE - 1), (F.log2("size") * 24).cast("int")), code("lang"), code("source"), F.coalesce(((place - (low or 0.0)) / span * (SCALE - 1)).cast("int"), F.lit(0))]
+
+
+def grouped(base: DataFrame, most: float) -> DataFrame:
+    """base with the metadata of the least row of its text (lead: its id), if all rows of the text have `most` bytes at most; other rows keep their own."""
+    same = ["text_hash", "text_crc32", "size"]
+    groups = base.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lang", "source")).alias("least")).where((F.col("n") > 1) & (F.col("n") * F.col("size") <= most))
+    joined = base.join(groups, same, "left")
+    own = lambda c: F.when(F.col("n").isNull(), F.col(c)).otherwise(F.col(f"least.{c}"))
+    return joined.select("doc_id", "size", "text_crc32", own("doc_id").alias("lead"), own("lang").alias("lang"), own("source").alias("source"))
 
 
 def split_point(hist: list[tuple[int, int]], goal: float) -> tuple[int, float]:
@@ -37,15 +47,19 @@ def kd_shards(df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_co
     A node of k shards is cut where its bytes reach the share of floor(k/2) shards, along the dimension that spreads widest
     in it; rows that tie on that dimension (copies, one source) are cut by a hash of the id. Each level is two histograms
     of bounded size per node; rows never move until they are numbered. Leaves are the shards: the target bytes of a leaf
-    are total / n_shards. A null text has no bytes (size 16), null metadata hash like a value of their own, repeated rows
-    of one id fall into one shard, an empty table gives no rows. Missing lang or source columns count as null.
+    are total / n_shards. Equal texts fall into one shard, since they take the metadata of the first of them, unless together
+    they have over an eighth of a shard's bytes: near equal bytes leave no room for keeping larger groups whole.
+    A null text has no bytes (size 16), null metadata hash like a value of their own, an empty table gives no rows.
+    Missing lang or source columns count as null.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     names = {c.lower() for c in df.columns}
     meta = [(F.col(c).cast("string") if c in names else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")]
-    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *meta)
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *meta)
     base = materialize(base)
-    at = base.select("doc_id", "size", "text_crc32", F.array(*dimensions(base)).alias("at"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(TIES)).cast("int").alias("tie"))
+    total = base.agg(F.sum("size")).first()[0] or 0
+    base = materialize(grouped(base, total / n_shards / 8))
+    at = base.select("doc_id", "size", "text_crc32", F.array(*dimensions(base)).alias("at"), F.pmod(F.xxhash64("lead", "text_crc32"), F.lit(TIES)).cast("int").alias("tie"))
     at = materialize(at.withColumn("node", F.lit(0)))
     shares, leaf = {0: n_shards}, {0: 0}
     n_dims = 4

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, connected_components, gram_hashes, materialize, text_rows
+from .common import MIX, WordHashes, connected_components, discard, gram_hashes, materialize, text_rows
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -154,7 +154,8 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall
     marked = materialize(docs.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
     # equal fingerprints: one stands for all, each of the others is a candidate with it
     lead = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")))
-    same = marked.join(lead.where("n > 1"), names).where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    same = materialize(marked.join(lead.where("n > 1"), names).where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
+    discard(marked)
     most = tolerance(similarity, lanes * 64)
     star = met_pairs(lead.withColumn("label", F.col("lead")), names, range(min(STAR_TABLES, tables)), width, prefix, most, True)
     known = verified(docs, same.union(star), shingle, similarity)
@@ -181,7 +182,9 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     grams = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]))
     both = pairs.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    return materialize(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b"))
+    near = materialize(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b"))
+    discard(pairs, grams)
+    return near
 
 
 def met_pairs(lead: DataFrame, names: list[str], tables: range, width: int, prefix: int, most: int, star: bool) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, place_order, text_rows
+from .common import discard, materialize, place_order, text_rows
 
 GRAM = 32
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -200,12 +200,15 @@ def repeat_starts(docs: DataFrame, least: int, hot: int = 20_000, task_bytes: in
     """(dkey, start, stop) ranges of starts whose strings of `least` bytes start earlier too; ranges may overlap."""
     found = materialize(docs.mapInPandas(anchor_rows(least), "h long, c long, d long, doc_id long, dkey long, start int, size int"))
     shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    contexts = materialize(found.join(shared, "h", "left_semi")).withColumn("order", place_order())
+    held = materialize(found.join(shared, "h", "left_semi"))
+    discard(found)
+    contexts = held.withColumn("order", place_order())
     first = contexts.groupBy("h", "c", "d").agg(F.min("order").alias("first"), F.count("*").alias("n"))
     several = first.groupBy("h").agg(F.count("*").alias("m"))
     first = materialize(first.join(several, "h").where("n > 1 OR m > 1").select("h", "c", "d", "first", "m"))
     met = contexts.join(first, ["h", "c", "d"]).withColumn("again", F.col("order") > F.col("first")).where("again OR m > 1")
     met = materialize(met.select("h", "m", "dkey", "start", "size", "again"))
+    discard(held, first)
     whole = met.where("again").select("dkey", "start", (F.col("start") + F.col("size") - (least - 1)).cast("int").alias("stop")).where("stop > start")
     heads = met.where("NOT again").groupBy("dkey").agg(F.collect_set(F.struct("h", "m", "start", "size")).alias("heads"))
     total = met.where(f"NOT again AND m <= {hot}").agg(F.sum("size")).first()[0] or 0

@@ -68,6 +68,21 @@ def test_shards_balance_and_number(spark):
     assert sharding.kd_shards(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).count() == 0
 
 
+def test_shards_of_wide_ids_equal_texts_and_a_huge_row(spark):
+    rows = [(-(2**63), "low"), (2**63 - 1, "high"), (0, "x" * 400_000), (None, None)] + [(i, f"text {i // 3} " * 20) for i in range(1, 901)] + [(1000 + i, "hot " * 30) for i in range(600)]
+    got = sharding.kd_shards(spark.createDataFrame([(i, t, "s", "k", "k") for i, t in rows], "doc_id long, text string, source string, lead string, text_hash string")).collect()
+    assert len(got) == len(rows) and len({(r.shard, r.slot) for r in got}) == len(rows)
+    slots, held, size = defaultdict(set), defaultdict(set), defaultdict(int)
+    for r in got:
+        slots[r.shard].add(r.slot)
+        held[r.text_crc32].add(r.shard)
+        size[r.shard] += r["size"]
+    assert all(s == set(range(len(s))) for s in slots.values()) and all(r["size"] == len((dict(rows)[r.doc_id] or "").encode()) + 16 for r in got)
+    together = [held[zlib.crc32((f"text {k} " * 20).encode())] for k in range(1, 300)]
+    assert all(len(s) == 1 for s in together) and len(held[zlib.crc32(("hot " * 30).encode())]) > 1
+    assert sorted(size.values())[-1] < 800_000 and len(slots) >= 20
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.ORG/es/1?x", "https://example.org/en/12", "x://sub.foo.com/fr/", "http://foo.com/de/#t", None, "no scheme", "http://x.net", "http://notorg/", "https://myexample.org/es/1", "http://example.org?q", "http://example.org/en/1", "http://x.net"]
     got = url_filter.filter_urls(spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")).orderBy("page_id").collect()
