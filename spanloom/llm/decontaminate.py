@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import WordHashes, materialize, text_rows
 
 K = 5
 #: Everything below 0x80 but digits and letters parts words; A-Z become a-z.
@@ -56,30 +56,44 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(most == grams)
 
 
+def spans(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` words from each start."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(length):
+        out = (out ^ h[starts + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
+
+
 class Benchmark:
-    """Fingerprints and words of the items; what a task needs to match and extend."""
+    """Fingerprints and windows of the items; what a task needs to match and extend."""
 
-    def __init__(self, items: list[tuple[int, str | None]], length: int):
-        self.length, self.words, self.short = length, {}, defaultdict(lambda: defaultdict(set))
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int | None, str | None]], length: int):
+        self.length, self.words, self.short = length, [], defaultdict(lambda: defaultdict(set))
         self.known: dict[bytes, int] = {}
-        for number, (item, text) in enumerate(items):
+        prints, keys, numbers, places = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [], []
+        for item, text in items:
             words = words_of(text)
             if 0 < len(words) < length:
                 self.short[len(words)][tuple(words)].add(item)
             elif words:
-                self.words[number] = (item, words)
                 self.known |= {w: xxhash.xxh64_intdigest(w) for w in words}
                 h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
                 grams = kgram_hashes(h)
-                for p in winnow(grams, length - K + 1):
-                    self.places[int(grams[p])].append((number, int(p)))
-        self.hashes = np.array(sorted(self.places), np.uint64)
+                prints.append(grams[winnow(grams, length - K + 1)])
+                own, at = np.unique(spans(h, np.arange(len(words) - length + 1), length), return_index=True)  # a window that repeats counts once
+                keys.append(own)
+                numbers += [len(self.words)] * len(own)
+                places += at.tolist()
+                self.words.append((item, words))
+        self.hashes, key = np.unique(np.concatenate(prints)), np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.numbers, self.places = key[order], np.array(numbers, np.int64)[order], np.array(places, np.int64)[order]
         self.firsts = {n: {w[0] for w in group} for n, group in self.short.items()}
 
-    def match(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray | None, set[int]]]:
+    def match(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray | None, set[int | None]]]:
         """For each text, which words are hit (None: none) and the items with an occurring window."""
-        out: list[tuple[np.ndarray | None, set[int]]] = [(None, set()) for _ in texts]
+        out: list[tuple[np.ndarray | None, set[int | None]]] = [(None, set()) for _ in texts]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
         if len(self.hashes) and ends[-1] >= self.length:
@@ -90,68 +104,116 @@ class Benchmark:
                 across = ends - back
                 grams[across[(across >= 0) & (across < len(grams))]] = np.uint64(2**64 - 1)
             at = winnow(grams, self.length - K + 1)
-            own = grams[at]
-            where = np.searchsorted(self.hashes, own)
-            where[where == len(self.hashes)] = 0
-            at = at[self.hashes[where] == own]
-            done = set()
-            for p, i in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
-                place = p - int(ends[i] - sizes[i])
-                for number, q in self.places[int(grams[p])]:
-                    if (i, number, place - q) not in done:
-                        done.add((i, number, place - q))
-                        item, theirs = self.words[number]
-                        out[i] = self.extend(texts[i], theirs, place, q, out[i], item)
+            self.extend(texts, h, at[np.isin(grams[at], self.hashes)], ends, sizes, out)
         for size, group in self.short.items():
             first = self.firsts[size]
             for k, words in enumerate(texts):
                 for i in [i for i, w in enumerate(words) if w in first]:
                     if found := group.get(tuple(words[i : i + size])):
-                        hit, items = out[k]
-                        hit = np.zeros(len(words), bool) if hit is None else hit
-                        hit[i : i + size] = True
-                        out[k] = hit, items | found
+                        self.add(out, k, words, i, size, found)
         return out
 
-    def extend(self, ours: list[bytes], theirs: list[bytes], p: int, q: int, before: tuple[np.ndarray | None, set[int]], item: int) -> tuple[np.ndarray | None, set[int]]:
-        """Adds the equal runs around a hit, on its diagonal, that have at least `length` words."""
-        hit, items = before
-        back = min(p, q)
-        i, j, run = p - back, q - back, 0
-        while i < len(ours) and j < len(theirs):
-            run = run + 1 if ours[i] == theirs[j] else 0
-            if run >= self.length:
-                hit = np.zeros(len(ours), bool) if hit is None else hit
-                hit[i - (run if run == self.length else 1) + 1 : i + 1] = True
-                items.add(item)
-            i, j = i + 1, j + 1
-        return hit, items
-
-
-def contaminated(df: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    def extend(self, texts: list[list[bytes]], h: np.ndarray, at: np.ndarray, ends: np.ndarray, sizes: np.ndarray, out: list) -> None:
+        """Extends hits to the windows around them. A window that a text shares with an item holds a fingerprint of both, so
+        these are all; each is looked up by its hash and compared word by word, however often the text or an item repeats."""
+        owner = np.searchsorted(ends, at, side="right")
+        starts = (at[:, None] - np.arange(self.length - K + 1)).ravel()
+        owner = np.repeat(owner, self.length - K + 1)
+        inside = (starts >= (ends - sizes)[owner]) & (starts + self.length <= ends[owner])
+        starts, first = np.unique(starts[inside], return_index=True)
+        owner = owner[inside][first]
+        key = spans(h, starts, self.length)
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        some = np.flatnonzero(hi > lo)
+        for i, s, a, b in zip(owner[some].tolist(), starts[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+            place = s - int(ends[i] - sizes[i])
+            ours = texts[i][place : place + self.length]
+            found = set()
+            for number, q in zip(self.numbers[a:b].tolist(), self.places[a:b].tolist(), strict=True):
+                item, theirs = self.words[number]
+                if item not in found and theirs[q : q + self.length] == ours:
+                    found.add(item)
+            if found:
+                self.add(out, i, texts[i], place, self.length, found)
+
+    @staticmethod
+    def add(out: list, k: int, words: list[bytes], at: int, size: int, found: set[int | None]) -> None:
+        hit, items = out[k]
+        hit = np.zeros(len(words), bool) if hit is None else hit
+        hit[at : at + size] = True
+        out[k] = hit, items | found
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated.
 
-    The benchmark goes to every task only if its text is counted to be at most broadcast_bytes; a larger one is split by
-    item into groups of at most that size, each of them matched against all documents, and the parts of a document are
-    put together again. Null or empty texts have no words; null items have no windows; repeated rows each keep a row;
-    other columns are ignored. length must be at least K + 1.
+    The benchmark goes to every task only if its text is counted to be at most broadcast_bytes; with a larger one the
+    fingerprints of documents and items are joined, and each pair of a document and an item that share one is extended.
+    Null or empty texts have no words; items of null text have no windows; an item of null id counts in n_hit and n_items
+    but has no id to list; repeated rows each keep a row; other columns are ignored. length must be at least K + 1.
     """
     docs = text_rows(df, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-2 * total // broadcast_bytes))
-    if groups == 1:
-        return docs.mapInPandas(matcher([tuple(r) for r in items.distinct().collect()], length), "doc_id long, n_words long, n_hit long, n_items long, item_ids string, contaminated boolean")
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("words")).where("words IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    if total <= broadcast_bytes:
+        return docs.mapInPandas(matcher([tuple(r) for r in items.collect()], length), "doc_id long, n_words long, n_hit long, n_items long, item_ids string, contaminated boolean")
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    parts = None
-    for g in range(groups):  # each group is within the bound, whatever the size of the benchmark
-        own = [tuple(r) for r in items.distinct().where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).collect()]
-        some = keyed.dropDuplicates(["key"]).mapInPandas(matcher(own, length, True), "key long, hits array<int>, ids array<long>")
-        parts = some if parts is None else parts.union(some)
-    hits = parts.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("ids"))), lambda x: x.cast("string"))).alias("ids"))
+    items = items.withColumn("number", F.xxhash64("item", "words"))
+    sizes = items.mapInPandas(short_sizes(length), "size int").distinct()  # `length` rows at most
+    own = materialize(items.select("number", F.col("words").alias("text")).mapInPandas(printer(length, "number", None), "key long, h long").distinct())
+    met = keyed.select("key", "text").mapInPandas(printer(length, "key", [r["size"] for r in sizes.collect()]), "key long, h long")
+    pairs = materialize(met.join(own.select("h", F.col("key").alias("number")), "h").select("key", "number").distinct())
+    together = keyed.dropDuplicates(["key"]).join(pairs, "key").join(items, "number").select("key", "text", "item", "words")
+    hits = together.mapInPandas(pair_matcher(length), "key long, item long, hits array<int>")
+    hits = hits.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.collect_set("item").alias("ids"), F.max(F.col("item").isNull().cast("long")).alias("unnamed"))
     counted = keyed.mapInPandas(counter, "doc_id long, key long, n_words long").join(materialize(hits), "key", "left")
-    n_hit, ids = F.coalesce(F.size("hits"), F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
-    return counted.select("doc_id", "n_words", F.greatest(n_hit, F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("item_ids"), (F.size(ids) > 0).alias("contaminated"))
+    n_hit, ids, unnamed = F.coalesce(F.size("hits"), F.lit(0)), F.coalesce("ids", F.array().cast("array<long>")), F.coalesce("unnamed", F.lit(0).cast("long"))
+    listed = F.array_join(F.array_sort(F.transform(ids, lambda x: x.cast("string"))), ",")
+    return counted.select("doc_id", "n_words", F.greatest(n_hit, F.lit(0)).cast("long").alias("n_hit"), (F.size(ids) + unnamed).alias("n_items"), listed.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+
+
+def short_sizes(length: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"size": sorted({n for t in f["words"] if 0 < (n := len(words_of(t))) < length})}, dtype="int32")
+
+    return run
+
+
+def printer(length: int, key: str, sizes: list[int] | None):
+    """Hashes that a text shares with another if they share a window: its winnowed k-grams, and for windows shorter than
+    `length` all runs of these sizes; a text of fewer words is one window itself where sizes is None."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        for f in frames:
+            for k, text in zip(f[key].tolist(), f["text"], strict=True):
+                words = words_of(text)
+                h, found = memo.of(words), []
+                if len(words) >= length:
+                    grams = kgram_hashes(h)
+                    found.append(grams[winnow(grams, length - K + 1)])
+                elif words and sizes is None:
+                    found.append(spans(h, np.zeros(1, np.int64), len(words)))
+                for n in sizes or ():
+                    found.append(spans(h, np.arange(max(0, len(words) - n + 1)), n))
+                if found:
+                    yield pd.DataFrame({"h": np.unique(np.concatenate(found)).view(np.int64)}).assign(key=k)[["key", "h"]]
+
+    return run
+
+
+def pair_matcher(length: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for key, text, item, words in zip(f["key"].tolist(), f["text"], f["item"].astype("Int64"), f["words"], strict=True):
+                hit, _ = Benchmark([(0, words)], length).match([words_of(text)])[0]
+                if hit is not None:
+                    rows.append((key, item, np.flatnonzero(hit).astype("int32")))
+            yield pd.DataFrame(rows, columns=["key", "item", "hits"]).astype({"key": "int64", "item": "Int64"})
+
+    return run
 
 
 def counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +221,7 @@ def counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "key": f["key"], "n_words": [len(words_of(t)) for t in f["text"]]})
 
 
-def matcher(items: list[tuple[int, str]], length: int, parts: bool = False):
+def matcher(items: list[tuple[int | None, str]], length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bench = Benchmark(items, length)
         for f in frames:
@@ -169,13 +231,9 @@ def matcher(items: list[tuple[int, str]], length: int, parts: bool = False):
                 part = [words_of(t) for t in texts[lo : lo + 200]]
                 sizes += map(len, part)
                 rows += bench.match(part)
-            if parts:
-                keep = [i for i, (_, ids) in enumerate(rows) if ids]
-                yield pd.DataFrame({"key": f["key"].to_numpy()[keep], "hits": pd.Series([np.flatnonzero(rows[i][0]).tolist() for i in keep], dtype=object), "ids": pd.Series([sorted(rows[i][1]) for i in keep], dtype=object)})
-                continue
             yield pd.DataFrame({
                 "doc_id": f["doc_id"].astype("Int64"), "n_words": sizes, "n_hit": [0 if h is None else int(h.sum()) for h, _ in rows],
-                "n_items": [len(i) for _, i in rows], "item_ids": [",".join(sorted(map(str, i))) for _, i in rows], "contaminated": [bool(i) for _, i in rows],
+                "n_items": [len(i) for _, i in rows], "item_ids": [",".join(sorted(str(x) for x in i if x is not None)) for _, i in rows], "contaminated": [bool(i) for _, i in rows],
             })
 
     return run

@@ -144,7 +144,7 @@ def brute_contamination(text, items):
             if n and tuple(own[i : i + n]) in windows:
                 hit |= set(range(i, i + n))
                 ids.add(item)
-    return len(own), len(hit), len(ids), ",".join(sorted(map(str, ids))), bool(hit)
+    return len(own), len(hit), len(ids), ",".join(sorted(str(i) for i in ids if i is not None)), bool(hit)
 
 
 def test_decontamination_matches_all_windows(spark):
@@ -152,6 +152,7 @@ def test_decontamination_matches_all_windows(spark):
     items = [(1, " ".join(passage)), (2, "short one here"), (3, None), (10, " ".join(passage[5:25])), (4, "a a a a a a a a a a a a"), (5, ""), (6, "É x1")]
     docs = [(1, "lead " + " ".join(passage[3:13]) + " tail"), (2, " ".join(passage[:9])), (3, None), (4, "SHORT, one-here! é x1"), (5, "a " * 30), (6, "b " * 5000 + " ".join(passage)), (6, "É x1"), (7, "")]
     docs += [(30 + i, " ".join(passage[i : i + 7 + i % 9] + ["x"] + passage[: i % 17])) for i in range(30)]
+    items, docs = items + [(None, "nameless item"), (11, "a " * 3000)], docs + [(90, "a nameless item"), (91, "a " * 6000)]
     for limit in (64 << 20, 100):
         got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in got) == sorted((i, *brute_contamination(t, items)) for i, t in docs)
