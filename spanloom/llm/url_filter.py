@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
-#: Symbols of the folded url alphabet: letters, one symbol for all digits, url punctuation, one for anything else, ends.
-SYMBOLS = [*"abcdefghijklmnopqrstuvwxyz", "0", *"/.-_?=&#%:", "*", "^", "$"]
+#: The longest context of the models, and the symbols before and after a url.
+ORDER, START, END = 5, "\x02", "\x03"
 
 #: (verdict, rule) pairs; a rule is a host followed by the prefix of a path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -34,64 +34,67 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def folded(url: Column) -> Column:
-    """The url after its scheme in the folded alphabet, with two start symbols and an end symbol."""
-    s = ascii_lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[^:/?#]*://", ""))
-    s = F.translate(s, "0123456789", "0" * 10)
-    return F.concat(F.lit("^^"), F.regexp_replace(s, r"[^a-z0/.\-_?=&#%:]", "*"), F.lit("$"))
+def padded(host: Column, url: Column) -> Column:
+    """The url after its scheme, its host lower-cased, between ORDER start symbols and an end symbol."""
+    rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[^:/?#]*://", "")
+    return F.concat(F.lit(START * ORDER), host, F.substring(rest, F.length(host) + 1, F.length(rest)), F.lit(END))
 
 
-def trigrams(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
+def grams(s: Column) -> Column:
+    """Every symbol with the ORDER symbols before it."""
+    return F.transform(F.sequence(F.lit(1), F.length(s) - ORDER), lambda i: F.substring(s, i, F.lit(ORDER + 1)))
 
 
-def markov_ratio(counts: DataFrame, min_context: int = 4) -> DataFrame:
-    """Trigram counts (g, allow, block) -> (g, ratio): micro-nats of log p_allow - log p_block for every trigram.
+def markov_ratio(counts: DataFrame) -> DataFrame:
+    """(g, allow, block): how often the urls of each class hold each gram -> (g, ratio): micro-nats of log p_allow - log p_block.
 
-    Witten-Bell interpolation of orders 0, 1 and 2; a two-symbol context seen fewer than min_context times is passed over
-    for the one-symbol one, so the order varies. The alphabet is closed: the table has len(SYMBOLS)**3 rows at any scale.
+    Witten-Bell back-off over the contexts of 0 to ORDER symbols that the urls hold: p of a symbol after a context is
+    (n + t * p after the context without its first symbol) / (N + t), with n of N continuations being the symbol and t
+    different ones seen; a context never seen gives way to the shorter one whole. So the order varies with what was learned,
+    and the tables grow with the urls. They are joined by gram, one order after another.
     """
-    one = F.array(*[F.lit(x) for x in SYMBOLS])
-    every = counts.sparkSession.range(1).select(F.explode(one).alias("x")).select("x", F.explode(one).alias("y")).select("x", "y", F.explode(one).alias("z"))
-    t = every.select(F.concat("x", "y", "z").alias("g"), F.concat("x", "y").alias("xy"), F.concat("y", "z").alias("yz"), "y", "z").join(counts, "g", "left").fillna(0, ["allow", "block"])
-    t = materialize(t)
-    p = {}
-    for k in ("allow", "block"):
-        n = F.col(k)
-        pairs = t.groupBy("yz", "y", "z").agg(F.sum(n).alias("n"))
-        zs = t.groupBy("z").agg(F.sum(n).alias(f"{k}_z"))
-        ys = pairs.groupBy("y").agg(F.sum("n").alias(f"{k}_y"), F.count_if(F.col("n") > 0).alias(f"{k}_ty"))
-        xys = t.groupBy("xy").agg(F.sum(n).alias(f"{k}_xy"), F.count_if(n > 0).alias(f"{k}_txy"))
-        total = t.agg(F.sum(n).alias("n")).first()["n"] or 0
-        t = t.join(pairs.select("yz", F.col("n").alias(f"{k}_yz")), "yz").join(zs, "z").join(ys, "y").join(xys, "xy")
-        c = {x: F.col(f"{k}_{x}").cast("double") for x in ("yz", "z", "y", "ty", "xy", "txy")}
-        p0 = (c["z"] + 0.5) / (total + 0.5 * len(SYMBOLS))
-        p1 = F.when(c["y"] > 0, (c["yz"] + c["ty"] * p0) / (c["y"] + c["ty"])).otherwise(p0)
-        p[k] = F.when(c["xy"] >= min_context, (n + c["txy"] * p1) / (c["xy"] + c["txy"])).otherwise(p1)
-    return t.select("g", F.round(1e6 * (F.log(p["allow"]) - F.log(p["block"]))).cast("long").alias("ratio"))
-
-
-def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    symbols = counts.agg(F.count_distinct(F.substring("g", ORDER + 1, 1))).first()[0] + 1  # one for all unseen ones
+    lower = None
+    for k in range(ORDER + 1):
+        own = counts.groupBy(F.substring("g", ORDER + 1 - k, k + 1).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        own = own.withColumn("context", F.substring("gram", 1, k))
+        sums = [f for c in ("allow", "block") for f in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_t"))]
+        own = own.join(own.groupBy("context").agg(*sums), "context")
+        if lower is None:
+            own = own.withColumns({"allow_p": F.lit(1.0) / symbols, "block_p": F.lit(1.0) / symbols})
+        else:
+            own = own.withColumn("shorter", F.substring("gram", 2, k)).join(lower, "shorter")
+        p = lambda c: F.when(F.col(f"{c}_n") == 0, F.col(f"{c}_p")).otherwise((F.col(c) + F.col(f"{c}_t") * F.col(f"{c}_p")) / (F.col(f"{c}_n") + F.col(f"{c}_t")))
+        # a first symbol of all is as likely as any where a class taught nothing or only others
+        base = {c: F.when(p(c) > 0, p(c)).otherwise(F.lit(1.0) / symbols) for c in ("allow", "block")}
+        held = materialize(own.select("gram", base["allow"].alias("allow_p"), base["block"].alias("block_p")))
+        lower = held.withColumnRenamed("gram", "shorter")
+    return held.select(F.col("gram").alias("g"), F.round(1e6 * (F.log("allow_p") - F.log("block_p"))).cast("long").alias("ratio"))
+
+
+def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", broadcast_rows: int = 500_000) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score (mean log-likelihood difference per symbol).
 
-    The urls decided by a rule train the two models: four fifths of them (by a hash of the url) are counted, the rest set
-    the threshold of best balanced accuracy. Undefined cases: a null url has empty parts and is scored as an empty
-    string; with one class of training urls only, or none, urls without a rule are allowed. Repeated rows stay, ties at
-    the threshold are allowed, other input columns are ignored.
+    The urls decided by a rule train the two models: most of them (by a hash of the url) are counted, the rest set
+    the threshold of best balanced accuracy. Ratios are broadcast only if they are counted to be at most broadcast_rows, of
+    some 30 bytes each. Undefined cases: a null url has empty parts and is scored as an empty string; with one class of
+    training urls only, or none, urls without a rule are allowed. Repeated rows stay, ties at the threshold are allowed,
+    other input columns are ignored.
     """
     url = F.col(f"`{url_col}`")
     host, path = url_parts(url)
-    base = df.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), folded(url).alias("s"))
+    base = df.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), padded(host, url).alias("s"))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = F.lit(None).cast("string")
     for verdict, rule in rules:
         ruled = F.when(F.col("rule") == rule, verdict).otherwise(ruled)
-    base = base.withColumn("ruled", ruled).withColumn("fit", F.pmod(F.xxhash64("s"), F.lit(5)) != 0)
-    grams = base.where("ruled IS NOT NULL AND fit").select("ruled", F.explode(trigrams(F.col("s"))).alias("g"))
-    counts = grams.groupBy("g").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"))
-    ratio = materialize(markov_ratio(counts))
-    # len(SYMBOLS)**3 rows bound the broadcast; the row id keeps repeated rows apart and does not leave this plan
-    hits = base.withColumn("rid", F.monotonically_increasing_id()).withColumn("g", F.explode(trigrams(F.col("s")))).join(F.broadcast(ratio), "g")
+    base = base.withColumn("ruled", ruled).withColumn("fit", ~F.substring(F.md5("s"), 1, 1).isin("0", "1", "2"))
+    taught = lambda v: F.count_if((F.col("ruled") == v) & F.col("fit")).alias(v)
+    counts = base.select("ruled", "fit", F.explode(grams(F.col("s"))).alias("g")).groupBy("g").agg(taught("allow"), taught("block"))
+    ratio = markov_ratio(materialize(counts))
+    ratio = F.broadcast(ratio) if ratio.count() <= broadcast_rows else ratio
+    # the row id keeps repeated rows apart and does not leave this plan
+    hits = base.withColumn("rid", F.monotonically_increasing_id()).withColumn("g", F.explode(grams(F.col("s")))).join(ratio, "g")
     scored = materialize(hits.groupBy("rid", "page_id", "host", "path", "rule", "ruled", "fit").agg((F.sum("ratio") / F.count("*") / 1e6).alias("score")))
     cut = threshold(scored.where("ruled IS NOT NULL AND NOT fit"))
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block") if cut is not None else F.lit("allow")

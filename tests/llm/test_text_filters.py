@@ -1,6 +1,7 @@
 """Secrets, sharding, url filter, SimHash and decontamination against plain Python on small fixtures."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -100,6 +101,47 @@ def test_url_model_tells_classes_apart(spark):
     assert [r.verdict for r in got[-2:]] == ["allow", "block"]
 
 
+def brute_scores(urls):
+    """Witten-Bell by recursion over plain counters."""
+    order, parts = url_filter.ORDER, []
+    for u in urls:
+        rest = re.sub(r"^[^:/?#]*://", "", u or "")
+        host = re.match(r"[^/?#]*", (u or "").partition("://")[2])[0]
+        parts.append("\x02" * order + host.lower() + rest[len(host) :] + "\x03")
+    rows = [("allow" if "good" in u else "block" if "bad" in u else None, hashlib.md5(s.encode()).hexdigest()[0] not in "012", s) for u, s in zip(urls, parts, strict=True)]
+    symbols = len({s[i] for s in parts for i in range(order, len(s))}) + 1
+    seen = {c: defaultdict(lambda: defaultdict(int)) for c in ("allow", "block")}
+    for c, fit, s in rows:
+        if c and fit:
+            for i in range(order, len(s)):
+                for k in range(order + 1):
+                    seen[c][s[i - k : i]][s[i]] += 1
+
+    def p(c, context, x):
+        shorter = p(c, context[1:], x) if context else 1 / symbols
+        own = seen[c].get(context)
+        return (own.get(x, 0) + len(own) * shorter) / (sum(own.values()) + len(own)) if own else shorter
+
+    return [sum(round(1e6 * (math.log(p("allow", s[i - order : i], s[i])) - math.log(p("block", s[i - order : i], s[i])))) for i in range(order, len(s))) / (len(s) - order) / 1e6 for s in parts]
+
+
+def test_url_scores_match_recursion(spark):
+    urls = [f"http://GOOD{i % 7}.org/aAa/{i}" for i in range(60)] + [f"http://bad{i % 5}.com/de/zz{i}é" for i in range(60)] + ["http://other.net/aAa/1", "http://other.net/de/zz2?q=ß", "ftp://x.y/" + "long/" * 2000, "no scheme"]
+    urls = [u.replace("GOOD", "good") if i % 2 else u for i, u in enumerate(urls)]
+    for limit in (500_000, 0):
+        got = url_filter.filter_urls(spark.createDataFrame([(i, u, 0) for i, u in enumerate(urls)], "page_id long, url string, g int"), broadcast_rows=limit).orderBy("page_id").collect()
+        want = brute_scores([u.replace("GOOD", "good") for u in urls])
+        assert all(abs(r.score - w) < 1e-9 for r, w in zip(got, want, strict=True))
+    assert [got[k].verdict for k in (120, 121)] == ["allow", "block"]
+
+
+def test_null_urls_beside_a_model(spark):
+    urls = [f"http://a.org/{i}" for i in range(50)] + [f"http://a.com/de/{i}" for i in range(50)] + [None, None, "", "://", "http://"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert len(got) == len(urls) and all((r.host, r.path, r.rule) == ("", "", None) and r.verdict in ("allow", "block") for r in got[100:])
+    assert len({r.verdict for r in got[100:]}) == 1
+
+
 def brute_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not words:
