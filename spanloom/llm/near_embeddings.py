@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
-SHARD_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MAX_CENTRES = 400, 2000, 20_000, 4096
+#: Rows a shard aims at and rows of a block; vectors that train centres; centres on one level and on two (a larger table has larger shards, searched block by block).
+SHARD_ROWS, BLOCK_ROWS, SAMPLE_ROWS, FLAT, MAX_CENTRES = 400, 2000, 20_000, 4096, 65_536
+
+
+def kind_of(vectors: DataFrame) -> str:
+    return vectors.schema["v"].dataType.simpleString()
 
 
 def unit(vectors) -> np.ndarray:
@@ -67,16 +72,35 @@ def prune(x: np.ndarray, most: int = 24, pool: int = 48, alpha: float = 1.2) ->
     return out
 
 
-def search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, floor: float, beam: int = 32) -> np.ndarray:
+def graph_of(ids: np.ndarray, lists: list, width: int = 64) -> np.ndarray:
+    """Neighbours of each row (-1 pads): its own list, then the rows that list it, `width` at most. Ids of other shards drop out."""
+    n = len(ids)
+    own = np.concatenate([np.full(0 if x is None else len(x), i) for i, x in enumerate(lists)])
+    other = np.concatenate([np.asarray([] if x is None else x, np.int64) for x in lists])
+    order = np.argsort(ids, kind="stable")
+    at = order[np.minimum(np.searchsorted(ids[order], other), n - 1)]
+    own, at = own[ids[at] == other], at[ids[at] == other]
+    a, b, back = np.concatenate((own, at)), np.concatenate((at, own)), np.repeat((0, 1), len(own))
+    _, first = np.unique(a * n + b, return_index=True)  # of two the outgoing one, which comes first
+    a, b, back = a[first], b[first], back[first]
+    order = np.lexsort((b, back, a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    out = np.full((n, max(1, min(width, int(place.max(initial=0)) + 1))), -1)
+    fits = place < width
+    out[a[fits], place[fits]] = b[fits]
+    return out
+
+
+def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, floor: float, beam: int = 32) -> np.ndarray:
     """Boolean queries x rows: found pairs with similarity >= floor."""
-    n, width = len(x), max((len(a) for a in links), default=0)
-    graph = np.full((n, max(1, width)), -1)
-    for i, a in enumerate(links):
-        graph[i, : len(a)] = a
+    n = len(x)
     f, q = x.astype(np.float32), queries.astype(np.float32)
     medoid = int(np.argmax(f @ f.mean(axis=0)))
     found = np.zeros((len(q), n), bool)
     slack = floor - 1e-5
+    reachable = np.zeros((n, n), np.float32)
+    reachable[np.nonzero(graph >= 0)[0], graph[graph >= 0]] = 1
     for lo in range(0, len(q), 256):
         part = q[lo : lo + 256]
         m = len(part)
@@ -105,36 +129,69 @@ def search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, floor: f
             all_done = np.concatenate((done[live], ~ok), 1)
             top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
             ids[live], sims[live], done[live] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
-        front = np.argwhere(near)
-        while len(front):  # expand what is in range until nothing new is
-            step = graph[front[:, 1]]
-            pairs = np.stack((np.repeat(front[:, 0], step.shape[1]), step.ravel()), 1)
-            pairs = pairs[pairs[:, 1] >= 0]
-            pairs = pairs[~seen[pairs[:, 0], pairs[:, 1]]]
-            seen[pairs[:, 0], pairs[:, 1]] = True
-            keys = np.unique(pairs[:, 0] * n + pairs[:, 1])
-            pairs = np.stack((keys // n, keys % n), 1)
-            pairs = pairs[np.einsum("ij,ij->i", part[pairs[:, 0]], f[pairs[:, 1]]) >= slack] if len(pairs) else pairs
-            near[pairs[:, 0], pairs[:, 1]] = True
-            front = pairs
-        a, b = np.nonzero(near)
-        ok = np.einsum("ij,ij->i", queries[lo + a], x[b]) >= floor  # verified in double precision
-        found[lo + a[ok], b[ok]] = True
+        front = near
+        while front.any():  # expand what is in range until nothing new is
+            new = (front.astype(np.float32) @ reachable > 0) & ~seen
+            seen |= new
+            front = similar(part, f, new, slack)
+            near = near | front
+        found[lo : lo + m] = similar(queries[lo : lo + m], x, near, floor)  # verified in double precision
     return found
 
 
-def dealt(vectors: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
+def similar(queries: np.ndarray, x: np.ndarray, pairs: np.ndarray, floor: float, at_once: int = 50_000) -> np.ndarray:
+    """Those of the marked pairs whose similarity is at least floor."""
+    out = np.zeros_like(pairs)
+    a, b = np.nonzero(pairs)
+    for lo in range(0, len(a), at_once):
+        r, c = a[lo : lo + at_once], b[lo : lo + at_once]
+        ok = np.einsum("ij,ij->i", queries[r], x[c]) >= floor
+        out[r[ok], c[ok]] = True
+    return out
+
+
+class Centres:
+    """Cluster centres; of many, one looks only among those below the nearest of a level above, so that dealing a vector costs
+    about the square root of their number."""
+
+    def __init__(self, sample: np.ndarray, k: int):
+        self.top = self.below = None
+        if k <= FLAT or len(sample) <= FLAT:
+            self.all = centres(sample, max(1, min(k, len(sample))))
+            return
+        self.top = centres(sample[:SAMPLE_ROWS], int(np.sqrt(k)))
+        home = np.concatenate([np.argmax(part @ self.top.T, axis=1) for part in np.array_split(sample.astype(np.float32), max(1, len(sample) // 2000))])
+        parts = [centres(own, max(1, min(len(own), round(k * len(own) / len(sample))))) for j in range(len(self.top)) if len(own := sample[home == j])]
+        self.top = self.top[np.unique(home)]
+        self.all = np.concatenate(parts)
+        ends = np.cumsum([len(p) for p in parts])
+        self.below = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
+    def nearest(self, x: np.ndarray, overlap: int, tops: int = 4) -> np.ndarray:
+        """The `overlap` nearest centres of each row, nearest first; -1 pads."""
+        if self.top is None:
+            return np.argsort(-(x @ self.all.T), axis=1, kind="stable")[:, :overlap].astype("int32")
+        near, out = np.argsort(-(x @ self.top.T), axis=1, kind="stable")[:, :tops], np.full((len(x), overlap), -1, np.int32)
+        best = np.full((len(x), overlap), -9.0, np.float32)
+        for t in np.unique(near).tolist():
+            rows, (lo, hi) = np.flatnonzero((near == t).any(axis=1)), self.below[t]
+            sims = np.concatenate((best[rows], x[rows] @ self.all[lo:hi].T), axis=1)
+            ids = np.concatenate((out[rows], np.broadcast_to(np.arange(lo, hi, dtype=np.int32), (len(rows), hi - lo))), axis=1)
+            pick = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
+            out[rows], best[rows] = np.take_along_axis(ids, pick, 1), np.take_along_axis(sims, pick, 1)
+        return out
+
+
+def dealt(vectors: DataFrame, c: Centres, overlap: int) -> DataFrame:
     """vectors plus their `overlap` nearest shards, nearest first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                sims = unit(f["v"]).astype(np.float32) @ c.T
-                n = min(overlap, c.shape[0])
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :n].astype("int32")
-                yield f.assign(shards=list(top))
+            for lo in range(0, len(f), 1000):
+                part = f.iloc[lo : lo + 1000]
+                yield part.assign(shards=[r[r >= 0] for r in c.nearest(unit(part["v"]).astype(np.float32), overlap)])
 
-    return vectors.mapInPandas(run, "id long, copies long, v array<float>, shards array<int>")
+    return vectors.mapInPandas(run, f"id long, copies long, v {kind_of(vectors)}, shards array<int>")
 
 
 def shard_graph(frame: pd.DataFrame) -> pd.DataFrame:
@@ -143,48 +200,49 @@ def shard_graph(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[row[row >= 0]] for row in g]})
 
 
+def labelled(found: np.ndarray, asked: np.ndarray, ids: np.ndarray, links: np.ndarray) -> pd.DataFrame:
+    """id, links, least: for each query its links and the least id of its local component; for data that are no queries the latter."""
+    both = np.unique(np.concatenate((asked, ids)))
+    least, a, b = np.arange(len(both), dtype=np.int32), np.searchsorted(both, asked), np.searchsorted(both, ids)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, np.where(found, least[b], len(both)).min(axis=1).astype(np.int32))
+        np.minimum.at(new, b, np.where(found, least[a][:, None], len(both)).min(axis=0).astype(np.int32))
+        if (new == least).all():
+            break
+        least = new
+    out = pd.DataFrame({"id": asked, "links": links, "least": both[least[a]]})
+    more = ~np.isin(ids, asked) & (both[least[b]] != ids)
+    return pd.concat([out, pd.DataFrame({"id": ids[more], "links": 0, "least": both[least[b[more]]]})], ignore_index=True)
+
+
 def links_of(floor: float, beam: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """One row per query of the task: links that belong to this shard (the first that both ends share), least id of its local component."""
         frame = frame.sort_values(["id", "role"]).reset_index(drop=True)
         data, ask = frame[frame["role"] != 1].reset_index(drop=True), frame[frame["role"] != 0].reset_index(drop=True)
-        out = pd.DataFrame({"id": ask["id"], "links": np.zeros(len(ask), np.int64), "least": ask["id"]})
+        ids, asked = data["id"].to_numpy(), ask["id"].to_numpy()
         if not len(data) or not len(ask):
-            return out
-        x, q, ids, asked = unit(data["v"]), unit(ask["v"]), data["id"].to_numpy(), ask["id"].to_numpy()
-        at = {int(i): k for k, i in enumerate(ids)}
-        pairs = {(k, at[int(j)]) for k, near in enumerate(data["near"]) if near is not None for j in near if int(j) in at}
-        links: list[list[int]] = [[] for _ in ids]
-        for a, b in sorted(pairs | {(b, a) for a, b in pairs}):
-            links[a].append(b)
-        found = search(x, [np.array(a, int) for a in links], q, floor, beam)
+            return pd.DataFrame({"id": asked, "links": 0, "least": asked})
+        found = search(unit(data["v"]), graph_of(ids, data["near"].to_list()), unit(ask["v"]), floor, beam)
         if len(ids) == len(asked) and (ids == asked).all():
             found |= found.T
-        here = int(frame["shard"].iloc[0])
-        ours, theirs = np.stack(ask["shards"].to_list()), np.stack(data["shards"].to_list())
-        copies, least = data["copies"].to_numpy(), asked.copy()
-        a, b = np.nonzero(found & (asked[:, None] != ids[None, :]))
-        first = np.full(len(a), np.iinfo(np.int32).max)
-        for j in range(ours.shape[1]):
-            for k in range(theirs.shape[1]):
-                same = ours[a, j] == theirs[b, k]
-                first[same] = np.minimum(first[same], ours[a[same], j])
-        own = first == here
-        out["links"] = np.bincount(a[own], copies[b[own]], len(asked)).astype(np.int64)
-        label = {int(i): int(i) for i in {*ids.tolist(), *asked.tolist()}}
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        for i, j in zip(asked[a].tolist(), ids[b].tolist(), strict=True):
-            i, j = root(i), root(j)
-            label[max(i, j)] = min(i, j)
-        out["least"] = [root(int(i)) for i in asked]
-        more = [i for i in ids.tolist() if root(i) != i and not (asked == i).any()]
-        return pd.concat([out, pd.DataFrame({"id": more, "links": 0, "least": [root(i) for i in more]})], ignore_index=True) if more else out
+        found &= asked[:, None] != ids[None, :]
+        here, copies, links = int(frame["shard"].iloc[0]), data["copies"].to_numpy(), np.zeros(len(ask), np.int64)
+        wide = max(map(len, frame["shards"]))
+        padded = lambda side, empty: np.stack([np.pad(r, (0, wide - len(r)), constant_values=empty) for r in side["shards"]])
+        ours, theirs = padded(ask, -1), padded(data, -2)
+        a, b = np.nonzero(found)
+        for lo in range(0, len(a), 100_000):
+            r, c = a[lo : lo + 100_000], b[lo : lo + 100_000]
+            first = np.full(len(r), np.iinfo(np.int32).max)
+            for j in range(wide):
+                for k in range(wide):
+                    same = ours[r, j] == theirs[c, k]
+                    first[same] = np.minimum(first[same], ours[r[same], j])
+            own = first == here
+            links += np.bincount(r[own], copies[c[own]], len(asked)).astype(np.int64)
+        return labelled(found, asked, ids, links)
 
     return run
 
@@ -206,15 +264,19 @@ def audit(vectors: DataFrame, found: DataFrame, floor: float, queries: int = 100
 
     true = vectors.mapInPandas(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true")).toPandas()
     both = ask.merge(true, on="id").query("true > 0")
-    hit = np.minimum(both["links"], both["true"])
+    if (both["links"] > both["true"]).any():
+        raise RuntimeError("a link was counted twice")
+    hit = both["links"]
     return float(min(hit.sum() / both["true"].sum(), (hit / both["true"]).mean())) if len(both) else 1.0
 
 
-def sampled_centres(vectors: DataFrame, rows: int) -> np.ndarray:
-    share = min(1.0, SAMPLE_ROWS / max(1, rows))
-    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("id", F.lit(1))).select("v").limit(SAMPLE_ROWS).toPandas()
-    k = max(1, min(MAX_CENTRES, rows // SHARD_ROWS, len(sample)))
-    return centres(unit(sample["v"]), k) if len(sample) else np.zeros((1, 1), np.float32)
+def sampled_centres(vectors: DataFrame, rows: int, most: int) -> Centres:
+    """One centre for SHARD_ROWS vectors, `most` in all, from a sample of SAMPLE_ROWS vectors or four a centre."""
+    k = max(1, min(most, rows // SHARD_ROWS))
+    size = max(SAMPLE_ROWS, 4 * k)
+    share = min(1.0, size / max(1, rows))
+    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("id", F.lit(1))).select("v").limit(size).toPandas()
+    return Centres(unit(sample["v"]) if len(sample) else np.zeros((1, 1)), k)
 
 
 def compared(floor: float):
@@ -226,18 +288,7 @@ def compared(floor: float):
             return pd.DataFrame({"id": asked, "links": 0, "least": asked})
         x, q = unit(data["v"]), unit(ask["v"])
         found = np.concatenate([q[lo : lo + 256] @ x.T >= floor for lo in range(0, len(q), 256)]) & (asked[:, None] != ids[None, :])
-        both = np.unique(np.concatenate((asked, ids)))
-        least, a, b = np.arange(len(both), dtype=np.int32), np.searchsorted(both, asked), np.searchsorted(both, ids)
-        while True:
-            new = least.copy()
-            np.minimum.at(new, a, np.where(found, least[b], len(both)).min(axis=1).astype(np.int32))
-            np.minimum.at(new, b, np.where(found, least[a][:, None], len(both)).min(axis=0).astype(np.int32))
-            if (new == least).all():
-                break
-            least = new
-        out = pd.DataFrame({"id": asked, "links": found @ copies, "least": both[least[a]]})
-        more = ~np.isin(ids, asked) & (both[least[b]] != ids)
-        return pd.concat([out, pd.DataFrame({"id": ids[more], "links": 0, "least": both[least[b[more]]]})], ignore_index=True)
+        return labelled(found, asked, ids, found @ copies)
 
     return run
 
@@ -256,7 +307,7 @@ def reached(vectors: DataFrame, rows: int, floor: float, reach: float) -> DataFr
     """search_all() without a graph: each vector is data of the shard of its nearest centre c and asks every shard that can
     hold a link of it. Its partner is nearer to that shard's centre d, so it lies beyond the plane between c and d; at an angle of
     arccos(floor) that is at most sin(arccos(floor)) away. reach is the share of this distance; at 1 no link is left out."""
-    c = sampled_centres(vectors, rows)
+    c = sampled_centres(vectors, rows, FLAT).all
     apart = np.sqrt(np.maximum((c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * c @ c.T, 0))
     most = reach * np.sqrt(1 - floor**2)
 
@@ -268,16 +319,16 @@ def reached(vectors: DataFrame, rows: int, floor: float, reach: float) -> DataFr
                 near = sims[np.arange(len(f)), home][:, None] - sims <= most * apart[home] + 1e-4
                 yield f.assign(home=home.astype("int32"), shards=[np.flatnonzero(r).astype("int32") for r in near])
 
-    placed = materialize(vectors.mapInPandas(run, "id long, copies long, v array<float>, home int, shards array<int>"))
+    placed = materialize(vectors.mapInPandas(run, f"id long, copies long, v {kind_of(vectors)}, home int, shards array<int>"))
     data = placed.select(F.col("home").alias("cell"), F.lit(False).alias("ask"), "id", "copies", "v")
     return compare_all(data.union(placed.select(F.explode("shards"), F.lit(True), "id", "copies", "v")), floor)
 
 
 def search_all(vectors: DataFrame, rows: int, floor: float, overlap: int, beam: int) -> DataFrame:
     """id, links, least for every distinct vector (id, copies, v); several rows per id, to be summed and united."""
-    placed = materialize(dealt(vectors, sampled_centres(vectors, rows), overlap))
+    placed = materialize(dealt(vectors, sampled_centres(vectors, rows, MAX_CENTRES), overlap))
     spread = placed.select("id", "copies", "v", "shards", F.explode("shards").alias("shard"))
-    blocks = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # MAX_CENTRES rows at most
+    blocks = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # MAX_CENTRES rows at most, 8 bytes each
     spread = spread.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     built = spread.groupBy("shard", "block").applyInPandas(lambda f: shard_graph(f), "id long, near array<long>")
     graph = materialize(built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
@@ -310,7 +361,8 @@ def near_vectors(df: DataFrame, floor: float = 0.95, id_col: str = "vec_id", vec
     most frequent one, are compared without a graph.
     Repeated rows count as vectors of their own. Other columns are ignored.
     """
-    v = F.col(f"`{vector_col}`").cast("array<float>")
+    given = df.select(F.col(f"`{vector_col}`").alias("v"))
+    v = F.col(f"`{vector_col}`").cast("array<float>" if kind_of(given) == "array<float>" else "array<double>")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
     fit = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.withColumn("v", F.when(fit, F.col("v"))))

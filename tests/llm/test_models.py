@@ -37,6 +37,8 @@ def test_embeddings_match_brute_force(spark):
     assert np.mean([got[i].component_id == comp[i] for i in range(len(x))]) > 0.97
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1000, 1007))
     assert near_embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    close = [(1, [1.0, 1e-12]), (2, [1.0, 2e-12]), (3, [1e300, 1e300]), (4, [1e-300, 1e-300])]  # told apart as doubles only
+    assert [tuple(r)[:3] for r in near_embeddings.near_vectors(spark.createDataFrame(close, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()] == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3)]
 
 
 def test_blocks_of_one_shard_find_the_same(spark, monkeypatch):
@@ -63,6 +65,34 @@ def test_dense_group_over_many_shards_keeps_its_links(spark, monkeypatch):
     assert [(got[i].n_links, got[i].component_id) for i, _ in short] == [(4, 5000)] * 5
 
 
+def brute_links(x, floor=0.95):
+    linked = x @ x.T >= floor
+    np.fill_diagonal(linked, False)
+    comp = np.arange(len(x))
+    while True:
+        new = np.minimum(comp, np.where(linked, comp[None, :], len(x)).min(axis=1))
+        if (new == comp).all():
+            return linked.sum(axis=1), comp
+        comp = new
+
+
+@pytest.mark.parametrize("flat", [4096, 4])
+def test_many_shards_on_one_level_and_on_two(spark, monkeypatch, flat):
+    monkeypatch.setattr(near_embeddings, "SHARD_ROWS", 60)
+    monkeypatch.setattr(near_embeddings, "FLAT", flat)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 24))
+    rows = np.concatenate((base, *(base[rng.integers(0, 300, 300)] + rng.normal(scale=s, size=(300, 24)) for s in (0.05, 0.1, 0.2, 0.25)))).astype(np.float32)
+    extreme = [(9000, [1e30] + [0.0] * 23), (9001, [2e30] + [0.0] * 23), (9002, [1e-40] + [0.0] * 23), (9003, [1.0, 2.0, 3.0]), (9004, [1.0, 2.0, 3.001])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + extreme, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_embeddings.near_vectors(df).collect()}
+    true, comp = brute_links(near_embeddings.unit(rows))
+    ours = np.array([got[i].n_links for i in range(len(rows))])
+    assert (ours <= true).all() and ours.sum() >= 0.98 * true.sum() and true.sum() > 1000
+    assert np.mean([got[i].component_id == comp[i] for i in range(len(rows))]) > 0.97
+    assert [(got[i].n_links, got[i].component_id) for i in range(9000, 9005)] == [(2, 9000)] * 3 + [(1, 9003)] * 2
+
+
 @pytest.fixture(scope="module")
 def codec():
     return sentencepiece_codec.Codec(sentencepiece_codec.read_model(MODEL))
