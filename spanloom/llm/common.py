@@ -99,6 +99,20 @@ def without(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each of n nodes' component, for the edges (a, b) of one task."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(a, b) longs -> (node, component), the component being its smallest node.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, connected_components, discard, gram_hashes, materialize, text_rows
+from .common import MIX, WordHashes, connected_components, discard, gram_hashes, local_components, materialize, text_rows
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def simhash_groups(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 TABLES_AT_ONCE, STAR_TABLES = 13, 3  # what near_copies() shuffles at once; tables that find the dense groups first
-SMALL, LEAF = 64, 50_000  # members of a ball whose pairs are listed; rows of a bucket that are expanded at once
+SMALL, LEAF = 64, 50_000  # members of a ball that are compared along with other balls; rows of a bucket that are expanded at once
 
 
 def tuned(width: int, similarity: float, recall: float) -> int:
@@ -130,8 +130,8 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall
     A pair of that similarity differs in more bits than a ball of a 64-bit fingerprint can hold, so a long fingerprint is cut
     into tables of short ones; in each table the ball hashing runs on the short fingerprints. All that meet in a ball are
     compared, first by all bits of the long fingerprints, then by the exact Jaccard similarity of the sets of word shingles;
-    only pairs that are known to be in one group are passed over. So that dense groups are known early, a few tables first
-    compare each member of a ball with one of them. The bits of a table are log2 of the number of documents and 14 more, so chance
+    only pairs that are known to be in one group are passed over. So that dense groups are known early, each document is first
+    compared with the least one that it meets in a few tables, twice. The bits of a table are log2 of the number of documents and 14 more, so chance
     collisions stay below one a document and table at any size; the number of tables follows, so that a pair of just that
     similarity meets with probability `recall` (for independent bits). Documents of equal long fingerprints are
     compared like any others. Null and empty texts are left alone, as are null ids; repeated ids are one document; other
@@ -141,8 +141,8 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall
     rows = max(2, docs.count())
     width = min(60, max(26, int(np.ceil(np.log2(rows))) + 14))
     tables = tuned(width, similarity, recall)
-    lanes = -(-tables * width // 64)
-    prefix = min(16, max(2, int(np.ceil(np.log2(rows / 16_384)))))
+    lanes = -(-tables * width // 64) + 2
+    prefix = min(16, max(4, int(np.ceil(np.log2(rows / 65_536)))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
@@ -157,29 +157,45 @@ def near_copies(df: DataFrame, similarity: float = 0.8, shingle: int = 5, recall
     same = materialize(marked.join(lead.where("n > 1"), names).where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
     discard(marked)
     most = tolerance(similarity, lanes * 64)
-    star = met_pairs(lead.withColumn("label", F.col("lead")), names, range(min(STAR_TABLES, tables)), width, prefix, most, True)
-    known = verified(docs, same.union(star), shingle, similarity)
-    labels = connected_components(known).withColumnsRenamed({"node": "lead", "component": "label"})
-    lead = materialize(lead.join(labels, "lead", "left").withColumn("label", F.coalesce("label", "lead")))
-    close = None
+    known = verified(docs, same, shingle, similarity)
+    for lo in (0, STAR_TABLES):
+        star = met_pairs(labelled(lead, known), names, range(lo, min(lo + STAR_TABLES, tables)), width, prefix, most, True)
+        known = known.union(verified(docs, star, shingle, similarity))
+    lead, clusters = materialize(labelled(lead, known)), None
     for lo in range(0, tables, TABLES_AT_ONCE):
-        some = materialize(met_pairs(lead, names, range(lo, min(tables, lo + TABLES_AT_ONCE)), width, prefix, most, False))
-        close = some if close is None else close.union(some)
-    near = verified(docs, close, shingle, similarity)
+        some = materialize(met_pairs(lead, names, range(lo, min(tables, lo + TABLES_AT_ONCE)), width, prefix, tolerance(similarity, 128), False))
+        clusters = some if clusters is None else clusters.union(some)
+    near = compared(docs, lead, connected_components(clusters), names, shingle, similarity)
     return connected_components(known.union(near)).select(F.col("node").alias("doc_id"), F.col("component").alias("keep"))
 
 
+def compared(docs: DataFrame, lead: DataFrame, clusters: DataFrame, names: list[str], shingle: int, similarity: float, block: int = 1000) -> DataFrame:
+    """(a, b) that join up what is alike in the clusters (node, component): all members of different labels are compared, block
+    by block, by their long fingerprints and then by exact Jaccard similarity; pairs never leave a task."""
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = clusters.withColumnRenamed("node", "lead").join(sizes, "component").join(lead, "lead").withColumn("own", F.pmod(F.xxhash64("lead"), F.col("blocks")).cast("int"))
+    wanted = members.select(F.col("lead").alias("doc_id"))
+    members = materialize(members.select("lead", "label", "component", "blocks", "own", *names))
+    grams = materialize(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle))
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y")))
+    batches = max(1, members.count() // block)  # clusters of one block share tasks
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(batches))).otherwise(F.col("component"))
+    work = members.select("lead", "label", "component", "own", *names, task.alias("task"), F.explode(places).alias("at")).join(grams.withColumnRenamed("doc_id", "lead"), "lead")
+    return materialize(work.select("task", "at.x", "at.y", "component", "own", "lead", "label", "grams", *names).groupBy("task", "x", "y").applyInPandas(block_links(names, tolerance(similarity, 64 * len(names)), similarity), "a long, b long"))
+
+
+def labelled(lead: DataFrame, known: DataFrame) -> DataFrame:
+    """lead with the least document of the group that the known pairs put it in."""
+    labels = connected_components(known).withColumnsRenamed({"node": "lead", "component": "label"})
+    return lead.join(labels, "lead", "left").withColumn("label", F.coalesce("label", "lead"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets of word shingles have at least that Jaccard similarity."""
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "grams": pd.Series([shingle_set(t, shingle, memo).view(np.int64) for t in f["text"]], dtype=object)})
-
     pairs = materialize(pairs.distinct())
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    grams = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]))
+    grams = materialize(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle))
     both = pairs.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     near = materialize(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common)).select("a", "b"))
@@ -187,42 +203,61 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return near
 
 
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, grams: the sorted hashes of a document's word shingles, once for each id."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"], "grams": pd.Series([shingle_set(t, shingle, memo).view(np.int64) for t in f["text"]], dtype=object)})
+
+    return docs.mapInPandas(run, "doc_id long, grams array<long>").dropDuplicates(["doc_id"])
+
+
 def met_pairs(lead: DataFrame, names: list[str], tables: range, width: int, prefix: int, most: int, star: bool) -> DataFrame:
-    """(a, b): documents of different labels that meet in a ball of these tables and whose long fingerprints differ in `most` bits at most.
+    """(a, b) documents of different labels that meet in a ball of these tables.
 
     A fingerprint goes to the buckets of its one-bit variants, by their first `prefix` bits; the variants themselves are made
-    in the bucket. With star, members of a ball are paired with its least one only; else all of them are: pair by
-    pair in small balls, block by block in others, where only pairs within `most` bits are listed.
+    in the bucket. With star, a document is paired with the least one of its balls only, and the pairs' long fingerprints
+    differ in `most` bits at most. Else all members of a ball are compared in the bucket by a sketch of 128 other bits that may
+    differ in `most`, and what comes out are not the pairs, but links that join up the same documents.
     """
     one = F.lit(1).cast("long")
-    cut = lead.select("lead", "label", F.posexplode(F.array(*[short(names, t * width, width) for t in tables])).alias("table", "fp"))
+    sketch = [F.col(n).alias(f"s{i}") for i, n in enumerate(names[-2:])]
+    cut = lead.select("lead", "label", *sketch, F.posexplode(F.array(*[short(names, t * width, width) for t in tables])).alias("table", "fp"))
     head = F.shiftrightunsigned("fp", width - prefix)
     buckets = F.concat(F.array(head), F.transform(F.sequence(F.lit(0), F.lit(prefix - 1)), lambda i: head.bitwiseXOR(F.call_function("shiftleft", one, i))))
-    sent = cut.select("lead", "label", "table", "fp", F.explode(buckets).alias("bucket"))
-    met = sent.groupBy("table", "bucket").applyInPandas(ball_members(width, prefix, star), "ball long, a long, b long")
-    met = met if star else materialize(met)
+    sent = cut.select("lead", "label", "table", "fp", *(() if star else ("s0", "s1")), F.explode(buckets).alias("bucket"))
+    met = sent.groupBy("table", "bucket").applyInPandas(ball_members(width, prefix, most, star), "a long, b long").distinct()
+    if not star:
+        return met
     left, right = (lead.select(F.col("lead").alias(c), F.struct(*names).alias(f"f{c}")) for c in "ab")
     apart = sum((F.bit_count(F.col(f"fa.{n}").bitwiseXOR(F.col(f"fb.{n}"))) for n in names), F.lit(0))
-    pairs = met.where("b IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-    if star:
-        return pairs
-    big = met.where("b IS NULL").select("ball", F.col("a").alias("lead"))
-    sizes = big.groupBy("ball").agg(F.ceil(F.count("*") / 1000).cast("int").alias("blocks"))
-    own = big.join(sizes, "ball").join(lead, "lead").withColumn("own", F.pmod(F.xxhash64("lead"), F.col("blocks")).cast("int"))
-    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y")))
-    spread = own.select("ball", "lead", "label", "own", *names, F.explode(places).alias("at")).select("ball", "at.x", "at.y", "lead", "label", "own", *names)
-    return pairs.union(spread.groupBy("ball", "x", "y").applyInPandas(block_pairs(names, most), "a long, b long"))
+    return met.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+
 
+def alike(sketch: np.ndarray, labels: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of x and y, all with all, of different labels and with sketches (rows of longs) that differ in `most` bits at most."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(1, 200_000 // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        part = x[lo : lo + step]
+        apart = sum((np.bitwise_count(sketch[part, None, k] ^ sketch[None, y, k]).astype(np.int16) for k in range(sketch.shape[1])), np.zeros(1, np.int16))
+        i, j = np.nonzero((apart <= most) & (labels[part, None] != labels[None, y]))
+        a.append(part[i])
+        b.append(y[j])
+    return np.concatenate(a), np.concatenate(b)
 
-def ball_members(width: int, prefix: int, star: bool):
-    """Pairs (a, b) that meet in a ball, and for balls of more than SMALL members the members (a) by ball."""
+
+def ball_members(width: int, prefix: int, most: int, star: bool):
+    """Pairs (a, b) for met_pairs(), from one bucket of a table."""
 
     def leaf(fp, who, value, low):
         """Variants below a prefix of the fingerprints that have it, and of those that differ from it in one bit."""
         own = fp >> low == value
         mine, near = fp[own], fp[~own]
         made = [mine, *(mine ^ (1 << i) for i in range(low)), (value << low) | (near & ((1 << low) - 1))]
-        return np.concatenate(made), np.concatenate([*[who[own]] * (low + 1), who[~own]])
+        return np.concatenate(made), np.concatenate([*[who[own]] * (low + 1), who[~own]]), np.arange(len(mine) * (low + 1) + len(near)) < len(mine) * (low + 1)
 
     def leaves(fp, who, value, low):
         if len(fp) <= LEAF or low == 0:
@@ -234,13 +269,14 @@ def ball_members(width: int, prefix: int, star: bool):
             yield from leaves(fp[keep], who[keep], value * 2 + b, low - 1)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, labels, table = frame["lead"].to_numpy(), frame["label"].to_numpy(), int(frame["table"].iloc[0])
+        ids, labels = frame["lead"].to_numpy(), frame["label"].to_numpy()
         order = np.argsort(ids)
         ids, labels = ids[order], labels[order]
-        pairs, members = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
-        for v, who in leaves(frame["fp"].to_numpy()[order], np.arange(len(ids)), int(frame["bucket"].iloc[0]), width - prefix):
+        sketch = None if star else frame[["s0", "s1"]].to_numpy()[order].view(np.uint64)
+        pairs = [np.empty((0, 2), np.int64)]
+        for v, who, own in leaves(frame["fp"].to_numpy()[order], np.arange(len(ids)), int(frame["bucket"].iloc[0]), width - prefix):
             at = np.argsort(v, kind="stable")
-            v, who = v[at], who[at]
+            v, who, own = v[at], who[at], own[at]
             edge = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.empty(0, np.int64)
             size = np.diff([*edge, len(v)])
             if not len(edge):
@@ -248,38 +284,52 @@ def ball_members(width: int, prefix: int, star: bool):
             mixed = np.minimum.reduceat(labels[who], edge) != np.maximum.reduceat(labels[who], edge)
             first = np.minimum.reduceat(who, edge)
             if star:
-                hit = np.repeat(mixed, size)
+                hit = np.repeat(mixed, size) & own
                 a, b = who[hit], np.repeat(first, size)[hit]
-                pairs.append(np.unique(np.stack((b, a), axis=1)[labels[a] != labels[b]], axis=0))
+                apart, least = labels[a] != labels[b], np.full(len(ids), len(ids))
+                np.minimum.at(least, a[apart], b[apart])
+                a = np.flatnonzero(least < len(ids))
+                pairs.append(np.stack((least[a], a), axis=1))
                 continue
             few = np.repeat(mixed & (size <= SMALL), size)
             w, ball = who[few], np.repeat(np.arange(len(size)), size)[few]
             for k in range(1, int(size[mixed & (size <= SMALL)].max(initial=1))):
-                ok = (ball[k:] == ball[:-k]) & (labels[w[k:]] != labels[w[:-k]])
-                pairs.append(np.sort(np.stack((w[:-k][ok], w[k:][ok]), axis=1), axis=1))
-            many = np.repeat(mixed & (size > SMALL), size)
-            members.append(np.stack((v[many] * 64 + table, ids[who[many]]), axis=1))
-        p, m = np.unique(np.concatenate(pairs), axis=0), np.concatenate(members)
-        none = pd.array([None] * len(m), "Int64")
-        two = pd.DataFrame({"ball": np.zeros(len(p), np.int64), "a": ids[p[:, 1]], "b": pd.array(ids[p[:, 0]], "Int64")})
-        return pd.concat([two, pd.DataFrame({"ball": m[:, 0], "a": m[:, 1], "b": none})], ignore_index=True)
+                a, b = w[:-k][ball[k:] == ball[:-k]], w[k:][ball[k:] == ball[:-k]]
+                near = (labels[a] != labels[b]) & (np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most)
+                pairs.append(np.stack((a[near], b[near]), axis=1))
+            for at in np.flatnonzero(mixed & (size > SMALL)).tolist():
+                members = np.unique(who[edge[at] : edge[at] + size[at]])
+                pairs.append(np.stack(alike(sketch, labels, members, members, most), axis=1))
+            pairs = [forest(len(ids), np.concatenate(pairs))]
+        p = np.concatenate(pairs)
+        return pd.DataFrame({"a": ids[p[:, 1]], "b": ids[p[:, 0]]})
 
     return run
 
 
-def block_pairs(names: list[str], most: int):
-    """Pairs of different labels, of one block or of two, whose long fingerprints differ in `most` bits at most."""
+def forest(n: int, pairs: np.ndarray) -> np.ndarray:
+    """At most n pairs that join up what these pairs do."""
+    least = local_components(n, pairs[:, 0], pairs[:, 1])
+    own = np.flatnonzero(least != np.arange(n))
+    return np.stack((least[own], own), axis=1)
+
+
+def block_links(names: list[str], most: int, similarity: float):
+    """Links (a, b) that join up the like documents of different labels in two blocks of a cluster, or in whole clusters."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, labels, fps = frame["lead"].to_numpy(), frame["label"].to_numpy(), frame[names].to_numpy().view(np.uint64)
-        x, y = (np.flatnonzero(frame["own"] == frame[c]) for c in "xy")
-        out = []
-        for i in x.tolist():
-            near = y[np.bitwise_count(fps[y] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most]
-            near = near[labels[near] != labels[i]]
-            out.append(np.stack((np.maximum(ids[near], ids[i]), np.minimum(ids[near], ids[i])), axis=1))
-        out = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+        ids, labels, fps, grams = frame["lead"].to_numpy(), frame["label"].to_numpy(), frame[names].to_numpy().view(np.uint64), frame["grams"].tolist()
+        pairs = [np.empty((0, 2), np.int64)]
+        for _, own in frame.reset_index(drop=True).groupby("component"):
+            x, y = (own.index[own["own"] == own[c]].to_numpy() for c in "xy")
+            a, b = alike(fps, labels, x, y, most)
+            a, b = a[a != b], b[a != b]
+            same = np.fromiter((np.intersect1d(grams[i], grams[j], assume_unique=True).size for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
+            sizes = np.fromiter((len(grams[i]) + len(grams[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
+            near = same >= similarity * (sizes - same)
+            pairs.append(np.stack((a[near], b[near]), axis=1))
+        p = forest(len(ids), np.concatenate(pairs))
+        return pd.DataFrame({"a": ids[p[:, 1]], "b": ids[p[:, 0]]})
 
     return run
 
