@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 # Splitter sizes and the band of utilisation in percent.
 SIZES = (64, 32, 16, 8)
@@ -69,31 +67,6 @@ def splitter_table(spark: SparkSession, most: int = 4096) -> DataFrame:
     return spark.range(most + 1).select(F.col("id").cast("int").alias("hh"), splitter_plan(F.col("id").cast("int")).alias("plan"))
 
 
-def custom_plan(sizes: list[int]):
-    """A pandas function hh -> (counts per size, ascending) for size lists without the divisibility that splitter_plan() uses."""
-    sizes = sorted(sizes)
-
-    def best(hh: int) -> list[int]:
-        if hh <= 0:
-            return [0] * len(sizes)
-        low = max(hh, -(-hh * 10 // 9), sizes[0])
-        high = max(low + sizes[-1], int(hh / 0.6) + sizes[-1])
-        fewest: list[tuple[int, ...] | None] = [tuple([0] * len(sizes))] + [None] * high
-        for total in range(1, high + 1):
-            for i, s in enumerate(sizes):
-                if total >= s and (before := fewest[total - s]) is not None and (fewest[total] is None or sum(before) + 1 < sum(fewest[total])):
-                    fewest[total] = tuple(n + (k == i) for k, n in enumerate(before))
-        options = [(not 60 <= 100 * hh / p <= 90, sum(fewest[p]), p) for p in range(low, high + 1) if fewest[p] is not None]
-        return list(fewest[min(options)[2]])
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def plan(hh: pd.Series) -> pd.Series:
-        known = {n: best(int(n)) for n in hh.dropna().unique()}
-        return hh.map(known)
-
-    return plan
-
-
 def quantized(c: Column, step: float) -> Column:
     """To the nearest multiple, halves to even."""
     return F.rint(c / step) * step
@@ -134,19 +107,28 @@ def margin(distance: Column) -> dict[str, Column]:
     return {"margin": m, "gap": F.greatest(F.lit(2.0), m * 0.4), "footprint": F.least(F.lit(6.0), F.greatest(F.lit(3.0), m * 0.3))}
 
 
-#: A number token: an optional sign, digits that may be grouped by three, an optional decimal part.
-TOKEN = r"([-+()]?)\s*((?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d+)?)"
-
-
 def price(c: Column) -> Column:
-    """The last number of a price cell; the rightmost of two kinds of separators is the decimal one; null if there is none."""
+    """The last number of a price cell, null if there is none.
+
+    The cell is split at whatever is neither digit nor separator, and the last part with a digit counts. With both kinds
+    of separators the rightmost is the decimal one and the others go; a comma alone is a decimal comma. A minus right before
+    the number, or parentheses around anything in the cell, make it negative.
+    """
     s = F.trim(c)
-    sign = F.element_at(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(1)), -1)
-    raw = F.element_at(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(2)), -1)
-    last = F.regexp_extract(raw, r"([.,])[^.,]*$", 1)
-    mixed = F.contains(raw, F.lit(".")) & F.contains(raw, F.lit(","))
-    plain = F.when(mixed & (last == ","), F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(mixed, F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
-    value = plain.try_cast("double")
-    negative = (sign == "-") | (F.contains(s, F.lit("(")) & F.contains(s, F.lit(")")))
-    usable = s.rlike(TOKEN) & ~F.lower(s).isin("nan", "none", "-", "--")
-    return F.when(usable, F.when(negative, -value).otherwise(value))
+    parts = F.filter(F.split(s, "[^0-9.,]+"), lambda x: x.rlike("[0-9]"))
+    raw = F.regexp_replace(F.get(parts, F.size(parts) - 1), "^[.,]+|[.,]+$", "")
+    dot, comma = F.instr(F.reverse(raw), "."), F.instr(F.reverse(raw), ",")  # the smaller is farther right; 0: none
+    spare = F.when((dot > 0) & (comma > 0), F.when(comma < dot, ".").otherwise(",")).otherwise("")
+    value = F.translate(F.when(spare == "", raw).otherwise(F.replace(raw, spare, F.lit(""))), ",", ".").try_cast("double")
+    before = F.rtrim(F.regexp_extract(s, "^(.*[^0-9.,])?[0-9.,]*[0-9][^0-9]*$", 1))
+    return F.when(before.endswith("-") | (F.contains(s, F.lit("(")) & F.contains(s, F.lit(")"))), -value).otherwise(value)
+
+
+def snap_reach(tolerance: Column | float = 25.0, room: float = 50.0, least: float = 75.0) -> Column:
+    """How far a snap may look: the tolerance and some room, but never less than `least`."""
+    return F.greatest(F.lit(tolerance) + room, F.lit(least))
+
+
+def node_step(spacing: Column) -> Column:
+    """Quantising step of graph nodes: a fifth of the spacing of dense points, within 0.001 and 0.05."""
+    return F.least(F.lit(0.05), F.greatest(F.lit(0.001), spacing / 5))

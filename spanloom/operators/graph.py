@@ -49,18 +49,19 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         e = cut(j.select("q", "m").union(j.select("p", "m")).select(F.greatest("q", "m").alias("p"), F.least("q", "m").alias("q")).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("p", "q").cast("decimal(38,0)"))).first()
         if now == last:
-            break
+            return e.groupBy(F.col("p").alias("node")).agg(F.min("q").alias("component"))
         last = now
-    return e.groupBy(F.col("p").alias("node")).agg(F.min("q").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def checkpoints(df: DataFrame):
-    """checkpoint() into the folder of spark.checkpoint.dir; a session without one gets a temporary folder."""
+    """checkpoint() into the folder of spark.checkpoint.dir, which all executors share; a session without one raises."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path)
     return lambda d: d.checkpoint()
 
 
@@ -113,8 +114,8 @@ def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
         same = new.join(best.withColumnsRenamed({"dist": "d0", "label": "l0"}), "node", "left").where("d0 IS NULL OR d0 != dist OR l0 != label").isEmpty()
         best = new
         if same:
-            break
-    return best
+            return best
+    raise RuntimeError(f"distances did not settle in {rounds} rounds")
 
 
 def common_prefix(paths: DataFrame, group: str, path: str = "path") -> DataFrame:

@@ -192,3 +192,39 @@ def addresses_in_two(assignments: DataFrame) -> DataFrame:
 def least_areas(hh: Column, most: int) -> Column:
     """The theoretical minimum of areas for a number of homes."""
     return F.ceil(F.sum(hh) / most).cast("long")
+
+
+def nearest_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, distance: Column) -> DataFrame:
+    """Every left row with the nearest of the right rows of its key (ties to the least right_id), as left_id, right_id, d."""
+    j = left.join(right, key).withColumn("_d", distance)
+    best = j.groupBy(left_id).agg(F.min_by(F.struct(right_id, "_d"), F.struct("_d", right_id)).alias("b"))
+    return best.select(left_id, f"b.{right_id}", F.col("b._d").alias("d"))
+
+
+def all_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """Every non-null key of the tables once, with a boolean column for each table that says whether it holds the key."""
+    both = None
+    for name, df in tables.items():
+        rows = df.select(key, F.lit(name).alias("_in"))
+        both = rows if both is None else both.unionByName(rows)
+    holds = [F.max((F.col("_in") == n).cast("int")).cast("boolean").alias(f"in_{n}") for n in tables]
+    return both.where(F.col(key).isNotNull()).groupBy(key).agg(*holds)
+
+
+def total_length(df: DataFrame, length: Column, field: str | None = None, value: str | None = None) -> DataFrame:
+    """rows, length_m: count and length of a layer, or of the rows whose field has that value as text."""
+    some = df if field is None else df.where(F.coalesce(F.col(field).cast("string"), F.lit("")) == F.lit(value or ""))
+    return some.agg(F.count("*").alias("rows"), F.round(F.coalesce(F.sum(length), F.lit(0.0)), 2).alias("length_m"))
+
+
+def by_homes(clusters: DataFrame, by: str, homes: str, order: str, name: str = "rank") -> DataFrame:
+    """Clusters of each `by` numbered from 1: most homes first, then in their own order."""
+    return clusters.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(homes), order)))
+
+
+def choice(value, options: dict[str, str], default: str) -> str:
+    """An option from its position, its key or its label, whatever the case; anything else is the default."""
+    keys, text = list(options), str(value).strip().lower()
+    if text.lstrip("+").isdigit() and not isinstance(value, bool):
+        return keys[int(text)] if int(text) < len(keys) else default
+    return next((k for k, label in options.items() if text in (k.lower(), label.lower())), default)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, covers, crossing, foot, segments_meet, steps
@@ -73,19 +73,54 @@ def snapped(points: DataFrame, segs: DataFrame, tolerance: float, key: str = "fi
     return points.join(n, key, "left").withColumns({"x": F.coalesce("fx", "x"), "y": F.coalesce("fy", "y"), "snapped": F.col("d").isNotNull()}).drop("fx", "fy", "d")
 
 
-def ring_nearest(points: DataFrame, others: DataFrame, radii: list[float], key: str = "fid", other: str = "node") -> DataFrame:
-    """key, other, d: the nearest of others (other, x, y), looked for in growing radii; only what is unmatched goes on."""
-    left, found = points.select(key, "x", "y"), None
-    for r in radii:
+def ring_nearest(points: DataFrame, others: DataFrame, radii: list[float], key: str = "fid", other: str = "node", endless: bool = True) -> DataFrame:
+    """key, other, d: the nearest of others (other, x, y), looked for in growing radii; only what is unmatched goes on.
+
+    With endless, radii go on growing fourfold until no point is left, so that only an empty table of others leaves points out.
+    """
+    from .graph import checkpoints
+
+    cut = checkpoints(points)
+    left, found, r = cut(points.select(key, "x", "y")), None, 0.0
+    places = cut(others.select(other, F.col("x").alias("ox"), F.col("y").alias("oy")))
+    rounds = list(radii)
+    while rounds or (endless and not left.isEmpty() and not places.isEmpty()):
+        r = rounds.pop(0) if rounds else 4 * r
         a = near_cells(left, F.col("x"), F.col("y"), r)
-        b = own_cell(others.select(other, F.col("x").alias("ox"), F.col("y").alias("oy")), F.col("ox"), F.col("oy"), r)
+        b = own_cell(places, F.col("ox"), F.col("oy"), r)
         d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
         hit = a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= r).groupBy(key).agg(F.min_by(F.struct(other, "d"), F.struct("d", other)).alias("b")).select(key, f"b.{other}", "b.d")
+        hit = cut(hit)
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select(key), key, "left_anti")
+        left = cut(left.join(hit.select(key), key, "left_anti"))
     return found
 
 
+def typical_spacing(points: DataFrame, reach: float, k: int = 12, by: str = "area", key: str = "fid") -> DataFrame:
+    """by, spacing: the exact median of the distances to each point's k nearest others within reach; 1.0 where there are none."""
+    near = neighbour_pairs(points, reach, key).where("d2 > 0")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("d2", "other"))
+    best = near.withColumn("n", rank).where(F.col("n") <= k).select(key, F.sqrt("d2").alias("d"))
+    return points.select(key, by).join(best, key, "left").groupBy(by).agg(F.coalesce(F.median("d"), F.lit(1.0)).alias("spacing"))
+
+
+def inside_others(points: DataFrame, polygons: DataFrame, own: str, size: float, key: str = "fid") -> DataFrame:
+    """Points (key, x, y, own) that no other polygon than their own covers."""
+    hit = point_in_polygon(points, polygons, size, key).join(points.select(key, own), key).where(F.col("poly") != F.col(own))
+    return points.join(hit.select(key).distinct(), key, "left_anti")
+
+
+def crossed_by_both(lines: DataFrame, left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Segments (fid, ax..by) that meet a segment of the left and one of the right side: a half join for each."""
+    meet = segments_meet(*[F.col(c) for c in ("ax", "ay", "bx", "by", "wax", "way", "wbx", "wby")])
+    out = lines
+    for side in (left, right):
+        w = box_cells(side.select(*[F.col(c).alias("w" + c) for c in ("ax", "ay", "bx", "by")]), F.struct(F.least("wax", "wbx").alias("xmin"), F.least("way", "wby").alias("ymin"), F.greatest("wax", "wbx").alias("xmax"), F.greatest("way", "wby").alias("ymax")), size)
+        hit = box_cells(lines.select("fid", "ax", "ay", "bx", "by"), segment_box(), size).join(w, ["cx", "cy"]).where(meet).select("fid").distinct()
+        out = out.join(hit, "fid", "left_semi")
+    return out
+
+
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """Segment pairs that meet in one point: a's fid, b's other, x, y. Both sides have ax..by; b's are renamed inside."""
     a = box_cells(a, segment_box(), size)

@@ -253,11 +253,11 @@ CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 9 ELSE 0 END AS INTEGER) AS hh
 
 def link_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("a"), (F.col("o_orderkey") % 5000).cast("string").alias("b"))
-    keys = V.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("k"))
+    keys = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
     return relational.link_overlap(rows, ["a", "b"], keys, "k")
 
 
-OVERLAP_SQL = """WITH k AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) SELECT 'a' AS name, count(DISTINCT o_custkey) AS overlap FROM orders WHERE o_custkey IN (SELECT k FROM k)
+OVERLAP_SQL = """WITH k AS (SELECT c_custkey AS k FROM customer) SELECT 'a' AS name, count(DISTINCT o_custkey) AS overlap FROM orders WHERE o_custkey IN (SELECT k FROM k)
 UNION ALL SELECT 'b', count(DISTINCT o_orderkey % 5000) FROM orders WHERE o_orderkey % 5000 IN (SELECT k FROM k)"""
 
 
@@ -303,14 +303,22 @@ SELECT town, CAST(x AS VARCHAR) || ':' || CAST(j * 100 AS VARCHAR) AS node, CASE
 
 
 def healed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Street nodes and premises as nodes: edges closed over gaps of up to 8 m."""
-    p = V.premises(spark, sf_dir).select(F.concat(F.lit("p"), F.col("fid").cast("string")).alias("node"), "x", "y")
-    none = p.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("w"))
-    return graph.healed(none, p, 8.0).select("u", "v", F.round("w", 3).alias("w"))
+    """Premises and the crossing they are nearest to: edges to crossings within 40 m exist, other gaps of up to 40 m are closed."""
+    p = V.premises(spark, sf_dir).select("town", F.concat(F.lit("p"), F.col("fid").cast("string")).alias("node"), "x", "y")
+    # the corner of the hundred metres that is nearest, streets end at 1000 m
+    grid = lambda c: F.least(F.floor((c + 50) / 100) * 100, F.lit(1000)).cast("long")
+    cx, cy = grid(F.col("x") - F.col("town") * V.TOWN), grid(F.col("y"))
+    crossing = F.concat_ws("_", F.concat(F.lit("c"), F.col("town").cast("string")), cx.cast("string"), cy.cast("string"))
+    to = p.select("town", "node", crossing.alias("c"), (F.col("town") * V.TOWN + cx).cast("double").alias("cx"), cy.cast("double").alias("cy"), F.hypot(F.col("x") - F.col("town") * V.TOWN - cx, F.col("y") - cy).alias("w"))
+    have = to.where("w > 1e-6 AND w <= 40").select(F.col("c").alias("u"), F.col("node").alias("v"), "w")
+    nodes = p.select("node", "x", "y").union(to.select("c", "cx", "cy").distinct())
+    return graph.healed(have, nodes, 40.0).select("u", "v", F.round("w", 3).alias("w"))
 
 
-HEAL_SQL = f"""WITH {V.PREMISES_SQL} SELECT 'p' || a.fid AS u, 'p' || b.fid AS v, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 3) AS w FROM premises a JOIN premises b ON a.town = b.town AND 'p' || a.fid < 'p' || b.fid
-AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64 WHERE (a.x, a.y) <> (b.x, b.y)"""
+HEAL_SQL = f"""WITH {V.PREMISES_SQL}, k AS (SELECT fid, town, x, y, CAST(least(floor((x - town * 20000 + 50) / 100) * 100, 1000) AS BIGINT) AS cx, CAST(least(floor((y + 50) / 100) * 100, 1000) AS BIGINT) AS cy FROM premises),
+n AS (SELECT 'p' || fid AS node, town, x, y FROM premises UNION ALL SELECT DISTINCT 'c' || town || '_' || cx || '_' || cy, town, CAST(town * 20000 + cx AS DOUBLE), CAST(cy AS DOUBLE) FROM k)
+SELECT a.node AS u, b.node AS v, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 3) AS w FROM n a JOIN n b ON a.town = b.town AND a.node < b.node
+AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) > 1e-6"""
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,17 +338,17 @@ SELECT area, arg_min(cand, (total, cand)) AS cand, round(CAST(min(total) AS DOUB
 
 
 def garden_trenches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Premises to the nearer of two sidewalks: horizontal roads moved 3 m up and down."""
-    r = V.roads(spark, sf_dir).where("fid % 22 < 11")
+    """Premises to the nearest sidewalk: every road moved 3 m to either side; left wins ties."""
+    r = V.roads(spark, sf_dir)
     s = network.sidewalks(r)
     side = lambda k: spatial.segments(s.where(F.col("side") == k).select("fid", "line"), "fid")
     g = network.gardens(V.premises(spark, sf_dir).select("fid", "x", "y"), side("L"), side("R"), 60.0)
-    return g.select("fid", "side", F.round("d", 3).alias("d"), F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"))
+    return g.select("fid", "side", F.round("d", 3).alias("d"))
 
 
-GARDEN_SQL = f"""WITH {V.PREMISES_SQL}, w AS (SELECT p.fid, side, y AS py, sqrt(power(greatest(x - (town * 20000 + 1000), 0), 2) + power(y - (i * 100 + off), 2)) AS d, least(x, town * 20000 + 1000) AS fx, CAST(i * 100 + off AS DOUBLE) AS fy
-FROM premises p, range(11) a(i), (VALUES ('L', 3), ('R', -3)) b(side, off)), k AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY round(d, 9), side, fy) AS rn FROM w WHERE d <= 60)
-SELECT fid, side, round(d, 3) AS d, fx, fy FROM k WHERE rn = 1"""
+GARDEN_SQL = f"""WITH {V.PREMISES_SQL}, w AS (SELECT p.fid, side, sqrt(power(greatest(x - town * 20000 - 1000, 0), 2) + power(y - (i * 100 + off), 2)) AS d FROM premises p, range(11) a(i), (VALUES ('L', 3), ('R', -3)) b(side, off)
+UNION ALL SELECT p.fid, side, sqrt(power(greatest(y - 1000, 0), 2) + power(x - (town * 20000 + i * 100 + off), 2)) FROM premises p, range(11) a(i), (VALUES ('L', -3), ('R', 3)) b(side, off)),
+k AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY round(d, 9), side) AS rn FROM w WHERE d <= 60) SELECT fid, side, round(d, 3) AS d FROM k WHERE rn = 1"""
 
 
 def distribution_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,12 +365,12 @@ SELECT CAST(town AS VARCHAR) AS "PDP_ID", obj_cnt, total_m, segments, once_m FRO
 
 
 def distribution_cables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.premises(spark, sf_dir).where("fid % 3 = 0")
+    p = V.premises(spark, sf_dir)
     mk = lambda half: p.where(F.col("fid") % 2 == half).select(F.concat(F.lit("PDP"), F.lpad(F.col("town").cast("string"), 5, "0")).alias("PDP_ID"), "fid", geometry.line(geometry.point(F.col("x"), F.col("y")), geometry.point(F.col("x"), F.lit(0)), geometry.point(F.col("town") * V.TOWN, F.lit(0))).alias("line"))
     return trenches.distribution_cable(mk(0), mk(1))
 
 
-CABLE_SQL = f"""WITH {V.PREMISES_SQL}, p AS (SELECT * FROM premises WHERE fid % 3 = 0), s AS (SELECT DISTINCT town, x, y, 0 AS k, y AS len FROM p WHERE y <> 0 UNION SELECT DISTINCT town, x, 0, 1, x - town * 20000 FROM p WHERE x <> town * 20000)
+CABLE_SQL = f"""WITH {V.PREMISES_SQL}, p AS (SELECT * FROM premises), s AS (SELECT DISTINCT town, x, y, 0 AS k, y AS len FROM p WHERE y <> 0 UNION SELECT DISTINCT town, x, 0, 1, x - town * 20000 FROM p WHERE x <> town * 20000)
 SELECT 'pdp' || lpad(CAST(town AS VARCHAR), 5, '0') AS pdp_id, 'PDP' || lpad(CAST(town AS VARCHAR), 5, '0') AS point_id, count(*) AS segments, round(sum(len), 2) AS length_m FROM s GROUP BY town"""
 
 
@@ -390,6 +398,81 @@ DUPLICATE_SQL = """WITH r AS (SELECT c_custkey, 'P' || c_custkey % 500 AS poly_i
 SELECT c_custkey, CASE WHEN n > 1 THEN poly_id || '__' || n ELSE poly_id END AS poly_id FROM r"""
 
 
+def nearest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with the order of theirs whose total is nearest to the balance."""
+    c, o = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_custkey", "c_acctbal"), V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
+    r = relational.nearest_match(c, o, "k", "c_custkey", "o_orderkey", F.abs(F.col("o_totalprice") - F.col("c_acctbal")))
+    return r.select("c_custkey", "o_orderkey", F.round("d", 2).alias("d"))
+
+
+NEAREST_ORDER_SQL = """WITH j AS (SELECT c_custkey, o_orderkey, abs(o_totalprice - c_acctbal) AS d FROM customer JOIN orders ON c_custkey = o_custkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, o_orderkey) AS n FROM j) SELECT c_custkey, o_orderkey, round(d, 2) AS d FROM r WHERE n = 1"""
+
+
+def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of customers, suppliers and the nation table, and which of them hold each."""
+    return relational.all_keys({n: V.table(spark, sf_dir, n).select(F.col(f"{n[0]}_nationkey").cast("long").alias("nation")) for n in ("customer", "supplier", "nation")}, "nation")
+
+
+KEY_UNION_SQL = """WITH a AS (SELECT c_nationkey AS k, 1 AS t FROM customer UNION ALL SELECT s_nationkey, 2 FROM supplier UNION ALL SELECT n_nationkey, 3 FROM nation)
+SELECT CAST(k AS BIGINT) AS nation, bool_or(t = 1) AS in_customer, bool_or(t = 2) AS in_supplier, bool_or(t = 3) AS in_nation FROM a WHERE k IS NOT NULL GROUP BY k"""
+
+
+def premise_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median distance to the twelve nearest others within 150 m, by town."""
+    s = spatial.typical_spacing(V.premises(spark, sf_dir).select("fid", "town", "x", "y"), 150.0, 12, "town")
+    return s.select(F.col("town").cast("long").alias("town"), F.round("spacing", 6).alias("spacing"), F.round(numeric.snap_reach(F.col("spacing")), 6).alias("reach"), F.round(numeric.node_step(F.col("spacing") / 1000), 6).alias("step"))
+
+
+SPACING_SQL = f"""WITH {V.PREMISES_SQL}, d AS (SELECT a.fid, b.fid AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM premises a JOIN premises b ON a.town = b.town AND a.fid <> b.fid),
+k AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d2, other) AS n FROM d WHERE d2 > 0 AND d2 <= 22500), m AS (SELECT town, coalesce(median(sqrt(d2)), 1.0) AS s FROM premises p LEFT JOIN k ON k.fid = p.fid AND n <= 12 GROUP BY town)
+SELECT CAST(town AS BIGINT) AS town, round(s, 6) AS spacing, round(greatest(s + 50, 75), 6) AS reach, round(least(0.05, greatest(0.001, s / 5000)), 6) AS step FROM m"""
+
+
+def layer_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and length of all roads, and of the residential and the missing class."""
+    r = V.roads(spark, sf_dir)
+    parts = [relational.total_length(r, geometry.length(F.col("line")), *a).select(F.lit(n).alias("layer"), "rows", "length_m") for n, a in (("all", ()), ("residential", ("fclass", "residential")), ("none", ("fclass", None)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+LENGTHS_SQL = f"""WITH {V.ROADS_SQL}, l AS (SELECT fclass, sqrt(power(bx - ax, 2) + power(by_ - ay, 2)) AS m FROM roads) SELECT 'all' AS layer, count(*) AS rows, round(sum(m), 2) AS length_m FROM l
+UNION ALL SELECT 'residential', count(*), round(sum(m), 2) FROM l WHERE fclass = 'residential' UNION ALL SELECT 'none', count(*), CAST(0 AS DOUBLE) FROM l WHERE fclass IS NULL"""
+
+
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets of segments as clusters: numbered in each town by homes, then by name."""
+    c = V.premises(spark, sf_dir).groupBy("town", "segment").agg(F.sum("hh").cast("long").alias("homes"))
+    return relational.by_homes(c, "town", "homes", "segment").select(F.col("town").cast("long").alias("town"), "segment", "homes", "rank")
+
+
+CLUSTER_SQL = f"""WITH {V.PREMISES_SQL}, c AS (SELECT town, segment, CAST(sum(hh) AS BIGINT) AS homes FROM premises GROUP BY 1, 2)
+SELECT CAST(town AS BIGINT) AS town, segment, homes, CAST(row_number() OVER (PARTITION BY town ORDER BY homes DESC, segment) AS INTEGER) AS rank FROM c"""
+
+
+def stray_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises that lie in no other quarter than the one their number stands for."""
+    p = V.premises(spark, sf_dir).select("fid", "x", "y", F.concat(F.lit("POLY"), F.lpad((F.col("town") * 4 + F.col("fid") % 4).cast("string"), 5, "0")).alias("own"))
+    return spatial.inside_others(p, V.quarters(spark, sf_dir), "own", 250.0).select("fid", "own")
+
+
+STRAY_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, p AS (SELECT *, 'POLY' || lpad(CAST(town * 4 + fid % 4 AS VARCHAR), 5, '0') AS own FROM premises)
+SELECT fid, own FROM p WHERE NOT EXISTS (SELECT 1 FROM quarters WHERE poly <> own AND x BETWEEN x0 AND x0 + 500 AND y BETWEEN y0 AND y0 + 500)"""
+
+
+def tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight lines of 7 m to the east of premises that cross a left and a right sidewalk of the roads upwards."""
+    p = V.premises(spark, sf_dir)
+    lines = p.select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.lit(7.0)).alias("bx"), F.col("y").alias("by"))
+    s = network.sidewalks(V.roads(spark, sf_dir).where(F.col("line")[0]["x"] == F.col("line")[1]["x"]))
+    side = lambda k: spatial.segments(s.where(F.col("side") == k).select("fid", "line"), "fid")
+    return spatial.crossed_by_both(lines, side("L"), side("R"), 100.0).select("fid")
+
+
+TANGENT_SQL = f"""WITH {V.PREMISES_SQL}, w AS (SELECT p.fid, bool_or(x <= town * 20000 + i * 100 - 3 AND x + 7 >= town * 20000 + i * 100 - 3) AS l, bool_or(x <= town * 20000 + i * 100 + 3 AND x + 7 >= town * 20000 + i * 100 + 3) AS r
+FROM premises p, range(11) a(i) WHERE y <= 1000 GROUP BY p.fid) SELECT fid FROM w WHERE l AND r"""
+
+
 # ---- results that plain SQL does not express ----
 
 
@@ -411,13 +494,12 @@ def pdp_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways from each town's centre to 24 crossings."""
+    """Ways from each town's centre to all crossings."""
     _, e = street_graph(spark, sf_dir)
     n = e.select("town", F.col("u").alias("node")).union(e.select("town", "v")).distinct()
     at = lambda i: F.split("node", ":")[i].cast("long")
     centre = (at(0) == F.col("town") * V.TOWN + 500) & (at(1) == 500)
-    some = (F.pmod(at(0), F.lit(300)) == 0) & (F.pmod(at(1), F.lit(200)) == 0)
-    t = n.where(centre | some).select("town", F.col("node").alias("id"), "node", centre.alias("source"))
+    t = n.select("town", F.col("node").alias("id"), "node", centre.alias("source"))
     return graph.routes(e, t, "town")
 
 
@@ -438,6 +520,7 @@ SQL = {
     price_match: MATCH_SQL, bill_totals: TOTALS_SQL, stage_pivot: PIVOT_SQL, run_summary: SUMMARY_SQL, cache_keys: CACHE_SQL, geocode_cascade: GEOCODE_SQL, text_normalizers: TEXT_SQL, number_columns: NUMBER_SQL,
     link_overlap: OVERLAP_SQL, extent_guess: GUESS_SQL, grid_distances: GRID_SQL, nearest_source: SOURCE_SQL, healed_edges: HEAL_SQL, candidate_scores: SCORES_SQL, garden_trenches: GARDEN_SQL,
     distribution_rollup: ROLLUP_SQL, distribution_cables: CABLE_SQL, central_nodes: CENTRAL_SQL, clear_candidates: CLEAR_SQL, duplicate_ids: DUPLICATE_SQL,
+    nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
     region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None,
 }
 QUERIES = {f.__name__: f for f in SQL}

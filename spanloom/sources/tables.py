@@ -75,7 +75,10 @@ def promoted(df: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c, v in zip(df.columns, first, strict=True):
         same = same & F.col(f"`{c}`").eqNullSafe(F.lit(v))
-    return df.where(~same).toDF(*[v or f"col_{i}" for i, v in enumerate(values)])
+    # of equal rows only the first is the header
+    place = df.select("*", F.monotonically_increasing_id().alias("_place"))
+    top = place.where(same).agg(F.min("_place")).first()[0]
+    return place.where(F.col("_place") != F.lit(top)).drop("_place").toDF(*[v or f"col_{i}" for i, v in enumerate(values)])
 
 
 def mapping(df: DataFrame) -> dict[str, str]:

@@ -53,13 +53,7 @@ def test_splitter_plan(spark, hh, total, ports, util, ok, label):
     assert (p["total"], p["ports"], p["util"], p["ok"], p["label"]) == (total, ports, util, ok, label)
 
 
-def test_custom_sizes_agree_with_the_closed_form(spark):
-    df = spark.range(0, 150).select(F.col("id").cast("int").alias("hh"))
-    for r in df.select(numeric.custom_plan([8, 16, 32, 64])("hh").alias("c"), numeric.splitter_plan(F.col("hh")).alias("p")).collect():
-        assert r.c == [r.p["n8"], r.p["n16"], r.p["n32"], r.p["n64"]]
-
-
-@pytest.mark.parametrize("cell, value", [("1.234,56 €", 1234.56), ("1,234.5", 1234.5), ("12,50", 12.5), ("1.234", 1.234), ("1.234.567", None), ("(3,00)", -3.0), ("-5", -5.0), ("EP 12,5 / 3", 3.0), ("-", None), ("nan", None), ("", None), (None, None), ("no price", None)])
+@pytest.mark.parametrize("cell, value", [("1.234,56 €", 1234.56), ("1,234.5", 1234.5), ("12,50", 12.5), ("1.234", 1.234), ("1.234.567", None), ("(3,00)", -3.0), ("-5", -5.0), ("EP 12,5 / 3", 3.0), ("-", None), ("nan", None), ("", None), (None, None), ("no price", None), ("--", None), ("12,-", 12.0), ("EUR - 7.50 net", -7.5), ("1.234,5,6", None), ("a-b 3", 3.0)])
 def test_price_cells(spark, cell, value):
     assert values(spark, numeric.price(F.col("c")), [(cell,)], "c string") == [value]
 
@@ -200,3 +194,20 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_every_result_without_sql_has_rows(spark):
     for name in sorted(set(queries.QUERIES) - set(queries.ORACLES)):
         assert queries.QUERIES[name](spark, SF).count() > 0, name
+
+
+def test_choice():
+    options = {"fast": "Fast way", "exact": "Exact way"}
+    assert [relational.choice(v, options, "fast") for v in (1, "1", "EXACT", " exact way ", 7, None, True)] == ["exact", "exact", "exact", "exact", "fast", "fast", "fast"]
+
+
+def test_the_last_ring_is_endless(spark):
+    points, others = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 0.0)], "fid long, x double, y double"), spark.createDataFrame([("a", 3.0, 4.0)], "node string, x double, y double")
+    assert {r.fid: r.d for r in spatial.ring_nearest(points, others, [1.0, 10.0]).collect()} == {1: 5.0, 2: pytest.approx(999997.0, abs=0.01)}
+    assert [r.fid for r in spatial.ring_nearest(points, others, [10.0], endless=False).collect()] == [1] and spatial.ring_nearest(points, others.limit(0), [1.0]).count() == 0
+
+
+def test_only_the_first_header_row_goes(spark):
+    df = spark.createDataFrame([("Straße", "Street"), ("A", "1"), ("Straße", "Street")], "_c0 string, _c1 string").coalesce(1)
+    out = tables.promoted(df)
+    assert out.columns == ["Straße", "Street"] and sorted(r[0] for r in out.collect()) == ["A", "Straße"]
