@@ -61,4 +61,84 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sentencepiece, op3_quality, op4_secret_scan, op5_kd_sharding, op6_suffix_dedup, op7_substring_dedup, op8_url_filter, op9_simhash, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+
+# ---- the same results in DuckDB SQL; tokenizers, trained models and xxHash have no form there ----
+
+VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), f AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v
+WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.95 * a.size * b.size),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n ON n.a = vec_id"""
+
+
+def secrets_sql() -> str:
+    """What split() leaves between the matches of a rule gives their places, as in the operator."""
+    size = lambda part: f"coalesce(list_sum(list_transform({part}, lambda y: length(y))), 0)"
+    rules, out = secrets.BASE + secrets.MORE, []
+    for i, r in enumerate(rules):
+        rx = "'" + r.regex.replace("'", "''") + "'"
+        out.append(
+            f"list_filter(list_transform(list_zip(range(1, len(h{i}) + 1), h{i}, q{i}), lambda z: {{'s': CAST({size(f'g{i}[1:z[1]]')} + {size(f'h{i}[1:z[1] - 1]')} AS BIGINT), 'o': {i}, "
+            f"'e': CAST({size(f'g{i}[1:z[1]]')} + {size(f'h{i}[1:z[1]]')} AS BIGINT), 'k': '{r.kind}', 'n': length(z[3])}}), lambda z: z.n >= {r.least})"
+        )
+        rules[i] = f"string_split_regex(t, {rx}) AS g{i}, regexp_extract_all(t, {rx}) AS h{i}, regexp_extract_all(t, {rx}, {r.group}) AS q{i}"
+    text = lambda spans: f"array_to_string(list_transform({spans}, lambda z: z.k || ':' || z.s || ':' || z.e), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(found, lambda z: z.k = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE)
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(rules)} FROM d), f AS (SELECT doc_id, list_sort(list_concat({', '.join(out)})) AS found FROM m) "
+        f"SELECT doc_id, {counts}, sha256({text(f'list_filter(found, lambda z: z.o < {len(secrets.BASE)})')}) AS base_sha256, {text('found')} AS spans FROM f"
+    )
+
+
+REPEATS_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), s AS (SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM d, unnest(range(0, length(h) // 2 - 99)) u(i)),
+f AS (SELECT k, min({'d': doc_id, 'i': i}) AS first FROM s GROUP BY k HAVING count(*) > 1), g AS (SELECT r, i FROM s JOIN f USING (k) WHERE {'d': doc_id, 'i': i} > first),
+n AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM g), c AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM n),
+runs AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM c GROUP BY r, run), p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+k AS (SELECT d.r, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM d JOIN p USING (r) GROUP BY d.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+LEAKS_SQL = r"""WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS k FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(i) WHERE len(w) > 0),
+dw AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM bw) m, unnest(range(1, len(w) - n + 2)) u(i) WHERE len(w) >= n),
+hit AS (SELECT r, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k), c AS (SELECT r, count(DISTINCT place) AS n_hit FROM hit, unnest(range(i, i + n)) u(place) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS list FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN ids USING (r)"""
+
+
+def urls_sql() -> str:
+    """Rules as one CASE, and the Witten-Bell back-off as one pair of tables for each order."""
+    order, upper, lower = url_filter.ORDER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    cases, verdicts = [], []
+    for verdict, rule in sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[1])):
+        h, slash, p = rule.partition("/")
+        cases.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash + p}') THEN '{rule}'")
+        verdicts.append(f"WHEN '{rule}' THEN '{verdict}'")
+    parts = [
+        "a AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"b AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_replace(coalesce(url, ''), '^[^:/?#]*://', '') AS tail FROM a)",
+        f"c AS (SELECT rid, page_id, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path, repeat(chr(2), {order}) || host || substr(tail, length(host) + 1) || chr(3) AS s FROM b)",
+        f"d AS (SELECT *, CASE {' '.join(cases)} END AS rule FROM c)",
+        f"e AS (SELECT *, CASE rule {' '.join(verdicts)} END AS ruled, substr(md5(s), 1, 1) NOT IN ('0', '1', '2') AS fit FROM d)",
+        f"g AS (SELECT rid, ruled, fit, substr(s, i, {order + 1}) AS g FROM e, unnest(range(1, length(s) - {order} + 1)) u(i))",
+        "n AS (SELECT g, count(*) FILTER (ruled = 'allow' AND fit) AS allow, count(*) FILTER (ruled = 'block' AND fit) AS block FROM g GROUP BY g)",
+        f"v AS (SELECT CAST(count(DISTINCT substr(g, {order + 1}, 1)) + 1 AS DOUBLE) AS size FROM n)",
+    ]
+    for k in range(order + 1):
+        parts.append(f"o{k} AS (SELECT substr(g, {order + 1 - k}, {k + 1}) AS gram, sum(allow) AS allow, sum(block) AS block FROM n GROUP BY 1)")
+        parts.append(f"t{k} AS (SELECT substr(gram, 1, {k}) AS context, sum(allow) AS allow_n, count(*) FILTER (allow > 0) AS allow_t, sum(block) AS block_n, count(*) FILTER (block > 0) AS block_t FROM o{k} GROUP BY 1)")
+        shorter = (lambda c: "1.0 / size") if k == 0 else lambda c, k=k: f"p{k - 1}.{c}_p"
+        p = lambda c: f"CASE WHEN {c}_n = 0 THEN {shorter(c)} ELSE ({c} + {c}_t * {shorter(c)}) / CAST({c}_n + {c}_t AS DOUBLE) END AS {c}_p"  # noqa: E731, B023
+        parts.append(f"p{k} AS (SELECT o{k}.gram, {p('allow')}, {p('block')} FROM o{k} JOIN t{k} ON substr(o{k}.gram, 1, {k}) = context {'CROSS JOIN v' if k == 0 else f'JOIN p{k - 1} ON p{k - 1}.gram = substr(o{k}.gram, 2, {k})'})")
+    parts += [
+        f"r AS (SELECT rid, sum(CAST(round(1e6 * (ln(allow_p) - ln(block_p))) AS BIGINT)) / count(*) / 1e6 AS score FROM g JOIN p{order} ON g = gram GROUP BY rid)",
+        "f AS (SELECT e.*, score FROM e JOIN r USING (rid))",
+        "h AS (SELECT floor((least(greatest(score, -10.0), 10.0) + 10.0) * 200.0) AS bin, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM f WHERE ruled IS NOT NULL AND NOT fit GROUP BY 1)",
+        "w AS (SELECT bin, lag(bin) OVER (ORDER BY bin) AS before, (sum(a) OVER () - sum(a) OVER (ORDER BY bin) + a) / nullif(sum(a) OVER (), 0) + (sum(b) OVER (ORDER BY bin) - b) / nullif(sum(b) OVER (), 0) AS found FROM h)",
+        "k AS (SELECT coalesce((before + 1 + bin) / 2, bin) * 2 * 10.0::DOUBLE / 4000 - 10.0::DOUBLE AS cut FROM w WHERE found IS NOT NULL ORDER BY found DESC, bin LIMIT 1)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(score >= (SELECT cut FROM k), true) THEN 'allow' ELSE 'block' END) AS verdict, score FROM f"
+
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": VECTORS_SQL, "op4_secret_scan": secrets_sql(), "op6_suffix_dedup": REPEATS_SQL, "op8_url_filter": urls_sql(), "op10_decontamination": LEAKS_SQL}
