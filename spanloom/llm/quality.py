@@ -139,7 +139,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, sample: int = 20_000, cut:
     """One row per input row: doc_id, held_out, score, predicted (1 if score >= cut).
 
     Word vectors come from all documents. The network learns from labelled rows outside fold 0, of which a share by a
-    hash of the id is taken so that about `sample` are expected to reach the driver; fold 1 sets the temperature.
+    hash of the id is taken so that about `sample` are expected to be broadcast and to reach the driver; fold 1 sets the
+    temperature.
     Unlabelled rows and null labels teach nothing. Empty and null texts are scored from zero features; without both
     classes the score is the share of label 1 among the learning rows (0.5 without any). Repeated rows each keep a row.
     """
@@ -149,7 +150,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, sample: int = 20_000, cut:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     share = min(1.0, sample / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = features.join(marks, "doc_id").select("doc_id", "quality", fold(F.col("doc_id")).alias("fold"), "x").orderBy("doc_id", "quality").toPandas()
+    rows = features.join(F.broadcast(marks), "doc_id").select("doc_id", "quality", fold(F.col("doc_id")).alias("fold"), "x").orderBy("doc_id", "quality").toPandas()
     y = rows["quality"].to_numpy() if len(rows) else np.empty(0)
     net = None
     if len(set(y.tolist())) == 2:

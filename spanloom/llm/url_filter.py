@@ -72,7 +72,7 @@ def markov_ratio(counts: DataFrame) -> DataFrame:
     return held.select(F.col("gram").alias("g"), F.round(1e6 * (F.log("allow_p") - F.log("block_p"))).cast("long").alias("ratio"))
 
 
-def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", broadcast_rows: int = 500_000) -> DataFrame:
+def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", broadcast_rows: int = 100_000) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score (mean log-likelihood difference per symbol).
 
     The urls decided by a rule train the two models: most of them (by a hash of the url) are counted, the rest set

@@ -205,3 +205,28 @@ def test_quality_on_held_out_rows(spark):
     assert held and np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in held]) > 0.95
     assert all(r.score == 0.5 for r in quality.quality_scores(df, marks.limit(0)).collect())
     assert quality.quality_scores(df.limit(0), marks).count() == 0
+
+
+def brute_vectors(texts):
+    """Sums of the index vectors of the two words before and after each word, by plain loops over buckets."""
+    places, signs = quality.index_vectors()
+    out = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        ids = [zlib.crc32(w.encode()) % quality.BUCKETS for w in quality.TOKEN.findall(t or "")]
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if j != i:
+                    for k in range(quality.NONZERO):
+                        out[a, places[ids[j], k]] += signs[ids[j], k]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def test_word_vectors_match_plain_loops(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("alpha beta, gamma. delta eps é 12".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "w " * 50_000]
+    docs = spark.createDataFrame([(i, t, "b", [1.0]) for i, t in enumerate(texts)], "doc_id long, text string, bucket string, x array<double>")
+    got = quality.word_vectors(quality.text_rows(docs))
+    assert np.allclose(got, brute_vectors(texts), atol=1e-5)
+    marks = spark.createDataFrame([(i, i % 2, "t") for i in range(40)], "doc_id long, quality int, text string")
+    scores = quality.quality_scores(docs, marks).collect()
+    assert sorted(r.doc_id for r in scores) == list(range(len(texts))) and all(0 <= r.score <= 1 for r in scores)
