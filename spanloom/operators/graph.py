@@ -65,12 +65,31 @@ def checkpoints(df: DataFrame):
     return lambda d: d.checkpoint()
 
 
-def routes(edges: DataFrame, terminals: DataFrame, by: str) -> DataFrame:
+def shortest(near: dict[str, list[tuple[str, float]]], starts: list[tuple[str, str]], wanted: set[str] | None = None) -> dict[str, tuple[float, str, str | None]]:
+    """node -> distance, label of its nearest start (label, node), node before; ends early once all wanted nodes are known."""
+    best: dict[str, tuple[float, str, str | None]] = {}
+    heap = [(0.0, label, node, None) for label, node in starts]
+    heapq.heapify(heap)
+    left = None if wanted is None else set(wanted)
+    while heap and (left is None or left):
+        d, label, node, back = heapq.heappop(heap)
+        if node in best:
+            continue
+        best[node] = (d, label, back)
+        if left is not None:
+            left.discard(node)
+        for other, w in near.get(node, []):
+            if other not in best:
+                heapq.heappush(heap, (d + w, label, other, node))
+    return best
+
+
+def routes(edges: DataFrame, terminals: DataFrame, by: str, own: str | None = None) -> DataFrame:
     """Shortest paths in every independent network.
 
-    edges (by, u, v, w) and terminals (by, id, node, source boolean): each network goes to one task, every source is run
-    once, and each other terminal gets its nearest source (ties by distance, then source id): by, id, source, dist, path.
-    Terminals that no source reaches are left out. Paths prefer the lower (distance, node).
+    edges (by, u, v, w) and terminals (by, id, node, source boolean): each network goes to one task, and each terminal that
+    is no source gets its nearest source (ties by distance, then source id), or with own the source that this column
+    names: by, id, source, dist, path. Terminals that no source reaches are left out. Paths prefer the lower (distance, node).
     """
 
     def run(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -78,29 +97,22 @@ def routes(edges: DataFrame, terminals: DataFrame, by: str) -> DataFrame:
         for u, v, w in zip(e["u"], e["v"], e["w"], strict=True):
             near.setdefault(u, []).append((v, w))
             near.setdefault(v, []).append((u, w))
-        best: dict[str, tuple[float, str, str | None]] = {}
-        heap = [(0.0, str(r.id), r.node, None) for r in t[t["source"]].itertuples()]
-        heapq.heapify(heap)
-        while heap:
-            d, label, node, back = heapq.heappop(heap)
-            if node in best:
-                continue
-            best[node] = (d, label, back)
-            for other, w in near.get(node, []):
-                if other not in best:
-                    heapq.heappush(heap, (d + w, label, other, node))
-        out = []
-        for r in t[~t["source"]].itertuples():
-            if r.node in best:
-                path, at = [], r.node
-                while at is not None:
-                    path.append(at)
-                    at = best[at][2]
-                out.append((getattr(r, by), str(r.id), best[r.node][1], best[r.node][0], path[::-1]))
+        starts, ends, out = [(str(r.id), r.node) for r in t[t["source"]].itertuples()], t[~t["source"]], []
+        jobs = [(starts, ends)] if own is None else [([s], ends[ends["own"] == s[0]]) for s in starts]
+        for begin, some in jobs:
+            best = shortest(near, begin, set(some["node"])) if len(some) else {}
+            for r in some.itertuples():
+                if r.node in best:
+                    path, at = [], r.node
+                    while at is not None:
+                        path.append(at)
+                        at = best[at][2]
+                    out.append((getattr(r, by), str(r.id), best[r.node][1], best[r.node][0], path[::-1]))
         return pd.DataFrame(out, columns=[by, "id", "source", "dist", "path"])
 
     kind = dict(edges.dtypes)[by]
-    return edges.select(by, "u", "v", "w").groupBy(by).cogroup(terminals.select(by, "id", "node", "source").groupBy(by)).applyInPandas(run, f"{by} {kind}, id string, source string, dist double, path array<string>")
+    named = terminals.select(by, "id", "node", "source", (F.col(own).cast("string") if own else F.lit(None).cast("string")).alias("own"))
+    return edges.select(by, "u", "v", "w").groupBy(by).cogroup(named.groupBy(by)).applyInPandas(run, f"{by} {kind}, id string, source string, dist double, path array<string>")
 
 
 def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:

@@ -40,13 +40,33 @@ def price_table(cells: DataFrame, roles: dict[str, list[str]] = ROLES, price_fir
     return rows.join(F.broadcast(best), "sheet").where("desc != ''").select("row", "code", "desc", "unit", "unit_price")
 
 
+def pieces(c: Column, n: int) -> Column:
+    """All substrings of n characters; the whole text if it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+
+def holding(names: DataFrame, prices: DataFrame) -> DataFrame:
+    """names (name, needles) with every price row (row, d, ...) whose text d holds all needles.
+
+    An equi-join: names meet the rows that hold the rarest trigram of their needles (a shorter needle stands for itself)
+    and the needles themselves are tested on what meets.
+    """
+    d = F.col("d")
+    index = prices.select("row", F.explode(F.array_distinct(F.concat(pieces(d, 1), pieces(d, 2), pieces(d, 3)))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    needle = F.col("needle")
+    asked = names.select("name", F.explode("needles").alias("needle")).select("name", F.explode(F.when(F.length(needle) < 3, F.array(needle)).otherwise(pieces(needle, 3))).alias("gram"))
+    rare = asked.join(often, "gram", "left").groupBy("name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return names.join(rare, "name").join(index, "gram").join(prices, "row").where(F.forall("needles", lambda h: F.contains(d, h)))
+
+
 def matched(items: DataFrame, prices: DataFrame, code_map: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
     """Items (item_id, item, unit, quantity) with code, unit_price, amount from prices (row, code, desc, unit, unit_price).
 
     A mapped code with an empty or equal unit wins. Else all rows that hold every hint (item, hint) are candidates; if no row
     does, those that hold the first two words of four letters or more. Of candidates the first with the item's unit, or
-    else the first. Items without hints have every row as candidate, so they are answered from the first row of each
-    unit. Text conditions are tested once per distinct item, not per row.
+    else the first. Items without hints, or with nothing to look for, have every row as candidate, so they are answered
+    from the first row of each unit. Texts are looked up once per distinct item, by the rarest of their trigrams.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     p = prices.select("row", "code", F.lower("desc").alias("d"), low("unit").alias("u"), "unit_price")
@@ -54,15 +74,17 @@ def matched(items: DataFrame, prices: DataFrame, code_map: DataFrame | None = No
     told = hints.groupBy(F.trim("item").alias("name")).agg(F.collect_set(low("hint")).alias("hints")) if hints is not None else None
     names = names.join(told, "name", "left") if told is not None else names.withColumn("hints", F.lit(None).cast("array<string>"))
     words = F.slice(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) >= 4), 1, 2)
+    names = names.withColumn("hints", F.array_remove("hints", "")).withColumn("hints", F.when(F.size("hints") > 0, F.col("hints")))
     hinted = names.where("hints IS NOT NULL")
-    by_hint = hinted.join(p, F.forall("hints", lambda h: F.contains(F.col("d"), h)))
+    by_hint = holding(hinted.withColumn("needles", F.col("hints")), p)
     pick = lambda rows: rows.groupBy("name", "u").agg(F.min_by(F.struct("row", "code", "unit_price"), "row").alias("first"))
     found = pick(by_hint)
-    rest = hinted.join(found.select("name").distinct(), "name", "left_anti").withColumn("words", words)
-    by_word = pick(rest.join(p, F.forall("words", lambda w: F.contains(F.col("d"), w))))
+    rest = hinted.join(found.select("name").distinct(), "name", "left_anti").withColumn("needles", words)
+    by_word = pick(holding(rest.where(F.size("needles") > 0), p))
+    names = names.join(rest.where(F.size("needles") == 0).select("name", F.lit(True).alias("any")), "name", "left")  # nothing to look for: any row does
     special = found.unionByName(by_word)
     anyone = p.groupBy("u").agg(F.min_by(F.struct("row", "code", "unit_price"), "row").alias("first"))
-    it = items.withColumn("_name", F.trim("item")).withColumn("_unit", low("unit")).join(names.select(F.col("name").alias("_name"), F.col("hints").isNotNull().alias("_hinted")), "_name")
+    it = items.withColumn("_name", F.trim("item")).withColumn("_unit", low("unit")).join(names.select(F.col("name").alias("_name"), (F.col("hints").isNotNull() & F.col("any").isNull()).alias("_hinted")), "_name")
     first_any = anyone.agg(F.min_by("first", F.col("first.row")).alias("any_first"))
     first_special = special.groupBy(F.col("name").alias("_name")).agg(F.min_by("first", F.col("first.row")).alias("name_first"))
     out = it.join(anyone.select(F.col("u").alias("_unit"), F.col("first").alias("unit_first")), "_unit", "left").join(F.broadcast(first_any))  # one row

@@ -123,9 +123,9 @@ def group_aggregates(df: DataFrame, group: list[str], means: list[str] = ("x", "
     return out
 
 
-def numbered(df: DataFrame, order: list[Column], prefix: str, start: Column | int = 1, width: int = 5) -> Column:
-    """prefix00001, ... by an order over the whole table (one final sort; use it on layers, not on raw rows)."""
-    return F.concat(F.lit(prefix), F.lpad((F.row_number().over(Window.orderBy(*order)) + start - 1).cast("string"), width, "0"))
+def numbered(df: DataFrame, order: str, prefix: str, name: str, width: int = 5) -> DataFrame:
+    """df with column name: prefix00001, ... by the order over the whole table, by global_rank(), so that no task sees all rows."""
+    return global_rank(df, order, "_rank").withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_rank").cast("string"), width, "0"))).drop("_rank")
 
 
 def address_ids(df: DataFrame, prefix: str, street: Column, house: Column, postcode: Column, tie: Column, column: str = "addr_id") -> DataFrame:

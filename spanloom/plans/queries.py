@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, numeric, projection, text
 from ..operators import ducts, geocode, graph, logs, network, pricing, regions, relational, spatial, trenches
 from . import views as V
+from .pipeline import plan
 
 #: The splitter rule in SQL: candidates are multiples of 8, ranked by band, count, ports.
 PLAN_SQL = """
@@ -514,6 +515,17 @@ def distribution_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ducts.distribution_ducts(r.select(F.col("town").cast("string").alias("pdp_id"), F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "L").otherwise("R").alias("side"), "id", "path", "dist"))
 
 
+def plan_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and metres of every layer of the whole plan over all premises."""
+    layers = plan(V.premises(spark, sf_dir).select("fid", "x", "y", "hh", "town"), V.roads(spark, sf_dir))
+    out = None
+    for name, df in layers.items():
+        metres = next((c for c in ("length_m", "dist_m", "distance_m") if c in df.columns), None)
+        row = df.agg(F.lit(name).alias("layer"), F.count("*").alias("rows"), F.round(F.sum(metres) if metres else F.lit(None).cast("double"), 1).alias("metres"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 SQL = {
     service_summary: SERVICE_SQL, splitter_plan: SPLITTER_SQL, address_ids: ADDRESS_SQL, neighbour_counts: NEIGHBOUR_SQL, road_access: ACCESS_SQL, nearest_road: NEAREST_SQL, points_in_areas: AREAS_SQL,
     object_links: LINKS_SQL, intersection_centres: CENTRES_SQL, barrier_free: BARRIER_SQL, majority_segment: MAJORITY_SQL, group_aggregates: AGGREGATES_SQL, road_filters: FILTER_SQL, price_cells: PRICE_SQL,
@@ -521,7 +533,7 @@ SQL = {
     link_overlap: OVERLAP_SQL, extent_guess: GUESS_SQL, grid_distances: GRID_SQL, nearest_source: SOURCE_SQL, healed_edges: HEAL_SQL, candidate_scores: SCORES_SQL, garden_trenches: GARDEN_SQL,
     distribution_rollup: ROLLUP_SQL, distribution_cables: CABLE_SQL, central_nodes: CENTRAL_SQL, clear_candidates: CLEAR_SQL, duplicate_ids: DUPLICATE_SQL,
     nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
-    region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None,
+    region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
 }
 QUERIES = {f.__name__: f for f in SQL}
 ORACLES = {f.__name__: s for f, s in SQL.items() if s}

@@ -211,3 +211,22 @@ def test_only_the_first_header_row_goes(spark):
     df = spark.createDataFrame([("Straße", "Street"), ("A", "1"), ("Straße", "Street")], "_c0 string, _c1 string").coalesce(1)
     out = tables.promoted(df)
     assert out.columns == ["Straße", "Street"] and sorted(r[0] for r in out.collect()) == ["A", "Straße"]
+
+
+def test_hints_without_trigrams_or_matches(spark):
+    prices = spark.createDataFrame([(1, "1", "Erdkabel 10 m", "m", 2.0), (2, "2", "Rohr", "m", 3.0), (3, "3", "Kabel x", "pcs", 5.0)], "row int, code string, desc string, unit string, unit_price double")
+    items = spark.createDataFrame([(i, n, "m", 1.0) for i, n in enumerate(["a", "b", "c", "long Rohr", "e"])], "item_id int, item string, unit string, quantity double")
+    hints = spark.createDataFrame([("a", "kabel"), ("b", "x"), ("c", ""), ("long Rohr", "absent"), ("e", "none here")], "item string, hint string")
+    assert [r.code for r in pricing.matched(items, prices, None, hints).orderBy("item_id").collect()] == ["1", "3", "1", None, "1"]
+
+
+def test_plan(spark):
+    r = queries.V.roads(spark, SF).where("town < 2")
+    p = queries.V.premises(spark, SF).where("town < 2").select("fid", "x", "y", "hh", "town")
+    layers = queries.plan(p, r)
+    rows = {n: df.collect() for n, df in layers.items()}
+    homes = {x.fid for x in p.collect()}
+    assert {x.fid for x in rows["objects"]} == homes and len(rows["mfg"]) == 2 and all(rows.values())
+    assert {x.fid for x in rows["garden_trench"]} == homes and {x.fid for x in rows["distribution_trench"]} <= homes
+    points = {x.fid: x.PDP_ID for x in rows["objects"]}
+    assert all(points[x.fid] == x.PDP_ID for x in rows["distribution_trench"]) and len({x.PDP_ID for x in rows["pdp"]}) == len(rows["pdp"])
