@@ -141,3 +141,28 @@ def perpendicular(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by:
     ux, uy = (bx - ax) / n, (by - ay) / n
     cx, cy = x + ux * radius, y + uy * radius
     return line(point(cx - uy * (width / 2), cy + ux * (width / 2)), point(cx + uy * (width / 2), cy - ux * (width / 2)))
+
+
+def edge_distance(rings: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest edge of the rings; null without edges."""
+    edges = F.flatten(F.transform(rings, steps))
+    return F.array_min(F.transform(edges, lambda s: segment_distance(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
+
+
+def polygon_distance(rings: Column, x: Column, y: Column) -> Column:
+    """0 inside a polygon and on its edge, else the distance to the nearest edge."""
+    return F.when(covers(rings, x, y), F.lit(0.0)).otherwise(edge_distance(rings, x, y))
+
+
+def centroid(ring: Column) -> Column:
+    """Centre of area of a closed ring; the mean of its vertices if it has no area."""
+    start = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    ox, oy = ring[0]["x"], ring[0]["y"]  # from the first vertex, so that far coordinates cost no digits
+
+    def add(acc: Column, s: Column) -> Column:
+        ax, ay, bx, by = s["a"]["x"] - ox, s["a"]["y"] - oy, s["b"]["x"] - ox, s["b"]["y"] - oy
+        cross = ax * by - bx * ay
+        return F.struct((acc["area"] + cross).alias("area"), (acc["x"] + (ax + bx) * cross).alias("x"), (acc["y"] + (ay + by) * cross).alias("y"))
+
+    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[c]) / F.size(ring)
+    return F.aggregate(steps(ring), start, add, lambda a: F.when(a["area"] != 0, F.struct((ox + a["x"] / (3 * a["area"])).alias("x"), (oy + a["y"] / (3 * a["area"])).alias("y"))).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, covers, crossing, foot, segments_meet, steps
+from ..functions.geometry import bounds, centroid, covers, crossing, edge_distance, foot, polygon_distance, segments_meet, steps
 from ..functions.numeric import cell
 
 
@@ -110,15 +110,48 @@ def inside_others(points: DataFrame, polygons: DataFrame, own: str, size: float,
     return points.join(hit.select(key).distinct(), key, "left_anti")
 
 
+def meeting(lines: DataFrame, others: DataFrame, size: float) -> DataFrame:
+    """Segments (fid, ax..by) that share a point with any of the others (ax..by): a half join over cells."""
+    meet = segments_meet(*[F.col(c) for c in ("ax", "ay", "bx", "by", "wax", "way", "wbx", "wby")])
+    w = box_cells(others.select(*[F.col(c).alias("w" + c) for c in ("ax", "ay", "bx", "by")]), F.struct(F.least("wax", "wbx").alias("xmin"), F.least("way", "wby").alias("ymin"), F.greatest("wax", "wbx").alias("xmax"), F.greatest("way", "wby").alias("ymax")), size)
+    hit = box_cells(lines.select("fid", "ax", "ay", "bx", "by"), segment_box(), size).join(w, ["cx", "cy"]).where(meet).select("fid").distinct()
+    return lines.join(hit, "fid", "left_semi")
+
+
+def reference_points(polygons: DataFrame, points: DataFrame, size: float, reach: float = 5.0) -> DataFrame:
+    """poly, x, y: the points that a polygon (poly, rings) covers or that lie within reach of it; of a polygon without any its
+    centroid and the vertices of its first ring."""
+    q = box_cells(polygons.select("poly", "rings"), bounds(F.flatten("rings")), size, reach)
+    near = own_cell(points.select("x", "y"), F.col("x"), F.col("y"), size).join(q, ["cx", "cy"])
+    near = near.where(polygon_distance(F.col("rings"), F.col("x"), F.col("y")) <= reach).select("poly", "x", "y")
+    ring = F.col("rings")[0]
+    bare = polygons.join(near.select("poly").distinct(), "poly", "left_anti").select("poly", F.explode(F.concat(F.array(centroid(ring)), F.slice(ring, 1, F.size(ring) - 1))).alias("p"))
+    return near.unionByName(bare.select("poly", "p.x", "p.y"))
+
+
+def candidate_pool(polygons: DataFrame, candidates: DataFrame, size: float, inset: float = 3.0, near: float = 10.0) -> DataFrame:
+    """poly, cand, tier: the candidates (cand, x, y) of the best tier that a polygon (poly, rings) has any of.
+
+    0: inside and at least `inset` from the edge; 1: within `near` of the centroid; 2: in the bounding box; 3: the nearest
+    one, wherever it is, which stands for all of them where a polygon has none of the others.
+    """
+    middle = polygons.select("poly", "rings", centroid(F.col("rings")[0]).alias("m"), bounds(F.flatten("rings")).alias("box"))
+    q = box_cells(middle, F.col("box"), size, near)
+    c = own_cell(candidates.select("cand", "x", "y"), F.col("x"), F.col("y"), size).join(q, ["cx", "cy"])
+    x, y = F.col("x"), F.col("y")
+    inner = covers(F.col("rings"), x, y) & (edge_distance(F.col("rings"), x, y) >= inset)
+    boxed = x.between(F.col("box.xmin"), F.col("box.xmax")) & y.between(F.col("box.ymin"), F.col("box.ymax"))
+    tier = F.when(inner, 0).when(F.hypot(x - F.col("m.x"), y - F.col("m.y")) <= near, 1).when(boxed, 2)
+    ranked = c.withColumn("tier", tier).where("tier IS NOT NULL").select("poly", "cand", "tier")
+    best = ranked.groupBy("poly").agg(F.min("tier").alias("tier"))
+    far = middle.join(best, "poly", "left_anti").select("poly", "m.x", "m.y")
+    last = ring_nearest(far, candidates, [4 * size], "poly", "cand").select("poly", "cand", F.lit(3).alias("tier"))
+    return ranked.join(best, ["poly", "tier"], "left_semi").select("poly", "cand", "tier").unionByName(last)
+
+
 def crossed_by_both(lines: DataFrame, left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """Segments (fid, ax..by) that meet a segment of the left and one of the right side: a half join for each."""
-    meet = segments_meet(*[F.col(c) for c in ("ax", "ay", "bx", "by", "wax", "way", "wbx", "wby")])
-    out = lines
-    for side in (left, right):
-        w = box_cells(side.select(*[F.col(c).alias("w" + c) for c in ("ax", "ay", "bx", "by")]), F.struct(F.least("wax", "wbx").alias("xmin"), F.least("way", "wby").alias("ymin"), F.greatest("wax", "wbx").alias("xmax"), F.greatest("way", "wby").alias("ymax")), size)
-        hit = box_cells(lines.select("fid", "ax", "ay", "bx", "by"), segment_box(), size).join(w, ["cx", "cy"]).where(meet).select("fid").distinct()
-        out = out.join(hit, "fid", "left_semi")
-    return out
+    return meeting(meeting(lines, left, size), right, size)
 
 
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:

@@ -474,6 +474,52 @@ TANGENT_SQL = f"""WITH {V.PREMISES_SQL}, w AS (SELECT p.fid, bool_or(x <= town *
 FROM premises p, range(11) a(i) WHERE y <= 1000 GROUP BY p.fid) SELECT fid FROM w WHERE l AND r"""
 
 
+def used_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight lines of 12 m to the north of premises that meet a diggable road."""
+    p = V.premises(spark, sf_dir)
+    lines = p.select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), (F.col("y") + 12).alias("by"))
+    return spatial.meeting(lines, spatial.segments(relational.diggable(V.roads(spark, sf_dir)).select("fid", "line"), "fid"), 100.0).select("fid")
+
+
+USED_SQL = f"""WITH {V.PREMISES_SQL}, {V.ROADS_SQL} SELECT fid FROM premises p WHERE EXISTS (SELECT 1 FROM roads r WHERE r.town = p.town AND fclass <> 'motorway_link'
+AND p.x BETWEEN r.ax AND r.bx AND p.y <= r.by_ AND p.y + 12 >= r.ay)"""
+
+
+def polygon_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference points of the quarters, and of one lot without premises in every town."""
+    q = V.quarters(spark, sf_dir).select("poly", "rings")
+    corner = lambda x, y: geometry.point(F.col("n_nationkey") * V.TOWN + x, F.lit(y))
+    lot = geometry.line(corner(5000, 5000), corner(5100, 5000), corner(5100, 5040), corner(5000, 5040), corner(5000, 5000))
+    lots = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("LOT"), F.col("n_nationkey").cast("string")).alias("poly"), F.array(lot).alias("rings"))
+    r = spatial.reference_points(q.unionByName(lots), V.premises(spark, sf_dir), 250.0)
+    return r.groupBy("poly").agg(F.count("*").alias("points"), F.round(F.avg("x"), 3).alias("x"), F.round(F.avg("y"), 3).alias("y"))
+
+
+REFERENCES_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, h AS (SELECT poly, x, y FROM quarters JOIN premises ON power(greatest(x0 - x, x - x0 - 500, 0), 2) + power(greatest(y0 - y, y - y0 - 500, 0), 2) <= 25)
+SELECT poly, count(*) AS points, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM h GROUP BY poly UNION ALL SELECT 'LOT' || n_nationkey, 5, CAST(n_nationkey * 20000 + 5050 AS DOUBLE), CAST(5020 AS DOUBLE) FROM nation"""
+
+
+def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the quarters (inside), of thin lots around a premise (by centroid), wider ones beside it (by box) and far ones (the nearest)."""
+    p = V.premises(spark, sf_dir)
+    box = lambda x, y, w, h: F.array(geometry.line(*[geometry.point(x + i * w, y + j * h) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]))
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("fid").cast("string")).alias("poly")
+    thin = p.select(name("thin"), box(F.col("x") - 2, F.col("y") - 2, 4, 4).alias("rings"))
+    strip = p.select(name("strip"), box(F.col("x") - 1, F.col("y") - 1, 100, 4).alias("rings"))
+    away = p.groupBy("town").agg(F.min("fid").alias("fid")).select(name("away"), box(F.col("town") * V.TOWN - 3000.0, F.lit(-3000.0), 10, 10).alias("rings"))
+    polys = V.quarters(spark, sf_dir).select("poly", "rings").unionByName(thin).unionByName(strip).unionByName(away)
+    c = spatial.candidate_pool(polys, p.select(F.col("fid").alias("cand"), "x", "y"), 125.0)
+    return c.groupBy("poly").agg(F.count("*").alias("n"), F.min("tier").alias("tier"), F.min("cand").alias("least"), F.sum("cand").cast("long").alias("total"))
+
+
+POOLS_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, b AS (SELECT poly, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, 500 AS w, 500 AS h FROM quarters UNION ALL SELECT 'thin' || fid, x - 2, y - 2, 4, 4 FROM premises UNION ALL SELECT 'strip' || fid, x - 1, y - 1, 100, 4 FROM premises
+UNION ALL SELECT 'away' || min(fid), town * 20000 - 3000.0, -3000.0, 10, 10 FROM premises GROUP BY town),
+t AS (SELECT poly, fid, CASE WHEN x >= x0 + 3 AND x <= x0 + w - 3 AND y >= y0 + 3 AND y <= y0 + h - 3 THEN 0 WHEN sqrt(power(x - x0 - w / 2.0, 2) + power(y - y0 - h / 2.0, 2)) <= 10 THEN 1 WHEN x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h THEN 2 END AS tier
+FROM b JOIN premises p ON x BETWEEN x0 - 10 AND x0 + w + 10 AND y BETWEEN y0 - 10 AND y0 + h + 10), m AS (SELECT poly, fid, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY poly)),
+far AS (SELECT poly, fid, 3 AS tier FROM b CROSS JOIN premises WHERE poly LIKE 'away%' AND poly NOT IN (SELECT poly FROM m) QUALIFY row_number() OVER (PARTITION BY poly ORDER BY sqrt(power(x - x0 - 5, 2) + power(y - y0 - 5, 2)), fid) = 1)
+SELECT poly, count(*) AS n, CAST(min(tier) AS INTEGER) AS tier, min(fid) AS least, CAST(sum(fid) AS BIGINT) AS total FROM (SELECT * FROM m UNION ALL SELECT * FROM far) GROUP BY poly"""
+
+
 # ---- results that plain SQL does not express ----
 
 
@@ -533,6 +579,7 @@ SQL = {
     link_overlap: OVERLAP_SQL, extent_guess: GUESS_SQL, grid_distances: GRID_SQL, nearest_source: SOURCE_SQL, healed_edges: HEAL_SQL, candidate_scores: SCORES_SQL, garden_trenches: GARDEN_SQL,
     distribution_rollup: ROLLUP_SQL, distribution_cables: CABLE_SQL, central_nodes: CENTRAL_SQL, clear_candidates: CLEAR_SQL, duplicate_ids: DUPLICATE_SQL,
     nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
+    used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL,
     region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
 }
 QUERIES = {f.__name__: f for f in SQL}
