@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import densified
+from ..sources.shared import shared_folder
 from .spatial import neighbour_pairs, segments
 
 
@@ -55,13 +56,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
 
 
 def checkpoints(df: DataFrame):
-    """checkpoint() into the folder of spark.checkpoint.dir, which all executors share; a session without one raises."""
+    """checkpoint() into the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda d: d.checkpoint()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import geometry, numeric, projection, text
 from spanloom.operators import ducts, geocode, graph, logs, network, pricing, regions, relational, spatial
 from spanloom.plans import queries
-from spanloom.sources import sinks, tables
+from spanloom.sources import shared, sinks, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -230,3 +230,17 @@ def test_plan(spark):
     assert {x.fid for x in rows["garden_trench"]} == homes and {x.fid for x in rows["distribution_trench"]} <= homes
     points = {x.fid: x.PDP_ID for x in rows["objects"]}
     assert all(points[x.fid] == x.PDP_ID for x in rows["distribution_trench"]) and len({x.PDP_ID for x in rows["pdp"]}) == len(rows["pdp"])
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": lambda self, name, other=None: other, "set": lambda self, name, value: None})(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+    Context.master = "local[4]"
+    assert os.path.isdir(shared.shared_folder(Session()))
+    assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
