@@ -496,7 +496,8 @@ def polygon_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFERENCES_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, h AS (SELECT poly, x, y FROM quarters JOIN premises ON power(greatest(x0 - x, x - x0 - 500, 0), 2) + power(greatest(y0 - y, y - y0 - 500, 0), 2) <= 25)
-SELECT poly, count(*) AS points, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM h GROUP BY poly UNION ALL SELECT 'LOT' || n_nationkey, 5, CAST(n_nationkey * 20000 + 5050 AS DOUBLE), CAST(5020 AS DOUBLE) FROM nation"""
+SELECT poly, count(*) AS points, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM h GROUP BY poly UNION ALL SELECT poly, 5, CAST(x0 + 250 AS DOUBLE), CAST(y0 + 250 AS DOUBLE) FROM quarters WHERE poly NOT IN (SELECT poly FROM h)
+UNION ALL SELECT 'LOT' || n_nationkey, 5, CAST(n_nationkey * 20000 + 5050 AS DOUBLE), CAST(5020 AS DOUBLE) FROM nation"""
 
 
 def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,7 +517,7 @@ POOLS_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, b AS (SELECT poly, CAST
 UNION ALL SELECT 'away' || min(fid), town * 20000 - 3000.0, -3000.0, 10, 10 FROM premises GROUP BY town),
 t AS (SELECT poly, fid, CASE WHEN x >= x0 + 3 AND x <= x0 + w - 3 AND y >= y0 + 3 AND y <= y0 + h - 3 THEN 0 WHEN sqrt(power(x - x0 - w / 2.0, 2) + power(y - y0 - h / 2.0, 2)) <= 10 THEN 1 WHEN x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h THEN 2 END AS tier
 FROM b JOIN premises p ON x BETWEEN x0 - 10 AND x0 + w + 10 AND y BETWEEN y0 - 10 AND y0 + h + 10), m AS (SELECT poly, fid, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY poly)),
-far AS (SELECT poly, fid, 3 AS tier FROM b CROSS JOIN premises WHERE poly LIKE 'away%' AND poly NOT IN (SELECT poly FROM m) QUALIFY row_number() OVER (PARTITION BY poly ORDER BY sqrt(power(x - x0 - 5, 2) + power(y - y0 - 5, 2)), fid) = 1)
+far AS (SELECT poly, fid, 3 AS tier FROM b CROSS JOIN premises WHERE poly NOT IN (SELECT poly FROM m) QUALIFY row_number() OVER (PARTITION BY poly ORDER BY sqrt(power(x - x0 - w / 2.0, 2) + power(y - y0 - h / 2.0, 2)), fid) = 1)
 SELECT poly, count(*) AS n, CAST(min(tier) AS INTEGER) AS tier, min(fid) AS least, CAST(sum(fid) AS BIGINT) AS total FROM (SELECT * FROM m UNION ALL SELECT * FROM far) GROUP BY poly"""
 
 
