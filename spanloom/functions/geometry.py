@@ -166,3 +166,29 @@ def centroid(ring: Column) -> Column:
 
     mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[c]) / F.size(ring)
     return F.aggregate(steps(ring), start, add, lambda a: F.when(a["area"] != 0, F.struct((ox + a["x"] / (3 * a["area"])).alias("x"), (oy + a["y"] / (3 * a["area"])).alias("y"))).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y"))))
+
+
+def line_crossings(a: Column, b: Column) -> Column:
+    """The single points that steps of two lines share; stretches along each other give none."""
+    at = lambda s, t: crossing(*[p[k] for p in (s["a"], s["b"], t["a"], t["b"]) for k in "xy"])
+    return F.array_compact(F.flatten(F.transform(steps(a), lambda s: F.transform(steps(b), lambda t: at(s, t)))))
+
+
+def approach(a: Column, b: Column) -> Column:
+    """Struct d, x, y: the distance of two lines and the place on the second where they are closest; null if either has no step.
+
+    Two steps that do not cross are closest at one of their four ends, so these and the crossing are all there is to look at.
+    """
+    def gap(p: Column, s: Column) -> Column:
+        return segment_distance(p["x"], p["y"], s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+
+    def place(d: Column, p: Column) -> Column:
+        return F.struct(d.alias("d"), p["x"].alias("x"), p["y"].alias("y"))
+
+    def pair(s: Column, t: Column) -> Column:
+        onto = [place(gap(p, t), foot(p["x"], p["y"], t["a"]["x"], t["a"]["y"], t["b"]["x"], t["b"]["y"])) for p in (s["a"], s["b"])]
+        ends = F.array_min(F.array(*onto, *[place(gap(p, s), p) for p in (t["a"], t["b"])]))
+        at = crossing(*[p[k] for p in (s["a"], s["b"], t["a"], t["b"]) for k in "xy"])
+        return F.when(at.isNotNull(), place(F.lit(0.0), at)).otherwise(ends)
+
+    return F.array_min(F.flatten(F.transform(steps(a), lambda s: F.transform(steps(b), lambda t: pair(s, t)))))

@@ -96,6 +96,34 @@ def ring_nearest(points: DataFrame, others: DataFrame, radii: list[float], key:
     return found
 
 
+def ever_nearest(points: DataFrame, segs: DataFrame, reach: float, keep: list[str], key: str = "fid") -> DataFrame:
+    """key, d, fx, fy and the kept columns of the nearest segment, however far: the reach grows fourfold for what found nothing."""
+    from .graph import checkpoints
+
+    cut = checkpoints(points)
+    left, found = cut(points.select(key, "x", "y")), None
+    while found is None or not (left.isEmpty() or segs.isEmpty()):
+        hit = cut(nearest(left, segs, reach, keep, key))
+        found = hit if found is None else found.unionByName(hit)
+        left, reach = cut(left.join(hit.select(key), key, "left_anti")), 4 * reach
+    return found
+
+
+def box_pairs(lines: DataFrame, others: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
+    """Lines (fid, line, ...) with every other (other, other_line, ...) whose bounding box comes within reach of theirs.
+
+    Both are dealt to the cells of their boxes; a pair counts in the cell of the south-west corner that its boxes share only.
+    """
+    a = box_cells(lines.withColumn("_a", bounds(F.col("line"))), F.col("_a"), size, reach)
+    b = box_cells(others.withColumn("_b", bounds(F.col("other_line"))), F.col("_b"), size)
+    meet, corner = F.lit(True), F.lit(True)
+    for k, c in (("x", "cx"), ("y", "cy")):
+        low = F.greatest(F.col(f"_a.{k}min") - reach, F.col(f"_b.{k}min"))
+        meet &= low <= F.least(F.col(f"_a.{k}max") + reach, F.col(f"_b.{k}max"))
+        corner &= F.col(c) == cell(low, size)
+    return a.join(b, ["cx", "cy"]).where(meet & corner).drop("cx", "cy", "_a", "_b")
+
+
 def typical_spacing(points: DataFrame, reach: float, k: int = 12, by: str = "area", key: str = "fid") -> DataFrame:
     """by, spacing: the exact median of the distances to each point's k nearest others within reach; 1.0 where there are none."""
     near = neighbour_pairs(points, reach, key).where("d2 > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, projection, text
-from ..operators import ducts, geocode, graph, logs, network, pricing, regions, relational, spatial, trenches
+from ..operators import checks, ducts, geocode, graph, junctions, logs, network, pricing, regions, relational, spatial, trenches
 from . import views as V
 from .pipeline import plan
 
@@ -521,6 +521,132 @@ far AS (SELECT poly, fid, 3 AS tier FROM b CROSS JOIN premises WHERE poly NOT IN
 SELECT poly, count(*) AS n, CAST(min(tier) AS INTEGER) AS tier, min(fid) AS least, CAST(sum(fid) AS BIGINT) AS total FROM (SELECT * FROM m UNION ALL SELECT * FROM far) GROUP BY poly"""
 
 
+def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, town, x, y: one distribution device per supplier."""
+    k = F.col("s_suppkey")
+    return V.table(spark, sf_dir, "supplier").select(k.alias("fid"), F.col("s_nationkey").alias("town"), (F.col("s_nationkey") * V.TOWN + k * 7919 % 1009).cast("double").alias("x"), (k * 6151 % 1013).cast("double").alias("y"))
+
+
+DEVICES_SQL = f"""devices AS (SELECT s_suppkey AS fid, s_nationkey AS town, CAST(s_nationkey * {V.TOWN} + s_suppkey * 7919 % 1009 AS DOUBLE) AS x, CAST(s_suppkey * 6151 % 1013 AS DOUBLE) AS y FROM supplier)"""
+
+
+def sides(spark: SparkSession, sf_dir: str, upward: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Left and right sidewalks (fid, line) of all roads, or of those that run upwards."""
+    r = V.roads(spark, sf_dir)
+    s = network.sidewalks(r.where(F.col("line")[0]["x"] == F.col("line")[1]["x"]) if upward else r)
+    return tuple(s.where(F.col("side") == k).select("fid", "line") for k in "LR")
+
+
+def supply_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return junctions.supply_point(devices(spark, sf_dir)).select("fid", "x", "y", "MFG_ID")
+
+
+SUPPLY_SQL = f"WITH {DEVICES_SQL} SELECT fid, x, y, 'MFG00001' AS MFG_ID FROM devices ORDER BY fid LIMIT 1"
+
+
+def pdp_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices and their pseudo points on sidewalks within 30 m; those in the middle of a block have none."""
+    left, right = sides(spark, sf_dir)
+    p = junctions.projections(devices(spark, sf_dir), spatial.segments(left, "fid"), spatial.segments(right, "fid"), 30.0)
+    return p.select("fid", "sidewalk", "method", "dist_m", F.size("line").alias("vertices"))
+
+
+PROJECTIONS_SQL = f"""WITH {DEVICES_SQL}, w AS (SELECT p.fid, side, sqrt(power(greatest(x - town * 20000 - 1000, 0), 2) + power(y - (i * 100 + off), 2)) AS d FROM devices p, range(11) a(i), (VALUES ('left', 3), ('right', -3)) b(side, off)
+UNION ALL SELECT p.fid, side, sqrt(power(greatest(y - 1000, 0), 2) + power(x - (town * 20000 + i * 100 + off), 2)) FROM devices p, range(11) a(i), (VALUES ('left', -3), ('right', 3)) b(side, off)),
+m AS (SELECT fid, side, min(d) AS d FROM w WHERE d <= 30 GROUP BY fid, side), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, side) AS n FROM m)
+SELECT fid, side AS sidewalk, 'nearest' AS method, round(d, 3) AS dist_m, 2 AS vertices FROM r WHERE n = 1"""
+
+
+def pseudo_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises with a slanted line of 8 m each way against the sidewalks of the roads upwards: crossing, passing or far away."""
+    left, right = sides(spark, sf_dir, True)
+    at = lambda d: geometry.point(F.col("x") + d, F.col("y") + d)
+    h = junctions.pseudo_homes(V.premises(spark, sf_dir).select("fid", geometry.line(at(0), at(8)).alias("line")), left, right)
+    return h.select("fid", "sidewalk", "method", "dist_m", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+HOMES_SQL = f"""WITH {V.PREMISES_SQL}, s AS (SELECT fid, x, y, i, side, town * 20000 + i * 100 + off AS sx FROM premises, range(11) a(i), (VALUES ('left', -3), ('right', 3)) b(side, off)),
+t AS (SELECT *, sx BETWEEN x AND x + 8 AND y <= 1000 AS boxed, y + sx - x AS cy, least(1, greatest(0, (sx - x + 1000 - y) / 16)) AS u FROM s),
+g AS (SELECT *, boxed AND cy <= 1000 AS crossed, CASE WHEN boxed AND cy <= 1000 THEN 0 ELSE least(sqrt(power(sx - x, 2) + power(greatest(y - 1000, 0), 2)), sqrt(power(sx - x - 8, 2) + power(greatest(y - 992, 0), 2)), sqrt(power(sx - x - 8 * u, 2) + power(1000 - y - 8 * u, 2))) END AS d,
+  sqrt(power(sx - x - 8, 2) + power(greatest(y - 992, 0), 2)) AS far FROM t),
+k AS (SELECT *, CASE WHEN crossed THEN 0 WHEN boxed THEN 1 ELSE 2 END AS tier FROM g WHERE boxed OR side = 'left'),
+r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY tier, CASE tier WHEN 2 THEN round(far, 9) ELSE round(d, 9) END, side, i) AS n FROM k)
+SELECT fid, side AS sidewalk, CASE WHEN tier = 0 THEN 'intersection' ELSE 'nearest' END AS method, round(d, 3) AS dist_m, round(CAST(sx AS DOUBLE), 3) AS x,
+CASE WHEN tier = 0 THEN cy ELSE least(1000, CASE WHEN tier = 1 THEN 1000 WHEN sx < x THEN y ELSE y + 8 END) END AS y FROM r WHERE n = 1"""
+
+
+def sidewalk_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = sides(spark, sf_dir)
+    return junctions.bridges(left, right).select("node", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+BRIDGES_SQL = """WITH p AS (SELECT n_nationkey * 20000 + j * 100 + 3 AS x, i * 100 + 3 AS y FROM nation, range(10) a(i), range(10) b(j)
+UNION ALL SELECT n_nationkey * 20000 + j * 100 - 3, i * 100 - 3 FROM nation, range(1, 11) a(i), range(1, 11) b(j)) SELECT CAST(x * 20 AS VARCHAR) || ':' || CAST(y * 20 AS VARCHAR) AS node, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM p"""
+
+
+def virtual_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises within 9 m of a road on their graph nodes."""
+    v = junctions.virtual_nodes(V.premises(spark, sf_dir), V.roads(spark, sf_dir).select("fid", "line"))
+    return v.select("fid", "road", "node", F.round("along", 3).alias("along"), "broken")
+
+
+VIRTUAL_SQL = f"""WITH {V.PREMISES_SQL}, {V.ROADS_SQL}, n AS (SELECT p.fid, r.fid AS road, least(greatest(p.x, r.ax), r.bx) AS fx, least(greatest(p.y, r.ay), r.by_) AS fy, r.ax, r.ay, p.x, p.y FROM premises p JOIN roads r ON p.town = r.town
+WHERE p.x BETWEEN r.ax - 9 AND r.bx + 9 AND p.y BETWEEN r.ay - 9 AND r.by_ + 9), r AS (SELECT *, fx - ax + fy - ay AS along, row_number() OVER (PARTITION BY fid ORDER BY sqrt(power(x - fx, 2) + power(y - fy, 2)), road) AS k FROM n)
+SELECT fid, road, CAST(CAST(fx * 2 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(fy * 2 AS BIGINT) AS VARCHAR) AS node, along, along > 0.25 AND along < 999.75 AS broken FROM r WHERE k = 1"""
+
+
+def merged_feeders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line from the west edge of town to every customer, and the nearest of the short lines of their orders."""
+    p = V.premises(spark, sf_dir).withColumn("PDP_ID", F.col("fid").cast("string"))
+    west = F.col("town").cast("double") * V.TOWN
+    feeders = p.select("fid", "PDP_ID", geometry.line(geometry.point(west, F.col("y")), geometry.point(F.col("x"), F.col("y"))).alias("line"), F.lit(None).cast("double").alias("dist_m"))
+    k = F.col("o_orderkey")
+    o = V.table(spark, sf_dir, "orders").join(p.select(F.col("fid").alias("o_custkey"), "town"), "o_custkey")
+    at = lambda d: geometry.point(west + k * 7919 % 1009, k * 6151 % 1013 + d)
+    connectors = o.select(k.alias("connector"), F.col("o_custkey").alias("PDP_ID"), geometry.line(at(0), at(5)).alias("line"))
+    known = p.select(F.col("fid").alias("point"), F.concat(F.lit("POLY"), F.col("town").cast("string")).alias("POLYGON_ID"), F.lit(None).cast("string").alias("PDP_ID"))
+    return junctions.merged_feeders(feeders, connectors, known).select("id", "fid", "dist_m", "POLYGON_ID", "PDP_ID", "connector", F.size("parts").alias("parts"))
+
+
+MERGED_SQL = f"""WITH {V.PREMISES_SQL}, o AS (SELECT p.fid, o_orderkey AS k, sqrt(power(greatest(o_orderkey * 7919 % 1009 - (x - town * 20000), 0), 2) + power(greatest(o_orderkey * 6151 % 1013 - y, y - o_orderkey * 6151 % 1013 - 5, 0), 2)) AS d
+FROM premises p JOIN orders ON o_custkey = p.fid), b AS (SELECT fid, arg_min(k, (round(d, 9), k)) AS connector FROM o GROUP BY fid)
+SELECT row_number() OVER (ORDER BY p.fid) AS id, p.fid, x - town * 20000 AS dist_m, 'POLY' || town AS POLYGON_ID, CAST(p.fid AS VARCHAR) AS PDP_ID, connector, CAST(CASE WHEN connector IS NULL THEN 1 ELSE 2 END AS INTEGER) AS parts FROM premises p LEFT JOIN b USING (fid)"""
+
+
+def clear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight lines of 12 m to the north of premises that keep 0.3 m from the buildings of 40 m around devices."""
+    p = V.premises(spark, sf_dir)
+    lines = p.select("fid", geometry.line(geometry.point(F.col("x"), F.col("y")), geometry.point(F.col("x"), F.col("y") + 12)).alias("line"))
+    ring = geometry.line(*[geometry.point(F.col("x") + i, F.col("y") + j) for i, j in ((0, 0), (40, 0), (40, 40), (0, 40), (0, 0))])
+    return junctions.clear_of(lines, devices(spark, sf_dir).select(F.col("fid").alias("poly"), F.array(ring).alias("rings"))).select("fid")
+
+
+CLEAR_OF_SQL = f"""WITH {V.PREMISES_SQL}, {DEVICES_SQL} SELECT fid FROM premises p WHERE NOT EXISTS (SELECT 1 FROM devices d WHERE d.town = p.town
+AND power(greatest(d.x - p.x, p.x - d.x - 40, 0), 2) + power(greatest(d.y - p.y - 12, p.y - d.y - 40, 0), 2) <= 0.09)"""
+
+
+def growth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises in the quarter that their number stands for, of which most lie elsewhere."""
+    own = F.concat(F.lit("POLY"), F.lpad((F.col("town") * 4 + F.col("fid") % 4).cast("string"), 5, "0"))
+    return checks.growth_report(V.premises(spark, sf_dir).withColumns({"area": own, "addr_id": F.concat("segment", F.col("hh").cast("string"))}), V.quarters(spark, sf_dir), 20, 100)
+
+
+REPORT_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, p AS (SELECT *, 'POLY' || lpad(CAST(town * 4 + fid % 4 AS VARCHAR), 5, '0') AS area FROM premises), a AS (SELECT area, count(*) AS n, sum(hh) AS hh FROM p GROUP BY 1),
+m AS (SELECT count(*) AS multi FROM (SELECT segment, hh FROM p GROUP BY 1, 2 HAVING count(DISTINCT area) > 1)), o AS (SELECT count(*) AS outside FROM p JOIN quarters ON area = poly WHERE NOT (x BETWEEN x0 AND x0 + 500 AND y BETWEEN y0 AND y0 + 500))
+SELECT count(*) AS areas, CAST(sum(n) AS BIGINT) AS buildings, CAST(sum(hh) AS BIGINT) AS homes, count(*) FILTER (hh BETWEEN 20 AND 100 AND n >= 3) AS in_band, count(*) - count(*) FILTER (hh BETWEEN 20 AND 100 AND n >= 3) AS review,
+CAST(ceil(sum(hh) / 100.0) AS BIGINT) AS floor, any_value(multi) AS multi, any_value(outside) AS outside FROM a, m, o"""
+
+
+def network_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as polygons, their devices as points and their premises as addresses."""
+    poly = F.concat(F.lit("N"), F.col("town").cast("string")).alias("poly")
+    towns = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("town")).select(poly)
+    return checks.networks(towns, devices(spark, sf_dir).select(poly, F.col("fid").alias("PDP_ID")), V.premises(spark, sf_dir).select(poly, "addr_id"))
+
+
+REGISTRY_SQL = f"""WITH {V.PREMISES_SQL}, {DEVICES_SQL} SELECT 'N' || n_nationkey AS poly, (SELECT min(fid) FROM devices WHERE town = n_nationkey) AS PDP_ID, (SELECT count(*) FROM premises WHERE town = n_nationkey) AS address_count FROM nation"""
+
+
 # ---- results that plain SQL does not express ----
 
 
@@ -580,7 +706,8 @@ SQL = {
     link_overlap: OVERLAP_SQL, extent_guess: GUESS_SQL, grid_distances: GRID_SQL, nearest_source: SOURCE_SQL, healed_edges: HEAL_SQL, candidate_scores: SCORES_SQL, garden_trenches: GARDEN_SQL,
     distribution_rollup: ROLLUP_SQL, distribution_cables: CABLE_SQL, central_nodes: CENTRAL_SQL, clear_candidates: CLEAR_SQL, duplicate_ids: DUPLICATE_SQL,
     nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
-    used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL,
+    used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL, supply_point: SUPPLY_SQL, pdp_projections: PROJECTIONS_SQL, pseudo_homes: HOMES_SQL, sidewalk_bridges: BRIDGES_SQL,
+    virtual_nodes: VIRTUAL_SQL, merged_feeders: MERGED_SQL, clear_lines: CLEAR_OF_SQL, growth_report: REPORT_SQL, network_registry: REGISTRY_SQL,
     region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
 }
 QUERIES = {f.__name__: f for f in SQL}
