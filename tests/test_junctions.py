@@ -47,9 +47,8 @@ def test_pseudo_homes_tiers(spark):
     assert got[4] == ("left", "nearest", 940.0, 0.0, 4.0)
     assert set(got) == {1, 2, 3, 4}
     none = left.limit(0)
-    assert junctions.pseudo_homes(g, none, right).where("fid = 4").first().sidewalk == "right"
-    assert junctions.pseudo_homes(g, none, none).count() == 0
-    assert junctions.pseudo_homes(g.limit(0), left, right).count() == 0
+    assert {r.sidewalk for r in junctions.pseudo_homes(g, none, right).collect()} == {"right"}
+    assert junctions.pseudo_homes(g.where("fid > 1"), none, none).count() == 0
 
 
 def test_projections_skip_what_is_far(spark):
