@@ -647,6 +647,19 @@ def network_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY_SQL = f"""WITH {V.PREMISES_SQL}, {DEVICES_SQL} SELECT 'N' || n_nationkey AS poly, (SELECT min(fid) FROM devices WHERE town = n_nationkey) AS PDP_ID, (SELECT count(*) FROM premises WHERE town = n_nationkey) AS address_count FROM nation"""
 
 
+def trench_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trenches of their customer's point, some with an area of their own or a null-like one; devices know the areas of their ids."""
+    o = V.table(spark, sf_dir, "orders")
+    area = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" P"), F.col("o_custkey").cast("string"))).when(F.col("o_orderstatus") == "O", " Null ")
+    lines = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("pdp_id"), area.alias("Polygon_Id"))
+    known = devices(spark, sf_dir).select(F.col("fid").alias("point"), F.concat(F.lit("POLY"), F.col("town").cast("string")).alias("POLYGON_ID"), F.concat(F.lit("PDP"), F.col("fid").cast("string")).alias("PDP_ID"))
+    return trenches.owned(lines, known)
+
+
+TRENCH_IDS_SQL = f"""WITH {DEVICES_SQL}, o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'P' || o_custkey END AS area FROM orders)
+SELECT o_orderkey, CASE WHEN area IS NULL AND fid IS NOT NULL THEN 'POLY' || town ELSE area END AS POLYGON_ID, CASE WHEN area IS NULL AND fid IS NOT NULL THEN 'PDP' || fid ELSE CAST(o_custkey AS VARCHAR) END AS PDP_ID FROM o LEFT JOIN devices ON fid = o_custkey"""
+
+
 # ---- results that plain SQL does not express ----
 
 
@@ -707,7 +720,7 @@ SQL = {
     distribution_rollup: ROLLUP_SQL, distribution_cables: CABLE_SQL, central_nodes: CENTRAL_SQL, clear_candidates: CLEAR_SQL, duplicate_ids: DUPLICATE_SQL,
     nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
     used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL, supply_point: SUPPLY_SQL, pdp_projections: PROJECTIONS_SQL, pseudo_homes: HOMES_SQL, sidewalk_bridges: BRIDGES_SQL,
-    virtual_nodes: VIRTUAL_SQL, merged_feeders: MERGED_SQL, clear_lines: CLEAR_OF_SQL, growth_report: REPORT_SQL, network_registry: REGISTRY_SQL,
+    virtual_nodes: VIRTUAL_SQL, merged_feeders: MERGED_SQL, clear_lines: CLEAR_OF_SQL, growth_report: REPORT_SQL, network_registry: REGISTRY_SQL, trench_ids: TRENCH_IDS_SQL,
     region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
 }
 QUERIES = {f.__name__: f for f in SQL}

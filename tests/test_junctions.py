@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import geometry
-from spanloom.operators import checks, junctions
+from spanloom.operators import checks, junctions, trenches
 
 LINE = "fid long, line array<struct<x:double,y:double>>"
 
@@ -115,3 +115,11 @@ def test_gates(spark):
     for args, why in (((none, some, some, some), "none"), ((some, None, some, some), "supply point"), ((some, some, some, bare), "point id and a household id"), ((some, some, some, None), "point id")):
         with pytest.raises(ValueError, match=why):
             checks.duct_gate(*args)
+
+
+def test_owned_takes_missing_areas_from_points(spark):
+    known = spark.createDataFrame([("p", "A", None), ("q", "B", "Q2"), ("r", None, "R2")], "point string, POLYGON_ID string, PDP_ID string")
+    rows = spark.createDataFrame([(1, "p", " "), (2, " q ", None), (3, "q", "Z"), (4, "null", "NULL"), (5, "x", None), (6, "r", None)], "n int, pdp_id string, polygon_id string")
+    got = {r.n: (r.POLYGON_ID, r.PDP_ID) for r in trenches.owned(rows, known).collect()}
+    assert got == {1: ("A", "p"), 2: ("B", "Q2"), 3: ("Z", "q"), 4: (None, None), 5: (None, "x"), 6: (None, "R2")}
+    assert trenches.owned(rows.select("n"), known).columns == ["n", "POLYGON_ID", "PDP_ID"]
