@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_embeddings, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import conversation_repair, decontaminate, hard_negatives, near_embeddings, packing, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def model_path() -> str:
+def model_path(name: str = "piece_bpe_32k.model") -> str:
     """The tokenizer file; its place is a parameter of the operator and known on the driver only."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sentencepiece, op3_quality, op4_secret_scan, op5_kd_sharding, op6_suffix_dedup, op7_substring_dedup, op8_url_filter, op9_simhash, op10_decontamination)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), model_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sentencepiece, op3_quality, op4_secret_scan, op5_kd_sharding, op6_suffix_dedup, op7_substring_dedup, op8_url_filter, op9_simhash, op10_decontamination, op11_packing, op12_conversation_repair, op13_hard_negatives)}
 
 # ---- the same results in DuckDB SQL; tokenizers, trained models and xxHash have no form there ----
 
@@ -141,4 +156,43 @@ def urls_sql() -> str:
     return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(score >= (SELECT cut FROM k), true) THEN 'allow' ELSE 'block' END) AS verdict, score FROM f"
 
 
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": VECTORS_SQL, "op4_secret_scan": secrets_sql(), "op6_suffix_dedup": REPEATS_SQL, "op8_url_filter": urls_sql(), "op10_decontamination": LEAKS_SQL}
+def conversations_sql() -> str:
+    """crc32 by its table, faults by windows, and the edits as one reduction over a conversation's characters: before each row the
+    states (o nothing, s, u, a) take what insertions lead to, then the row is deleted, kept or given a new role. A state is its
+    cost, padded, with its audit after it, so the least of two texts is the cheaper, then the ASCII-least."""
+    plus = lambda x, cost, letters: f"lpad(CAST(CAST(substr({x}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || {letters}"
+    to_u = f"least(x.u, {plus('least(x.o, x.s, x.a)', 5, chr(39) + 'I' + chr(39))})"
+    to_a = f"least(x.a, {plus('x.u', 5, chr(39) + 'I' + chr(39))}, {plus('least(x.o, x.s)', 10, chr(39) + 'II' + chr(39))})"
+    keep = lambda source, initial: f"CASE WHEN c.f IN ('', 'truncated') THEN {plus(source, '(CASE WHEN c.f = ' + chr(39) * 2 + ' THEN 0 ELSE 5 END + CASE WHEN c.i = ' + chr(39) + initial + chr(39) + ' THEN 0 ELSE 1 END)', '(CASE WHEN c.i = ' + chr(39) + initial + chr(39) + ' THEN ' + chr(39) + 'K' + chr(39) + ' ELSE ' + chr(39) + 'R' + chr(39) + ' END)')} END"
+    gone = lambda x: plus(x, 2, "'D'")
+    first = f"CASE WHEN c.f IN ('', 'truncated') AND c.i = 's' THEN {plus('x.o', '(CASE WHEN c.f = ' + chr(39) * 2 + ' THEN 0 ELSE 5 END)', chr(39) + 'K' + chr(39))} END"
+    opened = f"{{'o': x.o, 's': x.s, 'u': {to_u}, 'a': {to_a}}}"
+    row = f"{{'o': {gone('x.o')}, 's': least({gone('x.s')}, {first}), 'u': least({gone('x.u')}, {keep('least(x.o, x.s, x.a)', 'u')}), 'a': least({gone('x.a')}, {keep('x.u', 'a')})}}"
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+k AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+d AS (SELECT r, conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(k, ''), lambda z: CAST(ascii(z) AS BIGINT)), lambda c, z: xor(c // 256, t[xor(c % 256, z) + 1]), 4294967295), 4294967295) % 20 AS f FROM k, t),
+m AS (SELECT r, conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM d, unnest(range(0, CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(i)),
+b AS (SELECT *, rtrim(text, {white}) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM m),
+e AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f, substr(role, 1, 1) AS i FROM b),
+g AS (SELECT conv_id, list({{'f': f, 'i': i, 'role': role, 'text': text}} ORDER BY n) AS rows, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated FROM e GROUP BY conv_id),
+s AS (SELECT *, list_reduce(list_transform(flatten(list_transform(rows, lambda z: [{{'f': '+', 'i': ''}}, {{'f': z.f, 'i': z.i}}])), lambda z: z), lambda x, c: CASE WHEN c.f = '+' THEN {opened} ELSE {row} END,
+  {{'o': '000000000', 's': CAST(NULL AS VARCHAR), 'u': CAST(NULL AS VARCHAR), 'a': CAST(NULL AS VARCHAR)}}) AS x, list_sum(list_transform(range(1, len(rows)), lambda j: CASE WHEN (rows[j].i || rows[j + 1].i) IN ('su', 'ua', 'au') THEN 0 ELSE 1 END)) AS illegal FROM g),
+z AS (SELECT *, least(x.o, {to_a}) AS best FROM s),
+v AS (SELECT *, substr(best, 10) AS audit, list_transform(range(1, length(substr(best, 10)) + 1), lambda j: {{'e': substr(best, 9 + j, 1), 'r': length(replace(substr(best, 10, j), 'I', ''))}}) AS edits FROM z),
+o AS (SELECT *, list_filter(edits, lambda y: y.e <> 'D') AS kept FROM v),
+h AS (SELECT *, CASE WHEN kept[1].e = 'K' AND rows[kept[1].r].i = 's' THEN 1 ELSE 0 END AS head FROM o),
+l AS (SELECT *, array_to_string(list_transform(range(1, len(kept) + 1), lambda j: CASE WHEN kept[j].e = 'K' THEN rows[kept[j].r].role WHEN (j - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN kept[j].e = 'I' THEN '' ELSE rows[kept[j].r].text END), chr(10)) AS repaired FROM h)
+SELECT conv_id, coalesce(n_rows, 0) AS n_rows, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+CAST(coalesce(CAST(substr(best, 1, 9) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS c FROM conversations) LEFT JOIN l ON conv_id IS NOT DISTINCT FROM c""".replace("SELECT conv_id, coalesce(n_rows", "SELECT c AS conv_id, coalesce(n_rows")
+
+
+NEGATIVES_SQL = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.e) = len(b.e)),
+p AS (SELECT ar, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s ON s.ar = p.ar AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.ar, p.pr ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10"""
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": VECTORS_SQL, "op4_secret_scan": secrets_sql(), "op6_suffix_dedup": REPEATS_SQL, "op8_url_filter": urls_sql(), "op10_decontamination": LEAKS_SQL, "op12_conversation_repair": conversations_sql(), "op13_hard_negatives": NEGATIVES_SQL}
