@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, projection, text
-from ..operators import checks, ducts, geocode, graph, junctions, logs, network, pricing, regions, relational, spatial, trenches
+from ..operators import chains, checks, ducts, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, spatial, trenches
 from . import views as V
 from .pipeline import plan
 
@@ -712,7 +712,98 @@ def plan_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+
+def crossed_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted lines cut wherever they meet: pieces in order and their lengths."""
+    cut = overlay.planarised(V.lanes(spark, sf_dir), 60.0, 0.021)
+    return cut.select("fid", "piece", F.round("length", 4).alias("length"))
+
+
+CROSSED_SQL = f"""WITH {V.LANES_SQL}, p AS (SELECT s.fid, s.ax, s.ay, s.bx, s.by_, o.ax AS ox, o.ay AS oy, o.bx AS px, o.by_ AS py FROM lanes s JOIN lanes o ON s.town = o.town AND s.fid <> o.fid AND abs(s.ax - o.ax) < 330 AND abs(s.ay - o.ay) < 330),
+d AS (SELECT *, (bx - ax) * (py - oy) - (by_ - ay) * (px - ox) AS den, power(bx - ax, 2) + power(by_ - ay, 2) AS n FROM p),
+c AS (SELECT *, ((ox - ax) * (py - oy) - (oy - ay) * (px - ox)) / nullif(den, 0) AS t, ((ox - ax) * (by_ - ay) - (oy - ay) * (bx - ax)) / nullif(den, 0) AS u FROM d),
+x AS (SELECT fid, ax, ay, bx, by_, n, ax + t * (bx - ax) AS x, ay + t * (by_ - ay) AS y, ox, oy, px, py FROM c WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+e AS (SELECT fid, ax, ay, bx, by_, n, x, y FROM x WHERE least(sqrt(power(x - ax, 2) + power(y - ay, 2)), sqrt(power(x - bx, 2) + power(y - by_, 2)), sqrt(power(x - ox, 2) + power(y - oy, 2)), sqrt(power(x - px, 2) + power(y - py, 2))) > 0.021
+  UNION SELECT fid, ax, ay, bx, by_, n, q.x, q.y FROM d, unnest([{{'x': ox, 'y': oy}}, {{'x': px, 'y': py}}]) z(q) WHERE sqrt(power(q.x - ax, 2) + power(q.y - ay, 2)) > 0.021 AND sqrt(power(q.x - bx, 2) + power(q.y - by_, 2)) > 0.021
+    AND sqrt(power(q.x - ax - greatest(0, least(1, ((q.x - ax) * (bx - ax) + (q.y - ay) * (by_ - ay)) / n)) * (bx - ax), 2) + power(q.y - ay - greatest(0, least(1, ((q.x - ax) * (bx - ax) + (q.y - ay) * (by_ - ay)) / n)) * (by_ - ay), 2)) <= 0.021),
+t AS (SELECT fid, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / n AS t, x, y, sqrt(n) AS size FROM e), k AS (SELECT *, lag(t) OVER (PARTITION BY fid ORDER BY t, x, y) AS before FROM t WHERE t > 0 AND t < 1),
+m AS (SELECT fid, t, x, y FROM k WHERE before IS NULL OR (t - before) * size > 0.021 UNION ALL SELECT fid, 0, ax, ay FROM lanes UNION ALL SELECT fid, 1, bx, by_ FROM lanes),
+w AS (SELECT fid, t, x, y, lead(x) OVER o AS nx, lead(y) OVER o AS ny, row_number() OVER o AS piece FROM m WINDOW o AS (PARTITION BY fid ORDER BY t))
+SELECT fid, CAST(piece AS INTEGER) AS piece, round(sqrt(power(nx - x, 2) + power(ny - y, 2)), 4) AS length FROM w WHERE nx IS NOT NULL"""
+
+
+def merged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains, forks and rings of lines, merged where exactly two ends meet."""
+    m = chains.merged_lines(V.links(spark, sf_dir))
+    return m.select("chain", "n", "closed", F.round("length", 4).alias("length"), F.array_join(F.array_sort("fids"), ",").alias("fids"))
+
+
+MERGED_SQL = f"""WITH RECURSIVE {V.LINKS_SQL}, e AS (SELECT fid, 0 AS e, ax AS x, ay AS y FROM links UNION ALL SELECT fid, 1, bx, by_ FROM links),
+n AS (SELECT x, y, min({{'f': fid, 'e': e}}) AS p, max({{'f': fid, 'e': e}}) AS q FROM e GROUP BY 1, 2 HAVING count(*) = 2), l AS (SELECT p.f AS a, q.f AS b FROM n UNION ALL SELECT q.f, p.f FROM n),
+r AS (SELECT fid AS a, fid AS b FROM links UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a AS fid, min(b) AS chain FROM r GROUP BY a), k AS (SELECT a, count(*) AS ends FROM l GROUP BY a)
+SELECT chain, count(*) AS n, sum(coalesce(ends, 0)) = 2 * count(*) AS closed, round(sum(sqrt(power(bx - ax, 2) + power(by_ - ay, 2))), 4) AS length, string_agg(CAST(links.fid AS VARCHAR), ',' ORDER BY links.fid) AS fids
+FROM links JOIN c ON c.fid = links.fid LEFT JOIN k ON k.a = links.fid GROUP BY chain"""
+
+
+def shared_area(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    found = overlay.against(V.lots(spark, sf_dir), V.buildings(spark, sf_dir), rule, 60.0)
+    return found.select("fid", F.round("area_m2", 2).alias("area_m2"))
+
+
+def carved_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tilted lots, some with holes, without the tilted buildings on them."""
+    return shared_area(spark, sf_dir, "difference")
+
+
+def built_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all buildings together cover of each lot."""
+    return shared_area(spark, sf_dir, "intersection")
+
+
+def lots_sql(wanted: str) -> str:
+    """Along the axes u = x + y and v = x - y tilted squares are upright: a lot is cut into cells at every edge in it, and a cell
+    (of half its area in u and v) is in it or not, built on or not."""
+    return f"""WITH {V.LOTS_SQL}, s AS (SELECT fid, town, x + y AS u, x - y AS v, reach, hole FROM lots), o AS (SELECT town, x + y AS u, x - y AS v, reach FROM buildings),
+    n AS (SELECT fid, s.u - s.reach AS u0, s.u + s.reach AS u1, s.v - s.reach AS v0, s.v + s.reach AS v1, o.u - o.reach AS a0, o.u + o.reach AS a1, o.v - o.reach AS b0, o.v + o.reach AS b1 FROM s JOIN o ON s.town = o.town AND abs(s.u - o.u) < s.reach + o.reach AND abs(s.v - o.v) < s.reach + o.reach),
+    cu AS (SELECT fid, u - reach AS c FROM s UNION SELECT fid, u + reach FROM s UNION SELECT fid, u - hole FROM s UNION SELECT fid, u + hole FROM s UNION SELECT fid, greatest(u0, a0) FROM n UNION SELECT fid, least(u1, a1) FROM n),
+    cv AS (SELECT fid, v - reach AS c FROM s UNION SELECT fid, v + reach FROM s UNION SELECT fid, v - hole FROM s UNION SELECT fid, v + hole FROM s UNION SELECT fid, greatest(v0, b0) FROM n UNION SELECT fid, least(v1, b1) FROM n),
+    iu AS (SELECT fid, c, lead(c) OVER (PARTITION BY fid ORDER BY c) AS d FROM cu), iv AS (SELECT fid, c, lead(c) OVER (PARTITION BY fid ORDER BY c) AS d FROM cv),
+    cell AS (SELECT s.fid, iu.c AS u0, iu.d AS u1, iv.c AS v0, iv.d AS v1 FROM s JOIN iu ON iu.fid = s.fid AND iu.d IS NOT NULL JOIN iv ON iv.fid = s.fid AND iv.d IS NOT NULL
+      WHERE NOT (iu.c >= s.u - hole AND iu.d <= s.u + hole AND iv.c >= s.v - hole AND iv.d <= s.v + hole)),
+    j AS (SELECT cell.*, EXISTS (SELECT 1 FROM n WHERE n.fid = cell.fid AND a0 <= cell.u0 AND a1 >= cell.u1 AND b0 <= cell.v0 AND b1 >= cell.v1) AS built FROM cell)
+    SELECT fid, round(sum((u1 - u0) * (v1 - v0)) / 2.0, 2) AS area_m2 FROM j WHERE {wanted} GROUP BY fid"""
+
+
+def lanes_past_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted lines without what lies within 20 m of a premise: how much is left, in how many pieces."""
+    left = overlay.outside_discs(V.lanes(spark, sf_dir), V.premises(spark, sf_dir), 20.0)
+    return left.groupBy("fid").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 4).alias("length"))
+
+
+PAST_SQL = f"""WITH {V.LANES_SQL}, c AS (SELECT DISTINCT town, x, y FROM premises), d AS (SELECT fid, bx - ax AS dx, by_ - ay AS dy, ax - x AS ex, ay - y AS ey FROM lanes JOIN c USING (town)),
+q AS (SELECT fid, (dx * ex + dy * ey) / (dx * dx + dy * dy) AS h, (ex * ex + ey * ey - 400) / (dx * dx + dy * dy) AS f FROM d),
+i AS (SELECT fid, greatest(-h - sqrt(h * h - f), 0) AS lo, least(-h + sqrt(h * h - f), 1) AS hi FROM q WHERE h * h > f), k AS (SELECT fid, lo, hi FROM i WHERE lo < hi UNION ALL SELECT fid, 1, 1 FROM lanes),
+w AS (SELECT fid, lo, greatest(0, coalesce(max(hi) OVER (PARTITION BY fid ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reached FROM k)
+SELECT fid, count(*) AS pieces, round(sum((lo - reached) * sqrt(power(bx - ax, 2) + power(by_ - ay, 2))), 4) AS length FROM w JOIN lanes USING (fid) WHERE lo > reached GROUP BY fid"""
+
+
+def trimmed_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted lines without what lies on a building."""
+    left = overlay.split_by_polygons(V.lanes(spark, sf_dir), V.buildings(spark, sf_dir), 60.0, False)
+    return left.groupBy("fid").agg(F.round(F.sum("length"), 3).alias("length"))
+
+
+TRIMMED_SQL = f"""WITH {V.LANES_SQL}, b AS (SELECT town, x + y AS u, x - y AS v, fid % 20 + 12 AS r FROM premises),
+d AS (SELECT fid, ax + ay - u AS u, ax - ay - v AS v, bx - ax + by_ - ay AS du, bx - ax - by_ + ay AS dv, r FROM lanes JOIN b USING (town)),
+t AS (SELECT fid, CASE WHEN du = 0 THEN CASE WHEN abs(u) <= r THEN 0 ELSE 2 END ELSE least((-r - u) / du, (r - u) / du) END AS u0, CASE WHEN du = 0 THEN CASE WHEN abs(u) <= r THEN 1 ELSE -1 END ELSE greatest((-r - u) / du, (r - u) / du) END AS u1,
+  CASE WHEN dv = 0 THEN CASE WHEN abs(v) <= r THEN 0 ELSE 2 END ELSE least((-r - v) / dv, (r - v) / dv) END AS v0, CASE WHEN dv = 0 THEN CASE WHEN abs(v) <= r THEN 1 ELSE -1 END ELSE greatest((-r - v) / dv, (r - v) / dv) END AS v1 FROM d),
+k AS (SELECT fid, greatest(0, u0, v0) AS lo, least(1, u1, v1) AS hi FROM t WHERE greatest(0, u0, v0) < least(1, u1, v1) UNION ALL SELECT fid, 1, 1 FROM lanes),
+w AS (SELECT fid, lo, greatest(0, coalesce(max(hi) OVER (PARTITION BY fid ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reached FROM k)
+SELECT fid, round(sum((lo - reached) * sqrt(power(bx - ax, 2) + power(by_ - ay, 2))), 3) AS length FROM w JOIN lanes USING (fid) WHERE lo > reached + 1e-9 GROUP BY fid"""
+
+
 SQL = {
+    crossed_lanes: CROSSED_SQL, merged_links: MERGED_SQL, carved_lots: lots_sql("NOT built"), built_lots: lots_sql("built"), lanes_past_crossings: PAST_SQL, trimmed_lanes: TRIMMED_SQL,
     service_summary: SERVICE_SQL, splitter_plan: SPLITTER_SQL, address_ids: ADDRESS_SQL, neighbour_counts: NEIGHBOUR_SQL, road_access: ACCESS_SQL, nearest_road: NEAREST_SQL, points_in_areas: AREAS_SQL,
     object_links: LINKS_SQL, intersection_centres: CENTRES_SQL, barrier_free: BARRIER_SQL, majority_segment: MAJORITY_SQL, group_aggregates: AGGREGATES_SQL, road_filters: FILTER_SQL, price_cells: PRICE_SQL,
     price_match: MATCH_SQL, bill_totals: TOTALS_SQL, stage_pivot: PIVOT_SQL, run_summary: SUMMARY_SQL, cache_keys: CACHE_SQL, geocode_cascade: GEOCODE_SQL, text_normalizers: TEXT_SQL, number_columns: NUMBER_SQL,

@@ -102,3 +102,51 @@ def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG_SQL = """ev AS (SELECT event_id, user_id AS log, floor(abs(value) * 1000) / 1000 AS secs, event_id % 6 AS st FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
   numbered AS (SELECT *, sum(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY event_id) AS run FROM ev)"""
+
+
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, line: a slanted line of up to 113 m from the place of every premise; whole metres."""
+    k = F.col("fid")
+    dx, dy = k * 37 % 161 - 80, k * 53 % 161 - 80
+    return premises(spark, sf_dir).select("fid", line(point(F.col("x"), F.col("y")), point(F.col("x") + dx, F.col("y") + dy)).alias("line"))
+
+
+LANES_SQL = f"{PREMISES_SQL}, lanes AS (SELECT fid, town, x AS ax, y AS ay, x + fid * 37 % 161 - 80 AS bx, y + fid * 53 % 161 - 80 AS by_ FROM premises WHERE fid * 37 % 161 <> 80 OR fid * 53 % 161 <> 80)"
+
+
+def diamond(x, y, reach):
+    """Ring of the places whose distances along x and y from a place sum to at most reach: a square on its tip."""
+    return line(point(x + reach, y), point(x, y + reach), point(x - reach, y), point(x, y - reach), point(x + reach, y))
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, town, rings: a tilted square of 90 to 180 m from middle to tip for every supplier, with a square hole in every third."""
+    k = F.col("s_suppkey")
+    x, y, reach = F.col("s_nationkey") * TOWN + k * 613 % 997, k * 419 % 991, k % 10 * 10 + 90
+    rings = F.when(k % 3 == 0, F.array(diamond(x, y, reach), diamond(x, y, F.lit(40)))).otherwise(F.array(diamond(x, y, reach)))
+    return table(spark, sf_dir, "supplier").select(k.alias("fid"), F.col("s_nationkey").alias("town"), rings.alias("rings"))
+
+
+def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """poly, rings: a tilted square of 12 to 31 m from middle to tip around every premise."""
+    return premises(spark, sf_dir).select(F.col("fid").alias("poly"), F.array(diamond(F.col("x"), F.col("y"), F.col("fid") % 20 + 12)).alias("rings"))
+
+
+LOTS_SQL = f"""{PREMISES_SQL}, lots AS (SELECT s_suppkey AS fid, s_nationkey AS town, s_nationkey * {TOWN} + s_suppkey * 613 % 997 AS x, s_suppkey * 419 % 991 AS y, s_suppkey % 10 * 10 + 90 AS reach, CASE WHEN s_suppkey % 3 = 0 THEN 40 ELSE 0 END AS hole FROM supplier),
+  buildings AS (SELECT fid AS poly, town, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, fid % 20 + 12 AS reach FROM premises)"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, line: three lines for every customer key at most: chains broken at every seventh key, forks at every eleventh, rings of three."""
+    k = F.col("c_custkey")
+    spot = lambda k, up: point(k * 7919 % 1009, k * 6151 % 1013 + up)
+    chain = F.when(k % 7 != 0, line(spot(k, 0), spot(k + 1, 0)))
+    fork = F.when(k % 11 == 0, line(spot(k + 4, 0), spot(k, 0)))
+    ring = line(spot(k, 5000), spot(F.when(k % 3 == 0, k - 2).otherwise(k + 1), 5000))
+    each = table(spark, sf_dir, "customer").select(k, F.posexplode(F.array(chain, fork, ring)).alias("i", "line"))
+    return each.where("line IS NOT NULL").select((k * 3 + F.col("i")).alias("fid"), "line")
+
+
+LINKS_SQL = """spots AS (SELECT c_custkey AS k, c_custkey * 3 AS fid, c_custkey AS a, c_custkey + 1 AS b, 0 AS up FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, c_custkey * 3 + 1, c_custkey + 4, c_custkey, 0 FROM customer WHERE c_custkey % 11 = 0
+  UNION ALL SELECT c_custkey, c_custkey * 3 + 2, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 2 ELSE c_custkey + 1 END, 5000 FROM customer),
+  links AS (SELECT fid, a * 7919 % 1009 AS ax, a * 6151 % 1013 + up AS ay, b * 7919 % 1009 AS bx, b * 6151 % 1013 + up AS by_ FROM spots)"""
