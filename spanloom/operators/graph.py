@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import densified
-from ..sources.shared import shared_folder
+from ..sources.shared import stored
 from .spatial import neighbour_pairs, segments
 
 
@@ -56,11 +56,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
 
 
 def checkpoints(df: DataFrame):
-    """checkpoint() into the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return lambda d: d.checkpoint()
+    """What cuts a plan: a table in the shared folder."""
+    return stored
 
 
 def shortest(near: dict[str, list[tuple[str, float]]], starts: list[tuple[str, str]], wanted: set[str] | None = None) -> dict[str, tuple[float, str, str | None]]:

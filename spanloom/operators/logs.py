@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The log format.
@@ -11,10 +11,36 @@ START = "Algorithm 'One Click – End-to-End HLD Pipeline' starting..."
 END = "Algorithm 'One Click – End-to-End HLD Pipeline' finished"
 FAILED = "Execution FAILED after"
 STAMP = r"^Algorithm started at: (.+)$"
-STAGE_COMPAT = r"^  \[timing\] (.+?): (.+?)([\d.]+)s$"
 STAGE = r"^  \[timing\] ([^:]+): (?:(.*), )?([\d.]+)s$"
 TOTAL = r"^\[timing\] Total pipeline: ([\d.]+)s$"
-WRITE = r"^  \[timing\] (.+?\.gpkg): (.+) in ([\d.]+)s$"
+MARK = "  [timing] "
+LAYER_FILE = ".gpkg: "
+
+
+def after(text: Column, mark: str) -> Column:
+    """What follows the first mark; null without one."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substr(text, at + len(mark)))
+
+
+def told_loosely(line: Column) -> dict[str, Column]:
+    """name, info, seconds of `name: info seconds s`, where info has one character at least, if need be the first digit of the seconds."""
+    body = F.when(F.startswith(line, F.lit(MARK)), F.substr(line, F.lit(len(MARK) + 1)))
+    rest = after(body, ": ")
+    core = F.when(F.endswith(rest, F.lit("s")), F.left(rest, F.length(rest) - 1))
+    digits = F.least(F.length(core) - F.length(F.rtrim(core, F.lit("0123456789."))), F.length(core) - 1)
+    fits = digits > 0
+    return {"name": F.when(fits, F.substring_index(body, ": ", 1)), "info": F.when(fits, F.left(core, F.length(core) - digits)), "seconds": F.when(fits, F.right(core, digits))}
+
+
+def told_writing(line: Column) -> dict[str, Column]:
+    """name, info, seconds of `name.gpkg: info in seconds s`; info may itself hold " in "."""
+    body = F.when(F.startswith(line, F.lit(MARK)), F.substr(line, F.lit(len(MARK) + 1)))
+    rest, tail = after(body, LAYER_FILE), F.substring_index(after(body, LAYER_FILE), " in ", -1)
+    number, info = F.left(tail, F.length(tail) - 1), F.left(rest, F.length(rest) - F.length(tail) - 4)
+    numeric = F.endswith(tail, F.lit("s")) & (number != "") & (F.translate(number, "0123456789.", "") == "")
+    fits = numeric & (info != "") & (F.instr(body, LAYER_FILE) > 1)
+    return {"name": F.when(fits, F.left(body, F.instr(body, LAYER_FILE) + len(LAYER_FILE) - 3)), "info": F.when(fits, info), "seconds": F.when(fits, number)}
 
 
 def parsed(lines: DataFrame, compat: bool = False, by: list[str] = ()) -> DataFrame:
@@ -26,17 +52,19 @@ def parsed(lines: DataFrame, compat: bool = False, by: list[str] = ()) -> DataFr
     line = F.col("line")
     run = F.sum(F.contains(line, F.lit(START)).cast("int")).over(Window.partitionBy(*by).orderBy("line_no"))
     get = lambda p, i: F.nullif(F.regexp_extract(line, p, i), F.lit(""))
-    stage = STAGE_COMPAT if compat else STAGE
+    plain = {n: get(STAGE, i) for i, n in enumerate(("name", "info", "seconds"), 1)}
+    stage, write = told_loosely(line) if compat else plain, told_writing(line)
     kind = (
         F.when(F.contains(line, F.lit(START)), "start").when(F.contains(line, F.lit(END)), "end").when(F.contains(line, F.lit(FAILED)), "failed").when(line.rlike(STAMP), "stamp")
-        .when(line.rlike(TOTAL), "total").when(line.rlike(WRITE), "write").when(line.rlike(stage) & get(stage, 1).isin(STAGES), "stage")
+        .when(line.rlike(TOTAL), "total").when(write["name"].isNotNull(), "write").when(stage["name"].isin(STAGES), "stage")
     )
     out = lines.withColumns({"run": run, "kind": kind}).where("run > 0 AND kind IS NOT NULL")
-    info = F.regexp_replace(F.trim(get(stage, 2)), r"[,\s]+$", "")
+    info = F.regexp_replace(F.trim(stage["info"]), r"[,\s]+$", "")
+    pick = lambda c, n: F.when(F.col("kind") == "stage", c).when(F.col("kind") == "write", write[n])
     return out.select(
-        *by, "run", "line_no", "kind", F.when(F.col("kind") == "stage", get(stage, 1)).when(F.col("kind") == "write", get(WRITE, 1)).alias("name"),
-        F.when(F.col("kind") == "stage", F.nullif(info, F.lit(""))).when(F.col("kind") == "write", F.trim(get(WRITE, 2))).alias("info"),
-        F.when(F.col("kind") == "stage", get(stage, 3)).when(F.col("kind") == "write", get(WRITE, 3)).when(F.col("kind") == "total", get(TOTAL, 1)).try_cast("double").alias("seconds"),
+        *by, "run", "line_no", "kind", pick(stage["name"], "name").alias("name"),
+        F.when(F.col("kind") == "stage", F.nullif(info, F.lit(""))).when(F.col("kind") == "write", F.trim(write["info"])).alias("info"),
+        F.coalesce(pick(stage["seconds"], "seconds"), F.when(F.col("kind") == "total", get(TOTAL, 1))).try_cast("double").alias("seconds"),
         F.when(F.col("kind") == "stamp", get(STAMP, 1)).alias("text"),
     )
 

@@ -123,9 +123,15 @@ def group_aggregates(df: DataFrame, group: list[str], means: list[str] = ("x", "
     return out
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number as text, with zeros before it up to the width; longer ones stay whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def numbered(df: DataFrame, order: str, prefix: str, name: str, width: int = 5) -> DataFrame:
     """df with column name: prefix00001, ... by the order over the whole table, by global_rank(), so that no task sees all rows."""
-    return global_rank(df, order, "_rank").withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_rank").cast("string"), width, "0"))).drop("_rank")
+    return global_rank(df, order, "_rank").withColumn(name, F.concat(F.lit(prefix), padded(F.col("_rank"), width))).drop("_rank")
 
 
 def address_ids(df: DataFrame, prefix: str, street: Column, house: Column, postcode: Column, tie: Column, column: str = "addr_id") -> DataFrame:
@@ -139,7 +145,7 @@ def address_ids(df: DataFrame, prefix: str, street: Column, house: Column, postc
     number = F.coalesce(F.regexp_extract(house, r"\d+", 0).try_cast("long"), F.lit(10**9))
     open_rows = df.where(blank).select("*", F.struct(F.lower(F.trim(F.coalesce(street, F.lit("")))).alias("s"), number.alias("n"), F.coalesce(postcode, F.lit("")).alias("p"), tie.alias("t")).alias("_o"))
     ranked = global_rank(open_rows, "_o", "_r")
-    named = ranked.withColumn(column, F.concat(F.lit(prefix), F.when(F.length((F.col("_r") + taken).cast("string")) >= 5, (F.col("_r") + taken).cast("string")).otherwise(F.lpad((F.col("_r") + taken).cast("string"), 5, "0")))).drop("_o", "_r")
+    named = ranked.withColumn(column, F.concat(F.lit(prefix), padded(F.col("_r") + taken, 5))).drop("_o", "_r")
     return df.where(~blank).unionByName(named.select(*df.columns))
 
 

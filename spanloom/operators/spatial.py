@@ -73,39 +73,91 @@ def snapped(points: DataFrame, segs: DataFrame, tolerance: float, key: str = "fi
     return points.join(n, key, "left").withColumns({"x": F.coalesce("fx", "x"), "y": F.coalesce("fy", "y"), "snapped": F.col("d").isNotNull()}).drop("fx", "fy", "d")
 
 
+def placed(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows whose place is two finite numbers."""
+    real = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+    return df.where(real(x) & real(y))
+
+
+def extent(df: DataFrame, columns: dict[str, list[str]]) -> list[float] | None:
+    """The widths along x and y of all places, None without any; columns: the x and the y columns."""
+    low, high = [[f(*[F.col(c) for c in columns[k]]) if len(columns[k]) > 1 else F.col(columns[k][0]) for k in "xy"] for f in (F.least, F.greatest)]
+    r = df.agg(*[F.min(c) for c in low], *[F.max(c) for c in high]).first()
+    return None if r[0] is None else list(r)
+
+
+def reach_of_all(*boxes: list[float] | None) -> float:
+    """A distance that no two places within the boxes (xmin, ymin, xmax, ymax) exceed; 0 if one has no places."""
+    if any(b is None for b in boxes):
+        return 0.0
+    return max(b[2] for b in boxes) - min(b[0] for b in boxes) + max(b[3] for b in boxes) - min(b[1] for b in boxes) + 1.0
+
+
 def ring_nearest(points: DataFrame, others: DataFrame, radii: list[float], key: str = "fid", other: str = "node", endless: bool = True) -> DataFrame:
     """key, other, d: the nearest of others (other, x, y), looked for in growing radii; only what is unmatched goes on.
 
-    With endless, radii go on growing fourfold until no point is left, so that only an empty table of others leaves points out.
+    With endless, radii go on growing fourfold until no point is left. Points and others without a place are left out. From the second
+    extra radius on, cells that hold others are thinned to one place each for a first bound: what is left then looks only
+    as far as that bound, so no cell gathers all others.
     """
     from .graph import checkpoints
 
     cut = checkpoints(points)
-    left, found, r = cut(points.select(key, "x", "y")), None, 0.0
-    places = cut(others.select(other, F.col("x").alias("ox"), F.col("y").alias("oy")))
+    left, found, r = cut(placed(points.select(key, "x", "y"))), None, 0.0
+    places = cut(placed(others.select(other, F.col("x").alias("ox"), F.col("y").alias("oy")), "ox", "oy"))
+    limit = reach_of_all(extent(left, {"x": ["x"], "y": ["y"]}), extent(places, {"x": ["ox"], "y": ["oy"]})) if endless else 0.0
     rounds = list(radii)
-    while rounds or (endless and not left.isEmpty() and not places.isEmpty()):
+    while rounds or (endless and r < limit and not left.isEmpty()):
         r = rounds.pop(0) if rounds else 4 * r
+        thin = places if r <= radii[-1] else coarse(places, other, r / 16)
         a = near_cells(left, F.col("x"), F.col("y"), r)
-        b = own_cell(places, F.col("ox"), F.col("oy"), r)
+        b = own_cell(thin, F.col("ox"), F.col("oy"), r)
         d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
         hit = a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= r).groupBy(key).agg(F.min_by(F.struct(other, "d"), F.struct("d", other)).alias("b")).select(key, f"b.{other}", "b.d")
+        if thin is not places:
+            hit = refined(left, places, cut(hit.select(key, "d")), key, other, r / 16)
         hit = cut(hit)
         found = hit if found is None else found.unionByName(hit)
         left = cut(left.join(hit.select(key), key, "left_anti"))
     return found
 
 
+def coarse(places: DataFrame, other: str, size: float) -> DataFrame:
+    """One place for each cell that holds any: the one of the least id."""
+    c = own_cell(places, F.col("ox"), F.col("oy"), size)
+    return c.groupBy("cx", "cy").agg(F.min(F.struct(other, "ox", "oy")).alias("s")).select(f"s.{other}", "s.ox", "s.oy")
+
+
+def refined(left: DataFrame, places: DataFrame, bound: DataFrame, key: str, other: str, size: float) -> DataFrame:
+    """The exact nearest of the places for points with a place within bound (key, d): cells of places are asked first how near they
+    can be, and only those nearer than the bound are opened."""
+    near = left.join(bound, key)
+    p = own_cell(places, F.col("ox"), F.col("oy"), size)
+    boxes = p.groupBy("cx", "cy").agg(F.min("ox").alias("x0"), F.max("ox").alias("x1"), F.min("oy").alias("y0"), F.max("oy").alias("y1"))
+    wide = size * 16
+    asked = near_cells(near, F.col("x"), F.col("y"), wide).withColumnsRenamed({"cx": "wx", "cy": "wy"})
+    held = boxes.withColumns({"wx": F.floor(F.col("cx") / 16), "wy": F.floor(F.col("cy") / 16)})
+    gap = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.lit(0.0), F.col(c) - F.col(hi))
+    opened = asked.join(held, ["wx", "wy"]).where(F.hypot(gap("x", "x0", "x1"), gap("y", "y0", "y1")) <= F.col("d")).select(key, "x", "y", "cx", "cy")
+    d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
+    best = opened.join(p, ["cx", "cy"]).withColumn("d", d).groupBy(key).agg(F.min_by(F.struct(other, "d"), F.struct("d", other)).alias("b"))
+    return best.select(key, f"b.{other}", "b.d")
+
+
 def ever_nearest(points: DataFrame, segs: DataFrame, reach: float, keep: list[str], key: str = "fid") -> DataFrame:
-    """key, d, fx, fy and the kept columns of the nearest segment, however far: the reach grows fourfold for what found nothing."""
+    """key, d, fx, fy and the kept columns of the nearest segment, however far: the reach grows fourfold for what found nothing, up to the
+    extent of all. Points and segments without a place are left out."""
     from .graph import checkpoints
 
     cut = checkpoints(points)
-    left, found = cut(points.select(key, "x", "y")), None
-    while found is None or not (left.isEmpty() or segs.isEmpty()):
+    left, found = cut(placed(points.select(key, "x", "y"))), None
+    segs = cut(placed(placed(segs, "ax", "ay"), "bx", "by"))
+    limit = reach_of_all(extent(left, {"x": ["x"], "y": ["y"]}), extent(segs, {"x": ["ax", "bx"], "y": ["ay", "by"]}))
+    last = 0.0
+    while found is None or (last < limit and not left.isEmpty()):
         hit = cut(nearest(left, segs, reach, keep, key))
         found = hit if found is None else found.unionByName(hit)
-        left, reach = cut(left.join(hit.select(key), key, "left_anti")), 4 * reach
+        left, last, reach = cut(left.join(hit.select(key), key, "left_anti")), reach, 4 * reach
     return found
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, projection, text
-from ..operators import chains, checks, ducts, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, spatial, trenches
+from ..operators import chains, checks, ducts, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, spatial, territories, trenches
 from . import views as V
 from .pipeline import plan
 
@@ -43,7 +43,7 @@ SELECT hhs.hh, coalesce(total, 0) AS total, coalesce(ports, 0) AS ports, CAST(co
 
 
 def address_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("ADDR"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"))).when(F.col("c_custkey") % 3 == 1, F.lit(" nan ".strip())).alias("addr_id"), "c_mktsegment", (F.col("c_custkey") * 7 % 50).cast("string").alias("house"), (F.col("c_nationkey") + 10000).cast("string").alias("code"))
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("ADDR"), relational.padded(F.col("c_custkey"), 5))).when(F.col("c_custkey") % 3 == 1, F.lit(" nan ".strip())).alias("addr_id"), "c_mktsegment", (F.col("c_custkey") * 7 % 50).cast("string").alias("house"), (F.col("c_nationkey") + 10000).cast("string").alias("code"))
     return relational.address_ids(c, "ADDR", F.col("c_mktsegment"), F.col("house"), F.col("code"), F.col("c_custkey")).select("c_custkey", "addr_id")
 
 
@@ -462,16 +462,17 @@ SELECT fid, own FROM p WHERE NOT EXISTS (SELECT 1 FROM quarters WHERE poly <> ow
 
 
 def tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Straight lines of 7 m to the east of premises that cross a left and a right sidewalk of the roads upwards."""
+    """Straight lines of 7 m to the east of premises that cross a left and a right sidewalk."""
     p = V.premises(spark, sf_dir)
     lines = p.select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.lit(7.0)).alias("bx"), F.col("y").alias("by"))
-    s = network.sidewalks(V.roads(spark, sf_dir).where(F.col("line")[0]["x"] == F.col("line")[1]["x"]))
+    s = network.sidewalks(V.roads(spark, sf_dir))
     side = lambda k: spatial.segments(s.where(F.col("side") == k).select("fid", "line"), "fid")
     return spatial.crossed_by_both(lines, side("L"), side("R"), 100.0).select("fid")
 
 
-TANGENT_SQL = f"""WITH {V.PREMISES_SQL}, w AS (SELECT p.fid, bool_or(x <= town * 20000 + i * 100 - 3 AND x + 7 >= town * 20000 + i * 100 - 3) AS l, bool_or(x <= town * 20000 + i * 100 + 3 AND x + 7 >= town * 20000 + i * 100 + 3) AS r
-FROM premises p, range(11) a(i) WHERE y <= 1000 GROUP BY p.fid) SELECT fid FROM w WHERE l AND r"""
+TANGENT_SQL = f"""WITH {V.PREMISES_SQL}, w AS (SELECT p.fid, bool_or((y <= 1000 AND x <= town * 20000 + i * 100 - 3 AND x + 7 >= town * 20000 + i * 100 - 3) OR (y = i * 100 + 3 AND x <= town * 20000 + 1000)) AS l,
+  bool_or((y <= 1000 AND x <= town * 20000 + i * 100 + 3 AND x + 7 >= town * 20000 + i * 100 + 3) OR (y = i * 100 - 3 AND x <= town * 20000 + 1000)) AS r
+FROM premises p, range(11) a(i) GROUP BY p.fid) SELECT fid FROM w WHERE l AND r"""
 
 
 def used_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -671,6 +672,27 @@ def region_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("area", "hh", "buildings", "review", "density", F.col("plan.label").alias("label"))
 
 
+def covered_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters as areas of their premises: polygons from cells, hulls and the roads between, grown until they cover all; buildings and homes in
+    all, members outside their polygon, and square metres that two polygons share."""
+    p = V.premises(spark, sf_dir)
+    hit = spatial.last_polygon(spatial.point_in_polygon(p, V.quarters(spark, sf_dir), 250.0)).select("fid", F.substring("poly", 5, 9).cast("long").alias("area"))
+    members = p.select("fid", "x", "y", "hh").join(hit, "fid")
+    walls = spatial.segments(V.roads(spark, sf_dir).where(relational.restricted(F.col("fclass"))).select("fid", "line"), "fid")
+    after, shapes = territories.covering(members, territories.area_polygons(members, walls))
+    held = after.join(shapes.select("area", "rings"), "area", "left").withColumn("out", ~F.coalesce(geometry.covers(F.col("rings"), F.col("x"), F.col("y")), F.lit(False)))
+    sums = held.agg(F.count("*").alias("buildings"), F.sum("hh").cast("long").alias("homes"), F.count_if("out").alias("outside"))
+    line = F.flatten("rings")
+    met = spatial.box_pairs(shapes.select(F.col("area").alias("fid"), "rings", line.alias("line")), shapes.select(F.col("area").alias("other"), F.col("rings").alias("theirs"), line.alias("other_line")), 250.0).where("fid < other")
+    both = met.select(F.concat_ws(":", "fid", "other").alias("grp"), F.explode(F.array(F.struct(F.lit("a").alias("role"), "rings"), F.struct(F.lit("b").alias("role"), F.col("theirs").alias("rings")))).alias("s")).select("grp", "s.role", "s.rings")
+    shared = overlay.overlay(both, "intersection", 250.0).agg(F.round(F.coalesce(F.sum("area_m2"), F.lit(0.0)), 2).alias("shared_m2"))
+    return sums.join(shared)
+
+
+COVERED_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, m AS (SELECT DISTINCT fid, hh FROM premises JOIN quarters ON x BETWEEN x0 AND x0 + 500 AND y BETWEEN y0 AND y0 + 500)
+SELECT count(*) AS buildings, CAST(sum(hh) AS BIGINT) AS homes, 0::BIGINT AS outside, 0.0::DOUBLE AS shared_m2 FROM m"""
+
+
 def pdp_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.premises(spark, sf_dir)
     hit = spatial.last_polygon(spatial.point_in_polygon(p, V.quarters(spark, sf_dir), 250.0)).select("fid", F.substring("poly", 5, 9).cast("long").alias("area"))
@@ -803,7 +825,7 @@ SELECT fid, round(sum((lo - reached) * sqrt(power(bx - ax, 2) + power(by_ - ay,
 
 
 SQL = {
-    crossed_lanes: CROSSED_SQL, merged_links: MERGED_SQL, carved_lots: lots_sql("NOT built"), built_lots: lots_sql("built"), lanes_past_crossings: PAST_SQL, trimmed_lanes: TRIMMED_SQL,
+    crossed_lanes: CROSSED_SQL, merged_links: MERGED_SQL, carved_lots: lots_sql("NOT built"), built_lots: lots_sql("built"), lanes_past_crossings: PAST_SQL, trimmed_lanes: TRIMMED_SQL, covered_quarters: COVERED_SQL,
     service_summary: SERVICE_SQL, splitter_plan: SPLITTER_SQL, address_ids: ADDRESS_SQL, neighbour_counts: NEIGHBOUR_SQL, road_access: ACCESS_SQL, nearest_road: NEAREST_SQL, points_in_areas: AREAS_SQL,
     object_links: LINKS_SQL, intersection_centres: CENTRES_SQL, barrier_free: BARRIER_SQL, majority_segment: MAJORITY_SQL, group_aggregates: AGGREGATES_SQL, road_filters: FILTER_SQL, price_cells: PRICE_SQL,
     price_match: MATCH_SQL, bill_totals: TOTALS_SQL, stage_pivot: PIVOT_SQL, run_summary: SUMMARY_SQL, cache_keys: CACHE_SQL, geocode_cascade: GEOCODE_SQL, text_normalizers: TEXT_SQL, number_columns: NUMBER_SQL,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import geometry, numeric, projection, text
-from spanloom.operators import ducts, geocode, graph, logs, network, pricing, regions, relational, spatial
+from spanloom.operators import ducts, geocode, graph, logs, network, pricing, regions, relational, spatial, territories
 from spanloom.plans import queries
 from spanloom.sources import shared, sinks, tables
 
@@ -151,7 +151,7 @@ def test_areas_keep_their_limits(spark):
 
 def test_voronoi_cells_tile(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 0.0, 10.0)], "fid long, x double, y double")
-    ring = {r.fid: [(round(q["x"], 6), round(q["y"], 6)) for q in r.ring] for r in regions.voronoi(p, 20.0).collect()}
+    ring = {r.fid: [(round(q["x"], 6), round(q["y"], 6)) for q in r.ring] for r in territories.voronoi(p, 20.0).collect()}
     assert max(x for x, _ in ring[1]) == 5 and max(y for _, y in ring[1]) == 5 and min(x for x, _ in ring[2]) == 5
 
 
