@@ -531,10 +531,9 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEVICES_SQL = f"""devices AS (SELECT s_suppkey AS fid, s_nationkey AS town, CAST(s_nationkey * {V.TOWN} + s_suppkey * 7919 % 1009 AS DOUBLE) AS x, CAST(s_suppkey * 6151 % 1013 AS DOUBLE) AS y FROM supplier)"""
 
 
-def sides(spark: SparkSession, sf_dir: str, upward: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Left and right sidewalks (fid, line) of all roads, or of those that run upwards."""
-    r = V.roads(spark, sf_dir)
-    s = network.sidewalks(r.where(F.col("line")[0]["x"] == F.col("line")[1]["x"]) if upward else r)
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Left and right sidewalks (fid, line) of all roads."""
+    s = network.sidewalks(V.roads(spark, sf_dir))
     return tuple(s.where(F.col("side") == k).select("fid", "line") for k in "LR")
 
 
@@ -559,21 +558,21 @@ SELECT fid, side AS sidewalk, 'nearest' AS method, round(d, 3) AS dist_m, 2 AS v
 
 
 def pseudo_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Premises with a slanted line of 8 m each way against the sidewalks of the roads upwards: crossing, passing or far away."""
-    left, right = sides(spark, sf_dir, True)
+    """Premises with a slanted line of 8 m each way against all sidewalks: crossing, passing or far away."""
+    left, right = sides(spark, sf_dir)
     at = lambda d: geometry.point(F.col("x") + d, F.col("y") + d)
     h = junctions.pseudo_homes(V.premises(spark, sf_dir).select("fid", geometry.line(at(0), at(8)).alias("line")), left, right)
     return h.select("fid", "sidewalk", "method", "dist_m", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-HOMES_SQL = f"""WITH {V.PREMISES_SQL}, s AS (SELECT fid, x, y, i, side, town * 20000 + i * 100 + off AS sx FROM premises, range(11) a(i), (VALUES ('left', -3), ('right', 3)) b(side, off)),
-t AS (SELECT *, sx BETWEEN x AND x + 8 AND y <= 1000 AS boxed, y + sx - x AS cy, least(1, greatest(0, (sx - x + 1000 - y) / 16)) AS u FROM s),
-g AS (SELECT *, boxed AND cy <= 1000 AS crossed, CASE WHEN boxed AND cy <= 1000 THEN 0 ELSE least(sqrt(power(sx - x, 2) + power(greatest(y - 1000, 0), 2)), sqrt(power(sx - x - 8, 2) + power(greatest(y - 992, 0), 2)), sqrt(power(sx - x - 8 * u, 2) + power(1000 - y - 8 * u, 2))) END AS d,
-  sqrt(power(sx - x - 8, 2) + power(greatest(y - 992, 0), 2)) AS far FROM t),
+HOMES_SQL = f"""WITH {V.PREMISES_SQL}, s AS (SELECT fid, town * 20000 AS x0, v, CASE v WHEN 1 THEN x - town * 20000 ELSE y END AS p, CASE v WHEN 1 THEN y ELSE x - town * 20000 END AS q, i, side, i * 100 + off AS sx
+  FROM premises, range(11) a(i), (VALUES (1, 'left', -3), (1, 'right', 3), (0, 'left', 3), (0, 'right', -3)) b(v, side, off)),
+t AS (SELECT *, sx BETWEEN p AND p + 8 AND q <= 1000 AS boxed, q + sx - p AS cq, least(1, greatest(0, (sx - p + 1000 - q) / 16)) AS u FROM s),
+g AS (SELECT *, boxed AND cq <= 1000 AS crossed, CASE WHEN boxed AND cq <= 1000 THEN 0 ELSE least(sqrt(power(sx - p, 2) + power(greatest(q - 1000, 0), 2)), sqrt(power(sx - p - 8, 2) + power(greatest(q - 992, 0), 2)), sqrt(power(sx - p - 8 * u, 2) + power(1000 - q - 8 * u, 2))) END AS d,
+  sqrt(power(sx - p - 8, 2) + power(greatest(q - 992, 0), 2)) AS far FROM t),
 k AS (SELECT *, CASE WHEN crossed THEN 0 WHEN boxed THEN 1 ELSE 2 END AS tier FROM g WHERE boxed OR side = 'left'),
-r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY tier, CASE tier WHEN 2 THEN round(far, 9) ELSE round(d, 9) END, side, i) AS n FROM k)
-SELECT fid, side AS sidewalk, CASE WHEN tier = 0 THEN 'intersection' ELSE 'nearest' END AS method, round(d, 3) AS dist_m, round(CAST(sx AS DOUBLE), 3) AS x,
-CASE WHEN tier = 0 THEN cy ELSE least(1000, CASE WHEN tier = 1 THEN 1000 WHEN sx < x THEN y ELSE y + 8 END) END AS y FROM r WHERE n = 1"""
+r AS (SELECT *, CASE WHEN tier = 0 THEN cq ELSE least(1000, CASE WHEN tier = 1 THEN 1000 WHEN sx < p THEN q ELSE q + 8 END) END AS along, row_number() OVER (PARTITION BY fid ORDER BY tier, CASE tier WHEN 2 THEN round(far, 9) ELSE round(d, 9) END, side, v, i) AS n FROM k)
+SELECT fid, side AS sidewalk, CASE WHEN tier = 0 THEN 'intersection' ELSE 'nearest' END AS method, round(d, 3) AS dist_m, round(CAST(x0 + CASE v WHEN 1 THEN sx ELSE along END AS DOUBLE), 3) AS x, round(CAST(CASE v WHEN 1 THEN along ELSE sx END AS DOUBLE), 3) AS y FROM r WHERE n = 1"""
 
 
 def sidewalk_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
