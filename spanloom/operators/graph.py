@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,37 +78,6 @@ def shortest(near: dict[str, list[tuple[str, float]]], starts: list[tuple[str, s
     return best
 
 
-def routes(edges: DataFrame, terminals: DataFrame, by: str, own: str | None = None) -> DataFrame:
-    """Shortest paths in every independent network.
-
-    edges (by, u, v, w) and terminals (by, id, node, source boolean): each network goes to one task, and each terminal that
-    is no source gets its nearest source (ties by distance, then source id), or with own the source that this column
-    names: by, id, source, dist, path. Terminals that no source reaches are left out. Paths prefer the lower (distance, node).
-    """
-
-    def run(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[tuple[str, float]]] = {}
-        for u, v, w in zip(e["u"], e["v"], e["w"], strict=True):
-            near.setdefault(u, []).append((v, w))
-            near.setdefault(v, []).append((u, w))
-        starts, ends, out = [(str(r.id), r.node) for r in t[t["source"]].itertuples()], t[~t["source"]], []
-        jobs = [(starts, ends)] if own is None else [([s], ends[ends["own"] == s[0]]) for s in starts]
-        for begin, some in jobs:
-            best = shortest(near, begin, set(some["node"])) if len(some) else {}
-            for r in some.itertuples():
-                if r.node in best:
-                    path, at = [], r.node
-                    while at is not None:
-                        path.append(at)
-                        at = best[at][2]
-                    out.append((getattr(r, by), str(r.id), best[r.node][1], best[r.node][0], path[::-1]))
-        return pd.DataFrame(out, columns=[by, "id", "source", "dist", "path"])
-
-    kind = dict(edges.dtypes)[by]
-    named = terminals.select(by, "id", "node", "source", (F.col(own).cast("string") if own else F.lit(None).cast("string")).alias("own"))
-    return edges.select(by, "u", "v", "w").groupBy(by).cogroup(named.groupBy(by)).applyInPandas(run, f"{by} {kind}, id string, source string, dist double, path array<string>")
-
-
 def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
     """node, dist, label by rounds of relaxation as joins, for graphs of few hops: edges (u, v, w), sources (node, label)."""
     cut = checkpoints(edges)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, projection, text
-from ..operators import chains, checks, ducts, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, spatial, territories, trenches
+from ..operators import chains, checks, ducts, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, routing, spatial, territories, trenches
 from . import views as V
 from .pipeline import plan
 
@@ -282,7 +282,7 @@ def grid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = e.select("town", F.col("u").alias("node")).union(e.select("town", "v")).distinct()
     at = lambda i: F.split("node", ":")[i].cast("long")
     corner = (at(0) == F.col("town") * V.TOWN) & (at(1) == 0)
-    r = graph.routes(e, n.select("town", F.col("node").alias("id"), "node", corner.alias("source")), "town")
+    r = routing.routes(e, n.select("town", F.col("node").alias("id"), "node", corner.alias("source")), "town", span=300.0)
     return r.select("town", F.col("id").alias("node"), F.round("dist", 3).alias("dist"), F.size("path").alias("hops"))
 
 
@@ -296,7 +296,7 @@ def nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.split("node", ":")[i].cast("long")
     first, second = (at(0) == F.col("town") * V.TOWN) & (at(1) == 0), (at(0) == F.col("town") * V.TOWN + 1000) & (at(1) == 800)
     t = n.select("town", F.when(first, "A").when(second, "B").otherwise(F.col("node")).alias("id"), "node", (first | second).alias("source"))
-    return graph.routes(e, t, "town").select("town", F.col("id").alias("node"), "source", F.round("dist", 3).alias("dist"))
+    return routing.routes(e, t, "town", span=300.0).select("town", F.col("id").alias("node"), "source", F.round("dist", 3).alias("dist"))
 
 
 SOURCE_SQL = """WITH g AS (SELECT CAST(n_nationkey AS BIGINT) AS town, n_nationkey * 20000 + i * 100 AS x, i, j FROM nation, range(11) a(i), range(11) b(j)), d AS (SELECT *, i + j AS da, (10 - i) + abs(8 - j) AS db FROM g)
@@ -708,7 +708,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.split("node", ":")[i].cast("long")
     centre = (at(0) == F.col("town") * V.TOWN + 500) & (at(1) == 500)
     t = n.select("town", F.col("node").alias("id"), "node", centre.alias("source"))
-    return graph.routes(e, t, "town")
+    return routing.routes(e, t, "town")
 
 
 def feeder_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
