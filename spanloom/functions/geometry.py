@@ -192,3 +192,13 @@ def approach(a: Column, b: Column) -> Column:
         return F.when(at.isNotNull(), place(F.lit(0.0), at)).otherwise(ends)
 
     return F.array_min(F.flatten(F.transform(steps(a), lambda s: F.transform(steps(b), lambda t: pair(s, t)))))
+
+
+def surface_point(rings: Column) -> Column:
+    """A place inside a polygon: the middle of its widest stretch half-way up its first ring; null without one."""
+    box, edges = bounds(rings[0]), F.flatten(F.transform(rings, steps))
+    y = (box["ymin"] + box["ymax"]) / 2
+    over = F.filter(edges, lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
+    xs = F.array_sort(F.transform(over, lambda s: s["a"]["x"] + (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"])))
+    wide = F.transform(F.sequence(F.lit(0), F.size(xs) - 2, F.lit(2)), lambda i: F.struct((F.get(xs, i + 1) - F.get(xs, i)).alias("w"), ((F.get(xs, i + 1) + F.get(xs, i)) / 2).alias("x")))
+    return F.when(F.size(xs) > 1, F.struct(F.array_max(wide)["x"].alias("x"), y.alias("y")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, centroid, covers, crossing, edge_distance, foot, polygon_distance, segments_meet, steps
+from ..functions.geometry import bounds, centroid, covers, crossing, edge_distance, foot, polygon_distance, segments_meet, steps, surface_point
 from ..functions.numeric import cell
 
 
@@ -200,12 +200,12 @@ def meeting(lines: DataFrame, others: DataFrame, size: float) -> DataFrame:
 
 def reference_points(polygons: DataFrame, points: DataFrame, size: float, reach: float = 5.0) -> DataFrame:
     """poly, x, y: the points that a polygon (poly, rings) covers or that lie within reach of it; of a polygon without any its
-    centroid and the vertices of its first ring."""
+    centroid, a place on its surface and the vertices of its first ring."""
     q = box_cells(polygons.select("poly", "rings"), bounds(F.flatten("rings")), size, reach)
     near = own_cell(points.select("x", "y"), F.col("x"), F.col("y"), size).join(q, ["cx", "cy"])
     near = near.where(polygon_distance(F.col("rings"), F.col("x"), F.col("y")) <= reach).select("poly", "x", "y")
     ring = F.col("rings")[0]
-    bare = polygons.join(near.select("poly").distinct(), "poly", "left_anti").select("poly", F.explode(F.concat(F.array(centroid(ring)), F.slice(ring, 1, F.size(ring) - 1))).alias("p"))
+    bare = polygons.join(near.select("poly").distinct(), "poly", "left_anti").select("poly", F.explode(F.concat(F.array(centroid(ring), F.coalesce(surface_point(F.col("rings")), centroid(ring))), F.slice(ring, 1, F.size(ring) - 1))).alias("p"))
     return near.unionByName(bare.select("poly", "p.x", "p.y"))
 
 

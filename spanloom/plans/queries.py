@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, projection, text
-from ..operators import chains, checks, ducts, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, routing, spatial, territories, trenches
+from ..operators import chains, checks, ducts, faces, geocode, graph, junctions, logs, network, overlay, pricing, regions, relational, routing, spatial, territories, trenches
 from . import views as V
 from .pipeline import plan
 
@@ -497,8 +497,8 @@ def polygon_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFERENCES_SQL = f"""WITH {V.PREMISES_SQL}, {V.QUARTERS_SQL}, h AS (SELECT poly, x, y FROM quarters JOIN premises ON power(greatest(x0 - x, x - x0 - 500, 0), 2) + power(greatest(y0 - y, y - y0 - 500, 0), 2) <= 25)
-SELECT poly, count(*) AS points, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM h GROUP BY poly UNION ALL SELECT poly, 5, CAST(x0 + 250 AS DOUBLE), CAST(y0 + 250 AS DOUBLE) FROM quarters WHERE poly NOT IN (SELECT poly FROM h)
-UNION ALL SELECT 'LOT' || n_nationkey, 5, CAST(n_nationkey * 20000 + 5050 AS DOUBLE), CAST(5020 AS DOUBLE) FROM nation"""
+SELECT poly, count(*) AS points, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM h GROUP BY poly UNION ALL SELECT poly, 6, CAST(x0 + 250 AS DOUBLE), CAST(y0 + 250 AS DOUBLE) FROM quarters WHERE poly NOT IN (SELECT poly FROM h)
+UNION ALL SELECT 'LOT' || n_nationkey, 6, CAST(n_nationkey * 20000 + 5050 AS DOUBLE), CAST(5020 AS DOUBLE) FROM nation"""
 
 
 def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -671,6 +671,19 @@ def region_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("area", "hh", "buildings", "review", "density", F.col("plan.label").alias("label"))
 
 
+def enclosed_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces that the roads of every town and a slanted road across it enclose, by area."""
+    r = V.roads(spark, sf_dir).select("fid", "town", "line")
+    at = lambda d: geometry.point(F.col("town") * V.TOWN + d, F.lit(d))
+    across = r.select("town").distinct().select((-1 - F.col("town")).alias("fid"), "town", geometry.line(at(-50), at(1050)).alias("line"))
+    f = faces.polygonised(r.unionByName(across), 100.0)
+    west = F.array_min(F.transform(F.col("rings")[0], lambda p: p["x"]))
+    return f.groupBy(F.floor((west + 1) / V.TOWN).alias("town"), F.round("area_m2", 2).alias("area_m2")).agg(F.count("*").alias("n"), F.sum(F.size("rings")).alias("rings"))
+
+
+FACES_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS town, area_m2, n, n AS rings FROM nation, (VALUES (10000.0::DOUBLE, 90::BIGINT), (5000.0::DOUBLE, 20::BIGINT)) a(area_m2, n)"
+
+
 def covered_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarters as areas of their premises: polygons from cells, hulls and the roads between, grown until they cover all; buildings and homes in
     all, members outside their polygon, and square metres that two polygons share."""
@@ -759,7 +772,7 @@ def merged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("chain", "n", "closed", F.round("length", 4).alias("length"), F.array_join(F.array_sort("fids"), ",").alias("fids"))
 
 
-MERGED_SQL = f"""WITH RECURSIVE {V.LINKS_SQL}, e AS (SELECT fid, 0 AS e, ax AS x, ay AS y FROM links UNION ALL SELECT fid, 1, bx, by_ FROM links),
+CHAINS_SQL = f"""WITH RECURSIVE {V.LINKS_SQL}, e AS (SELECT fid, 0 AS e, ax AS x, ay AS y FROM links UNION ALL SELECT fid, 1, bx, by_ FROM links),
 n AS (SELECT x, y, min({{'f': fid, 'e': e}}) AS p, max({{'f': fid, 'e': e}}) AS q FROM e GROUP BY 1, 2 HAVING count(*) = 2), l AS (SELECT p.f AS a, q.f AS b FROM n UNION ALL SELECT q.f, p.f FROM n),
 r AS (SELECT fid AS a, fid AS b FROM links UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a AS fid, min(b) AS chain FROM r GROUP BY a), k AS (SELECT a, count(*) AS ends FROM l GROUP BY a)
 SELECT chain, count(*) AS n, sum(coalesce(ends, 0)) = 2 * count(*) AS closed, round(sum(sqrt(power(bx - ax, 2) + power(by_ - ay, 2))), 4) AS length, string_agg(CAST(links.fid AS VARCHAR), ',' ORDER BY links.fid) AS fids
@@ -824,7 +837,7 @@ SELECT fid, round(sum((lo - reached) * sqrt(power(bx - ax, 2) + power(by_ - ay,
 
 
 SQL = {
-    crossed_lanes: CROSSED_SQL, merged_links: MERGED_SQL, carved_lots: lots_sql("NOT built"), built_lots: lots_sql("built"), lanes_past_crossings: PAST_SQL, trimmed_lanes: TRIMMED_SQL, covered_quarters: COVERED_SQL,
+    crossed_lanes: CROSSED_SQL, merged_links: CHAINS_SQL, carved_lots: lots_sql("NOT built"), built_lots: lots_sql("built"), lanes_past_crossings: PAST_SQL, trimmed_lanes: TRIMMED_SQL, covered_quarters: COVERED_SQL, enclosed_faces: FACES_SQL,
     service_summary: SERVICE_SQL, splitter_plan: SPLITTER_SQL, address_ids: ADDRESS_SQL, neighbour_counts: NEIGHBOUR_SQL, road_access: ACCESS_SQL, nearest_road: NEAREST_SQL, points_in_areas: AREAS_SQL,
     object_links: LINKS_SQL, intersection_centres: CENTRES_SQL, barrier_free: BARRIER_SQL, majority_segment: MAJORITY_SQL, group_aggregates: AGGREGATES_SQL, road_filters: FILTER_SQL, price_cells: PRICE_SQL,
     price_match: MATCH_SQL, bill_totals: TOTALS_SQL, stage_pivot: PIVOT_SQL, run_summary: SUMMARY_SQL, cache_keys: CACHE_SQL, geocode_cascade: GEOCODE_SQL, text_normalizers: TEXT_SQL, number_columns: NUMBER_SQL,
