@@ -359,7 +359,8 @@ def near_vectors(df: DataFrame, floor: float = 0.95, id_col: str = "vec_id", vec
     Equal vectors are searched for once and counted as often as they occur. Null, empty, zero and non-finite vectors link
     with nothing; vectors of each length are compared among themselves. Lengths of at most SAMPLE_ROWS vectors, but for the
     most frequent one, are compared without a graph.
-    Repeated rows count as vectors of their own. Other columns are ignored.
+    Repeated rows count as vectors of their own. A row without an id links with nothing, whatever its vector, has no component and is
+    kept. Other columns are ignored.
     """
     given = df.select(F.col(f"`{vector_col}`").alias("v"))
     v = F.col(f"`{vector_col}`").cast("array<float>" if kind_of(given) == "array<float>" else "array<double>")
@@ -379,5 +380,6 @@ def near_vectors(df: DataFrame, floor: float = 0.95, id_col: str = "vec_id", vec
     named = distinct.join(found, "id", "left").join(comps, distinct["id"] == comps["node"], "left")
     named = materialize(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     out = rows.join(named, "v", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

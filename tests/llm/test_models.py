@@ -41,6 +41,13 @@ def test_embeddings_match_brute_force(spark):
     assert [tuple(r)[:3] for r in near_embeddings.near_vectors(spark.createDataFrame(close, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()] == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3)]
 
 
+def test_rows_without_an_id_link_with_nothing(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (6, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None)]
+    got = sorted(map(str, near_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    want = [(None, 0, None, True)] * 3 + [(1, 1, 1, True), (6, 1, 1, False)]
+    assert got == sorted(f"Row(vec_id={a}, n_links={b}, component_id={c}, kept={d})" for a, b, c, d in want)
+
+
 def test_blocks_of_one_shard_find_the_same(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.eye(8)[i % 2] + rng.normal(scale=0.01, size=8)]) for i in range(60)]
