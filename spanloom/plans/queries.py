@@ -724,6 +724,20 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.routes(e, t, "town")
 
 
+ASSIGNMENT_SQL = f"""WITH RECURSIVE {V.PREMISES_SQL}, {V.QUARTERS_SQL}, h AS (SELECT fid, x, y, hh, max(seq) AS area FROM premises JOIN quarters ON x BETWEEN x0 AND x0 + 500 AND y BETWEEN y0 AND y0 + 500 GROUP BY 1, 2, 3, 4),
+c AS (SELECT area, area // 4 AS town, avg(x) AS cx, avg(y) AS cy, CAST(sum(hh) AS INTEGER) AS hh FROM h GROUP BY 1), k AS (SELECT (n_nationkey * 22 + v * 11 + i) || '_' || n AS cand, CAST(n_nationkey * 20000 + CASE v WHEN 0 THEN n * 30 ELSE i * 100 END AS DOUBLE) AS x, CAST(CASE v WHEN 0 THEN i * 100 ELSE n * 30 END AS DOUBLE) AS y
+  FROM nation, range(11) a(i), range(2) b(v), range(34) d(n) WHERE least(n * 30 % 100, 100 - n * 30 % 100) >= 20),
+s AS (SELECT c.area, cand, k.x, k.y, sum(CAST(round(sqrt(power(h.x - k.x, 2) + power(h.y - k.y, 2)), 6) AS DECIMAL(20, 6))) AS total
+FROM c JOIN k ON sqrt(power(cx - k.x, 2) + power(cy - k.y, 2)) <= 150 JOIN h ON h.area = c.area GROUP BY 1, 2, 3, 4), o AS (SELECT town, area, row_number() OVER (PARTITION BY town ORDER BY area) AS n FROM c),
+w AS (SELECT area, list({{'cand': cand, 'x': x, 'y': y}} ORDER BY total, cand) AS wishes FROM s GROUP BY area),
+r AS (SELECT DISTINCT town, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS area, CAST(NULL AS STRUCT(cand VARCHAR, x DOUBLE, y DOUBLE)) AS pick FROM o
+  UNION ALL SELECT q.town, q.n, list_append(q.used, q.pick.cand), q.area, q.pick FROM (SELECT o.town, o.n, r.used, o.area, list_filter(wishes, lambda z: NOT list_contains(r.used, z.cand))[1] AS pick FROM r JOIN o ON o.town = r.town AND o.n = r.n + 1 LEFT JOIN w ON w.area = o.area) q),
+hhs AS (SELECT DISTINCT hh FROM c), {PLAN_SQL}
+SELECT r.area, 'PDP' || lpad(CAST(row_number() OVER (ORDER BY r.area) AS VARCHAR), 5, '0') AS "PDP_ID", pick.cand AS cand, round(coalesce(pick.x, cx), 3) AS x, round(coalesce(pick.y, cy), 3) AS y, CAST(c.hh AS BIGINT) AS hh, label
+FROM r JOIN c ON c.area = r.area LEFT JOIN plan ON plan.hh = c.hh"""
+
+
+
 def feeder_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = routed(spark, sf_dir)
     paths = r.select(F.col("town").cast("string").alias("mfg_id"), "id", F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.concat_ws(">", a, b)).alias("path")).withColumn("lengths", F.transform("path", lambda _: F.lit(100.0)))
@@ -846,7 +860,7 @@ SQL = {
     nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
     used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL, supply_point: SUPPLY_SQL, pdp_projections: PROJECTIONS_SQL, pseudo_homes: HOMES_SQL, sidewalk_bridges: BRIDGES_SQL,
     virtual_nodes: VIRTUAL_SQL, merged_feeders: MERGED_SQL, clear_lines: CLEAR_OF_SQL, growth_report: REPORT_SQL, network_registry: REGISTRY_SQL, trench_ids: TRENCH_IDS_SQL,
-    region_growth: None, pdp_assignment: None, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
+    region_growth: None, pdp_assignment: ASSIGNMENT_SQL, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
 }
 QUERIES = {f.__name__: f for f in SQL}
 ORACLES = {f.__name__: s for f, s in SQL.items() if s}
