@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import approach, at_distance, foot, length, line, line_crossings, point, running_length, step_length, steps
+from ..functions.geometry import approach, at_distance, densified, foot, length, line, line_crossings, point, running_length, step_length, steps
 from .network import gardens
 from .relational import global_rank
-from .spatial import box_pairs, ever_nearest, segments
+from .spatial import box_pairs, ever_nearest, near_cells, own_cell, segments
 
 
 def node_text(x: Column, y: Column, eps: float) -> Column:
@@ -77,6 +77,18 @@ def bridges(left: DataFrame, right: DataFrame, eps: float = 0.05, size: float =
     return p.groupBy(node_text(F.col("p.x"), F.col("p.y"), eps).alias("node")).agg(F.min(F.struct("p.x", "p.y")).alias("p")).select("node", "p.x", "p.y")
 
 
+def spokes(left: DataFrame, right: DataFrame, step: float = 2.0, eps: float = 0.05, size: float = 200.0) -> DataFrame:
+    """node, side (L, R), other, w: edges that tie every node of bridges() to the nearest node of the left and of the right sidewalks
+    (fid, line) cut every step; ties go to the least name. A node that is one already needs no edge."""
+    at = bridges(left, right, eps, size)
+    each = lambda df, side: df.select(F.lit(side).alias("side"), F.explode(densified(F.col("line"), step)).alias("p"))
+    ends = each(left, "L").unionByName(each(right, "R")).select("side", F.col("p.x").alias("ox"), F.col("p.y").alias("oy")).distinct()
+    d = F.round(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")), 9)
+    near = near_cells(at, F.col("x"), F.col("y"), step).join(own_cell(ends, F.col("ox"), F.col("oy"), step), ["cx", "cy"]).withColumn("w", d).where(F.col("w") <= step)
+    best = near.groupBy("node", "side").agg(F.min(F.struct("w", node_text(F.col("ox"), F.col("oy"), eps).alias("other"))).alias("s"))
+    return best.select("node", "side", "s.other", "s.w").where("other != node")
+
+
 def virtual_nodes(points: DataFrame, lines: DataFrame, tolerance: float = 1.5, step: float = 0.5, end: float = 0.25, size: float = 100.0) -> DataFrame:
     """fid, road, node, along, broken: the node of each point (fid, x, y) on the nearest line (fid, line).
 

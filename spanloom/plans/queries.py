@@ -584,6 +584,17 @@ BRIDGES_SQL = """WITH p AS (SELECT n_nationkey * 20000 + j * 100 + 3 AS x, i * 1
 UNION ALL SELECT n_nationkey * 20000 + j * 100 - 3, i * 100 - 3 FROM nation, range(1, 11) a(i), range(1, 11) b(j)) SELECT CAST(x * 20 AS VARCHAR) || ':' || CAST(y * 20 AS VARCHAR) AS node, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM p"""
 
 
+def bridge_spokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties of the crossings of left and right sidewalks to the nodes of both, cut every 5 m."""
+    left, right = sides(spark, sf_dir)
+    return junctions.spokes(left, right, 5.0)
+
+
+SPOKES_SQL = """WITH p AS (SELECT n_nationkey * 20000 + j * 100 + 3 AS x, i * 100 + 3 AS y, 2 AS d, 'L' AS flat FROM nation, range(10) a(i), range(10) b(j)
+  UNION ALL SELECT n_nationkey * 20000 + j * 100 - 3, i * 100 - 3, -2, 'R' FROM nation, range(1, 11) a(i), range(1, 11) b(j)), s AS (SELECT *, unnest(['L', 'R']) AS side FROM p)
+SELECT (x * 20) || ':' || (y * 20) AS node, side, ((x + CASE WHEN side = flat THEN d ELSE 0 END) * 20) || ':' || ((y + CASE WHEN side = flat THEN 0 ELSE d END) * 20) AS other, 2.0::DOUBLE AS w FROM s"""
+
+
 def virtual_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Premises within 9 m of a road on their graph nodes."""
     v = junctions.virtual_nodes(V.premises(spark, sf_dir), V.roads(spark, sf_dir).select("fid", "line"))
@@ -858,7 +869,7 @@ SQL = {
     link_overlap: OVERLAP_SQL, extent_guess: GUESS_SQL, grid_distances: GRID_SQL, nearest_source: SOURCE_SQL, healed_edges: HEAL_SQL, candidate_scores: SCORES_SQL, garden_trenches: GARDEN_SQL,
     distribution_rollup: ROLLUP_SQL, distribution_cables: CABLE_SQL, central_nodes: CENTRAL_SQL, clear_candidates: CLEAR_SQL, duplicate_ids: DUPLICATE_SQL,
     nearest_order: NEAREST_ORDER_SQL, key_union: KEY_UNION_SQL, premise_spacing: SPACING_SQL, layer_lengths: LENGTHS_SQL, cluster_order: CLUSTER_SQL, stray_premises: STRAY_SQL, tangents: TANGENT_SQL,
-    used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL, supply_point: SUPPLY_SQL, pdp_projections: PROJECTIONS_SQL, pseudo_homes: HOMES_SQL, sidewalk_bridges: BRIDGES_SQL,
+    used_crossings: USED_SQL, polygon_references: REFERENCES_SQL, candidate_pools: POOLS_SQL, supply_point: SUPPLY_SQL, pdp_projections: PROJECTIONS_SQL, pseudo_homes: HOMES_SQL, sidewalk_bridges: BRIDGES_SQL, bridge_spokes: SPOKES_SQL,
     virtual_nodes: VIRTUAL_SQL, merged_feeders: MERGED_SQL, clear_lines: CLEAR_OF_SQL, growth_report: REPORT_SQL, network_registry: REGISTRY_SQL, trench_ids: TRENCH_IDS_SQL,
     region_growth: None, pdp_assignment: ASSIGNMENT_SQL, feeder_bundles: None, distribution_bundles: None, plan_layers: None,
 }
