@@ -68,10 +68,10 @@ def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 
 def crossing(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     """The single point shared by segments a-b and c-d, null if there is none or they are parallel."""
-    den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+    den = F.nullif((bx - ax) * (dy - cy) - (by - ay) * (dx - cx), F.lit(0.0))
     t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
     u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-    inside = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    inside = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
     return F.when(inside, F.struct((ax + t * (bx - ax)).alias("x"), (ay + t * (by - ay)).alias("y")))
 
 
