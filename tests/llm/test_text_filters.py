@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -65,10 +66,28 @@ def test_shards_balance_and_number(spark):
         slots[r.shard].append(r.slot)
     assert len(got) == 3001 and sorted(bytes_of) == list(range(40))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(bytes_of.values()) - min(bytes_of.values()) <= 8 * 317
+    assert max(bytes_of.values()) - min(bytes_of.values()) <= 0.02 * sum(bytes_of.values()) / 40
     assert sharding.kd_shards(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).count() == 0
 
 
+def test_the_boundary_of_a_cut_comes_near_the_goal():
+    rng, off = random.Random(4), []
+    for _ in range(200):
+        weights = {k: rng.randint(1, 60) for k in range(rng.randint(1, 10))}
+        goal = rng.randint(0, sum(weights.values()))
+        sums = {sum(w for k, w in weights.items() if m >> k & 1) for m in range(2 ** len(weights))}
+        taken = sharding.filled(weights, goal)
+        missed = abs(sum(weights[k] for k in taken) - goal)
+        best = min(abs(x - goal) for x in sums)
+        assert best <= missed <= max(weights.values()) / 2
+        off.append(missed - best)
+        first, last, before = sharding.boundary(sorted(weights.items()), goal, 40)
+        assert before == sum(w for k, w in weights.items() if k < first)
+        inside = sum(w for k, w in weights.items() if first <= k <= last)
+        assert before <= goal <= before + inside and (inside >= 40 or inside == sum(weights.values()))
+    assert sum(off) / len(off) < 3
+
+
 def test_shards_of_wide_ids_equal_texts_and_a_huge_row(spark):
     rows = [(-(2**63), "low"), (2**63 - 1, "high"), (0, "x" * 400_000), (None, None)] + [(i, f"text {i // 3} " * 20) for i in range(1, 901)] + [(1000 + i, "hot " * 30) for i in range(600)]
     got = sharding.kd_shards(spark.createDataFrame([(i, t, "s", "k", "k") for i, t in rows], "doc_id long, text string, source string, lead string, text_hash string")).collect()
