@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -88,6 +89,7 @@ def simhash_groups(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 TABLES_AT_ONCE, STAR_TABLES = 13, 3  # what near_copies() shuffles at once; tables that find the dense groups first
 SMALL, LEAF = 64, 50_000  # members of a ball that are compared along with other balls; rows of a bucket that are expanded at once
+BUCKET = 400_000  # rows of a bucket that one task takes; larger ones are split
 
 
 def tuned(width: int, similarity: float, recall: float) -> int:
@@ -218,17 +220,13 @@ def met_pairs(lead: DataFrame, names: list[str], tables: range, width: int, pref
     """(a, b) documents of different labels that meet in a ball of these tables.
 
     A fingerprint goes to the buckets of its one-bit variants, by their first `prefix` bits; the variants themselves are made
-    in the bucket. With star, a document is paired with the least one of its balls only, and the pairs' long fingerprints
+    in the bucket; large buckets are split by dealt(). With star, a document is paired with the least one of its balls only, and the pairs' long fingerprints
     differ in `most` bits at most. Else all members of a ball are compared in the bucket by a sketch of 128 other bits that may
     differ in `most`, and what comes out are not the pairs, but links that join up the same documents.
     """
-    one = F.lit(1).cast("long")
     sketch = [F.col(n).alias(f"s{i}") for i, n in enumerate(names[-2:])]
-    cut = lead.select("lead", "label", *sketch, F.posexplode(F.array(*[short(names, t * width, width) for t in tables])).alias("table", "fp"))
-    head = F.shiftrightunsigned("fp", width - prefix)
-    buckets = F.concat(F.array(head), F.transform(F.sequence(F.lit(0), F.lit(prefix - 1)), lambda i: head.bitwiseXOR(F.call_function("shiftleft", one, i))))
-    sent = cut.select("lead", "label", "table", "fp", *(() if star else ("s0", "s1")), F.explode(buckets).alias("bucket"))
-    met = sent.groupBy("table", "bucket").applyInPandas(ball_members(width, prefix, most, star), "a long, b long").distinct()
+    cut = lead.select("lead", "label", *(() if star else sketch), F.posexplode(F.array(*[short(names, t * width, width) for t in tables])).alias("table", "fp"))
+    met = dealt(cut, width, prefix, star).groupBy("table", "bucket", "bits", "x", "y").applyInPandas(ball_members(width, most, star), "a long, b long").distinct()
     if not star:
         return met
     left, right = (lead.select(F.col("lead").alias(c), F.struct(*names).alias(f"f{c}")) for c in "ab")
@@ -236,6 +234,47 @@ def met_pairs(lead: DataFrame, names: list[str], tables: range, width: int, pref
     return met.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
 
 
+def deeper(rows: DataFrame, width: int, bits: int, more: int) -> DataFrame:
+    """Rows (table, bucket, fp, ...) of buckets of `bits` bits in those of `more` bits more: in the one of their next bits and, if their
+    first bits are the bucket's, in the ones of the one-bit variants of these."""
+    one = F.lit(1).cast("long")
+    own = F.shiftrightunsigned("fp", width - bits) == F.col("bucket")
+    first = F.shiftleft("bucket", more).bitwiseOR(F.shiftrightunsigned("fp", width - bits - more).bitwiseAND(F.lit((1 << more) - 1).cast("long")))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(more - 1)), lambda i: first.bitwiseXOR(F.call_function("shiftleft", one, i)))
+    rest = [c for c in rows.columns if c != "bucket"]
+    return rows.select(*rest, F.explode(F.concat(F.array(first), F.when(own, flips).otherwise(F.array().cast("array<long>")))).alias("bucket"))
+
+
+def dealt(cut: DataFrame, width: int, prefix: int, star: bool, step: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
+    """The fingerprints (table, fp, ...) in the groups (table, bucket, bits, x, y) that a task compares.
+
+    A bucket is a prefix of `bits` bits. Buckets are counted, and those of over BUCKET rows go on with longer prefixes. What is
+    too large as a ball of the whole width, such as a template's, is dealt to parts by the hash of the document, and each two
+    parts (x, y) are a group, so all members still meet; with star each part is a group of its own.
+    """
+    done, bits, more, rows = [], 0, prefix, cut.withColumn("bucket", F.lit(0).cast("long"))
+    while True:
+        top = F.shiftleft(F.shiftrightunsigned("fp", width - bits - more), width - bits - more).alias("fp")
+        heads = rows.groupBy("table", "bucket", top).agg(F.count("*").alias("n"))
+        sizes = deeper(heads, width, bits, more).groupBy("table", "bucket").agg(F.sum("n").alias("n"))
+        large = materialize(sizes.where(F.col("n") > BUCKET))
+        sent, bits = deeper(rows, width, bits, more), bits + more
+        group = (F.lit(bits).alias("bits"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+        if not (hot := large.count()):
+            return reduce(DataFrame.unionByName, done, sent.select("*", *group))
+        large = F.broadcast(large) if hot <= broadcast_rows else large
+        done.append(sent.join(large, ["table", "bucket"], "left_anti").select("*", *group))
+        rows, more = sent.join(large, ["table", "bucket"]).select(*sent.columns, "n"), min(step, width - bits)
+        if bits == width:
+            break
+        rows = rows.drop("n")
+    parts = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("lead"), parts).cast("int")
+    pairs = F.array(F.struct(own.alias("x"), own.alias("y"))) if star else F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y")))
+    split = rows.withColumn("at", F.explode(pairs)).select(*[c for c in rows.columns if c != "n"], F.lit(bits).alias("bits"), "at.x", "at.y")
+    return reduce(DataFrame.unionByName, done, split)
+
+
 def alike(sketch: np.ndarray, labels: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of x and y, all with all, of different labels and with sketches (rows of longs) that differ in `most` bits at most."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -249,8 +288,8 @@ def alike(sketch: np.ndarray, labels: np.ndarray, x: np.ndarray, y: np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def ball_members(width: int, prefix: int, most: int, star: bool):
-    """Pairs (a, b) for met_pairs(), from one bucket of a table."""
+def ball_members(width: int, most: int, star: bool):
+    """Pairs (a, b) for met_pairs(), from one group of dealt()."""
 
     def leaf(fp, who, value, low):
         """Variants below a prefix of the fingerprints that have it, and of those that differ from it in one bit."""
@@ -274,7 +313,7 @@ def ball_members(width: int, prefix: int, most: int, star: bool):
         ids, labels = ids[order], labels[order]
         sketch = None if star else frame[["s0", "s1"]].to_numpy()[order].view(np.uint64)
         pairs = [np.empty((0, 2), np.int64)]
-        for v, who, own in leaves(frame["fp"].to_numpy()[order], np.arange(len(ids)), int(frame["bucket"].iloc[0]), width - prefix):
+        for v, who, own in leaves(frame["fp"].to_numpy()[order], np.arange(len(ids)), int(frame["bucket"].iloc[0]), width - int(frame["bits"].iloc[0])):
             at = np.argsort(v, kind="stable")
             v, who, own = v[at], who[at], own[at]
             edge = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.empty(0, np.int64)

@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanloom.llm import simhash
@@ -65,7 +67,9 @@ def test_near_copies_at_the_required_similarity_are_found(spark):
     assert all(keep == i // 2 * 2 for i, keep in got.items()) and len(got) >= 2 * 0.99 * 600
 
 
-def test_near_copies_in_a_template_and_in_large_balls(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [400_000, 60])
+def test_near_copies_in_a_template_and_in_large_balls(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     monkeypatch.setattr(simhash, "SMALL", 2)
     monkeypatch.setattr(simhash, "LEAF", 40)
     rng = random.Random(14)
@@ -89,6 +93,27 @@ def test_near_copies_in_a_template_and_in_large_balls(spark, monkeypatch):
     assert len(got) >= 0.98 * len(docs) and all(got[i] == want[i] for i in got)
 
 
+@pytest.mark.parametrize("most", [400_000, 30, 5])
+def test_split_buckets_bring_the_same_pairs_together(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BUCKET", most)
+    rng = random.Random(15)
+    fps = [rng.getrandbits(26) for _ in range(40)] + [123_456_789 >> 1] * 50
+    fps += [f ^ (1 << rng.randrange(26)) ^ (1 << rng.randrange(26)) for f in fps]
+    cut = spark.createDataFrame([(i, f, 0) for i, f in enumerate(fps)], "lead long, fp long, table int")
+    groups = simhash.dealt(cut, 26, 4, False)
+    sizes = groups.groupBy("table", "bucket", "bits", "x", "y").count()
+    got = set()
+    for r in groups.groupBy("bucket", "bits", "x", "y").agg(F.collect_list(F.struct("lead", "fp")).alias("m")).collect():
+        low = 26 - r.bits
+        for x in r.m:  # as one-bit variants below the prefix
+            for y in r.m:
+                mine = {v for v in [x.fp, *(x.fp ^ 1 << i for i in range(26))] if v >> low == r.bucket}
+                if mine & {v for v in [y.fp, *(y.fp ^ 1 << i for i in range(26))] if v >> low == r.bucket}:
+                    got.add((x.lead, y.lead))
+    assert got == {(i, j) for i, f in enumerate(fps) for j, g in enumerate(fps) if (f ^ g).bit_count() <= 2}
+    assert most > 30 or sizes.agg(F.max("count")).first()[0] <= 3 * most  # parts are dealt by hash
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     rows = [(None, "some words without an id", "en", "a", None, "x"), (1, None, None, None, None, "x"), (1, None, None, None, None, "x"), (2, "", "", "", 0, "x"), (3, "w " * 40_000, "en", "a", 80_000, "x")]
     for docs in (rows, []):
