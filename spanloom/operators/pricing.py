@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import price
+from ..sources.shared import stored
 
 # What marks a header row, and what names a column role (the first that fits counts).
 HEADER = ["einheit", "unit", "preis", "ep", "amount", "position", "pos", "bezeichnung", "beschreibung"]
@@ -66,7 +67,8 @@ def matched(items: DataFrame, prices: DataFrame, code_map: DataFrame | None = No
     A mapped code with an empty or equal unit wins. Else all rows that hold every hint (item, hint) are candidates; if no row
     does, those that hold the first two words of four letters or more. Of candidates the first with the item's unit, or
     else the first. Items without hints, or with nothing to look for, have every row as candidate, so they are answered
-    from the first row of each unit. Texts are looked up once per distinct item, by the rarest of their trigrams.
+    from the first row of each unit. Texts are looked up once per distinct item, by the rarest of their trigrams, in the distinct
+    texts of the prices; what an item and a unit get is stored before the items are joined with it.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     p = prices.select("row", "code", F.lower("desc").alias("d"), low("unit").alias("u"), "unit_price")
@@ -76,18 +78,21 @@ def matched(items: DataFrame, prices: DataFrame, code_map: DataFrame | None = No
     words = F.slice(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) >= 4), 1, 2)
     names = names.withColumn("hints", F.array_remove("hints", "")).withColumn("hints", F.when(F.size("hints") > 0, F.col("hints")))
     hinted = names.where("hints IS NOT NULL")
-    by_hint = holding(hinted.withColumn("needles", F.col("hints")), p)
-    pick = lambda rows: rows.groupBy("name", "u").agg(F.min_by(F.struct("row", "code", "unit_price"), "row").alias("first"))
+    firsts = stored(p.groupBy("d", "u").agg(F.min_by(F.struct("row", "code", "unit_price"), "row").alias("first")))
+    texts = firsts.groupBy("d").agg(F.min("first.row").alias("row"))
+    by_hint = holding(hinted.withColumn("needles", F.col("hints")), texts)
+    pick = lambda held: stored(held.select("name", "d").join(firsts, "d").groupBy("name", "u").agg(F.min_by("first", F.col("first.row")).alias("first")))
     found = pick(by_hint)
     rest = hinted.join(found.select("name").distinct(), "name", "left_anti").withColumn("needles", words)
-    by_word = pick(holding(rest.where(F.size("needles") > 0), p))
+    by_word = pick(holding(rest.where(F.size("needles") > 0), texts))
     names = names.join(rest.where(F.size("needles") == 0).select("name", F.lit(True).alias("any")), "name", "left")  # nothing to look for: any row does
     special = found.unionByName(by_word)
-    anyone = p.groupBy("u").agg(F.min_by(F.struct("row", "code", "unit_price"), "row").alias("first"))
-    it = items.withColumn("_name", F.trim("item")).withColumn("_unit", low("unit")).join(names.select(F.col("name").alias("_name"), (F.col("hints").isNotNull() & F.col("any").isNull()).alias("_hinted")), "_name")
+    anyone = firsts.groupBy("u").agg(F.min_by("first", F.col("first.row")).alias("first"))
+    it = items.withColumn("_name", F.trim("item")).withColumn("_unit", low("unit"))
+    asked = it.select("_name", "_unit").distinct().join(names.select(F.col("name").alias("_name"), (F.col("hints").isNotNull() & F.col("any").isNull()).alias("_hinted")), "_name")
     first_any = anyone.agg(F.min_by("first", F.col("first.row")).alias("any_first"))
     first_special = special.groupBy(F.col("name").alias("_name")).agg(F.min_by("first", F.col("first.row")).alias("name_first"))
-    out = it.join(anyone.select(F.col("u").alias("_unit"), F.col("first").alias("unit_first")), "_unit", "left").join(F.broadcast(first_any))  # one row
+    out = asked.join(anyone.select(F.col("u").alias("_unit"), F.col("first").alias("unit_first")), "_unit", "left").join(F.broadcast(first_any))  # one row
     out = out.join(special.select(F.col("name").alias("_name"), F.col("u").alias("_unit"), F.col("first").alias("both_first")), ["_name", "_unit"], "left").join(first_special, "_name", "left")
     same = F.col("_unit") != ""
     hit = F.when(F.col("_hinted"), F.coalesce(F.when(same, F.col("both_first")), F.col("name_first"))).otherwise(F.coalesce(F.when(same, F.col("unit_first")), F.col("any_first")))
@@ -96,7 +101,8 @@ def matched(items: DataFrame, prices: DataFrame, code_map: DataFrame | None = No
         by_code = prices.where(F.trim("code") != "").groupBy(F.trim("code").alias("_code")).agg(F.max_by(F.struct("row", "code", "unit_price", low("unit").alias("u")), "row").alias("coded"))
         out = out.join(mapped, "_name", "left").join(by_code, "_code", "left")
         hit = F.when((F.col("coded.u") == "") | (F.col("coded.u") == F.col("_unit")), F.struct(F.col("coded.row").alias("row"), F.col("coded.code").alias("code"), F.col("coded.unit_price").alias("unit_price"))).otherwise(hit)
-    return out.withColumn("_hit", hit).select(*items.columns, F.col("_hit.code").alias("code"), F.col("_hit.unit_price").alias("unit_price"), F.round(F.col("quantity") * F.col("_hit.unit_price"), 2).alias("amount"))
+    told = stored(out.select("_name", "_unit", hit.alias("_hit")))
+    return it.join(told, ["_name", "_unit"]).select(*items.columns, F.col("_hit.code").alias("code"), F.col("_hit.unit_price").alias("unit_price"), F.round(F.col("quantity") * F.col("_hit.unit_price"), 2).alias("amount"))
 
 
 def section_order(c: Column) -> Column:

@@ -244,3 +244,14 @@ def test_a_cluster_needs_a_shared_folder(spark):
     Context.master = "local[4]"
     assert os.path.isdir(shared.shared_folder(Session()))
     assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_prices_of_equal_text_are_looked_up_once(spark, monkeypatch):
+    items = spark.createDataFrame([(i, name, unit, 2.0) for i, (name, unit) in enumerate([("Duct 50", "m"), ("Duct 50", "x"), (None, "m")])], "item_id int, item string, unit string, quantity double")
+    prices = spark.createDataFrame([(9 - i, f"c{9 - i}", "Duct blue" if i < 8 else "Cable", "m" if i % 2 else "St", float(i)) for i in range(10)], "row int, code string, desc string, unit string, unit_price double")
+    hints = spark.createDataFrame([("Duct 50", "duct")], "item string, hint string")
+    seen, holding = [], pricing.holding
+    monkeypatch.setattr(pricing, "holding", lambda names, texts: seen.append(texts.count()) or holding(names, texts))
+    got = {r.item_id: (r.code, r.amount) for r in pricing.matched(items, prices, None, hints).collect()}
+    assert got == {0: ("c2", 14.0), 1: ("c2", 14.0)}
+    assert max(seen) == 2
