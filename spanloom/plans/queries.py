@@ -54,9 +54,7 @@ SELECT c_custkey, addr_id FROM c WHERE addr_id IS NOT NULL UNION ALL SELECT c_cu
 
 
 def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.premises(spark, sf_dir)
-    n = spatial.neighbour_pairs(p, 60.0)
-    return n.groupBy("fid").agg(F.count("*").alias("neighbours"), F.min("d2").alias("nearest_d2"), F.sum("other").alias("other_sum"))
+    return spatial.neighbour_sums(V.premises(spark, sf_dir), 60.0)
 
 
 NEIGHBOUR_SQL = f"""WITH {V.PREMISES_SQL} SELECT a.fid, count(*) AS neighbours, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS nearest_d2, CAST(sum(b.fid) AS BIGINT) AS other_sum

@@ -255,3 +255,36 @@ def test_prices_of_equal_text_are_looked_up_once(spark, monkeypatch):
     got = {r.item_id: (r.code, r.amount) for r in pricing.matched(items, prices, None, hints).collect()}
     assert got == {0: ("c2", 14.0), 1: ("c2", 14.0)}
     assert max(seen) == 2
+
+
+def scattered(n=300):
+    """Places on a grid of 0.25, with copies and exact distances, and some far off it."""
+    from random import Random
+
+    r = Random(5)
+    near = [(i, r.randrange(-60, 60) / 4, r.randrange(-60, 60) / 4) for i in range(n)]
+    return near + [(n + i, r.uniform(-40, 40), r.uniform(-40, 40)) for i in range(n // 3)] + [(2 * n, 0.1, 500.0)]
+
+
+def test_neighbour_sums_form_no_pairs(spark, monkeypatch):
+    spots = scattered()
+    monkeypatch.setattr(spatial, "neighbour_pairs", None)
+    got = {tuple(r) for r in spatial.neighbour_sums(spark.createDataFrame(spots, "fid long, x double, y double"), 2.5).collect()}
+    want = set()
+    for i, x, y in spots:
+        near = [(d2, j) for j, a, b in spots if j != i and (d2 := (x - a) * (x - a) + (y - b) * (y - b)) <= 6.25]
+        if near:
+            want.add((i, len(near), min(near)[0], sum(j for _, j in near)))
+    assert got == want
+
+
+def test_typical_spacing_looks_no_farther_than_it_must(spark, monkeypatch):
+    from statistics import median
+
+    spots = [(i, "far" if y > 100 else "ab"[i % 2], x, y) for i, x, y in scattered()]
+    monkeypatch.setattr(spatial, "neighbour_pairs", None)
+    got = {r.area: r.spacing for r in spatial.typical_spacing(spark.createDataFrame(spots, "fid long, area string, x double, y double"), 9.0, 5).collect()}
+    all_d = defaultdict(list)
+    for _, area, x, y in spots:
+        all_d[area] += sorted(d for _, _, a, b in spots if 0 < (d := math.sqrt((x - a) * (x - a) + (y - b) * (y - b))) <= 9.0)[:5]
+    assert got == {area: pytest.approx(median(all_d[area]) if all_d[area] else 1.0) for area in ("a", "b", "far")}
