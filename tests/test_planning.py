@@ -288,3 +288,22 @@ def test_typical_spacing_looks_no_farther_than_it_must(spark, monkeypatch):
     for _, area, x, y in spots:
         all_d[area] += sorted(d for _, _, a, b in spots if 0 < (d := math.sqrt((x - a) * (x - a) + (y - b) * (y - b))) <= 9.0)[:5]
     assert got == {area: pytest.approx(median(all_d[area]) if all_d[area] else 1.0) for area in ("a", "b", "far")}
+
+
+def test_pools_of_small_polygons_meet_few_candidates(spark):
+    """A thin polygon in a dense place: what is joined before the exact tests is near its box, not all of a wide cell."""
+    spots = spark.range(2500).selectExpr("id AS cand", "CAST(id % 50 * 2 AS DOUBLE) AS x", "CAST(id DIV 50 * 2 AS DOUBLE) AS y")
+    ring = "array(array(named_struct('x', {0}, 'y', {1}), named_struct('x', {2}, 'y', {1}), named_struct('x', {2}, 'y', {3}), named_struct('x', {0}, 'y', {3}), named_struct('x', {0}, 'y', {1})))"
+    polys = spark.sql("SELECT 'thin' AS poly, " + ring.format("11D", "11D", "15D", "15D") + " AS rings UNION ALL SELECT 'strip', " + ring.format("19D", "51D", "90D", "55D") + " UNION ALL SELECT 'wide', " + ring.format("-5D", "-5D", "200D", "200D"))
+    tested, covers = [], spatial.covers
+    got = defaultdict(set)
+    spatial.covers = lambda rings, x, y: tested.append((rings, x, y)) or covers(rings, x, y)
+    try:
+        for r in spatial.candidate_pool(polys, spots, 100.0).collect():
+            got[r.poly].add((r.cand, r.tier))
+    finally:
+        spatial.covers = covers
+    places = [(i, i % 50 * 2.0, i // 50 * 2.0) for i in range(2500)]
+    assert got["thin"] == {(i, 1) for i, x, y in places if math.hypot(x - 13, y - 13) <= 10}
+    assert got["strip"] == {(i, 1) for i, x, y in places if math.hypot(x - 54.5, y - 53) <= 10}
+    assert got["wide"] == {(i, 0) for i, _, _ in places}
