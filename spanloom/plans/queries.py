@@ -111,11 +111,8 @@ CENTRES_SQL = f"""WITH {V.ROADS_SQL} SELECT v.ax AS x, h.ay AS y, count(*) AS pa
 
 def barrier_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.premises(spark, sf_dir).select("fid", "x", "y")
-    pairs = spatial.neighbour_pairs(p, 50.0).where("fid < other")
-    a, b = p.select("fid", F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("fid").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    full = pairs.join(a, "fid").join(b, "other").select(F.col("fid").alias("a"), F.col("other").alias("b"), "ax", "ay", "bx", "by")
     r = V.roads(spark, sf_dir).where(relational.restricted(F.col("fclass")))
-    return spatial.barred(full, spatial.segments(r.select("fid", "line"), "fid"), 50.0).select("a", "b")
+    return spatial.free_pairs(p, spatial.segments(r.select("fid", "line"), "fid"), 50.0)
 
 
 BARRIER_SQL = f"""WITH {V.PREMISES_SQL}, {V.ROADS_SQL}, p2 AS (SELECT a.fid AS a, b.fid AS b, a.town, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM premises a JOIN premises b ON a.town = b.town AND a.fid < b.fid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500)

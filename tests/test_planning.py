@@ -307,3 +307,21 @@ def test_pools_of_small_polygons_meet_few_candidates(spark):
     assert got["thin"] == {(i, 1) for i, x, y in places if math.hypot(x - 13, y - 13) <= 10}
     assert got["strip"] == {(i, 1) for i, x, y in places if math.hypot(x - 54.5, y - 53) <= 10}
     assert got["wide"] == {(i, 0) for i, _, _ in places}
+
+
+def test_free_pairs_are_judged_where_they_are_formed(spark):
+    spots = scattered(120)
+    walls = [(0.0, -20.0, 0.0, 20.0), (-30.0, 3.3, 30.0, 3.3), (5.0, 5.0, 5.0, 5.0)]
+    got = {tuple(r) for r in spatial.free_pairs(spark.createDataFrame(spots, "fid long, x double, y double"), spark.createDataFrame(walls, "ax double, ay double, bx double, by double"), 4.0).collect()}
+    side = lambda v: (v > 0) - (v < 0)
+    cut = lambda p, q, at: side(p - at) * side(q - at) <= 0
+
+    def barred(x1, y1, x2, y2):
+        up = cut(x1, x2, 0.0) and (abs(y1) <= 20 or abs(y2) <= 20)
+        return up or cut(y1, y2, 3.3) and min(abs(x1), abs(x2)) <= 30 or (x1, y1) == (5.0, 5.0) or (x2, y2) == (5.0, 5.0)
+
+    clear = [s for s in spots if abs(s[1]) < 15 and abs(s[2]) < 15]
+    ids = {s[0] for s in clear}
+    want = {(i, j) for i, a, b in clear for j, c, d in clear if i < j and (a - c) * (a - c) + (b - d) * (b - d) <= 16 and not barred(a, b, c, d)}
+    through = {(i, j) for i, a, b in clear for j, c, d in clear if (a - 5) * (d - 5) == (b - 5) * (c - 5) and (a - 5) * (c - 5) <= 0 and (b - 5) * (d - 5) <= 0}
+    assert {p for p in got if p[0] in ids and p[1] in ids} == want - through
