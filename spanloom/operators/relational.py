@@ -156,7 +156,14 @@ def global_rank(df: DataFrame, order: str, name: str, groups: int = 256) -> Data
     part = F.lit(0)
     if cuts:
         lits = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in c.asDict().items()]) if isinstance(c, Row) else F.lit(c) for c in cuts])
-        part = F.size(F.filter(lits, lambda b: b <= F.col(order)))
+        # bounds in two steps: every 16th first, then those between two of them
+        passed = lambda cs: F.size(F.filter(cs, lambda b: b <= F.col(order)))
+        part = passed(lits)
+        if len(cuts) >= 16:
+            jump = passed(F.array(*[F.element_at(lits, i) for i in range(16, len(cuts) + 1, 16)])) * 16
+            part = jump + passed(F.slice(lits, jump + 1, F.lit(16)))
+        # few files may hold many rows: they are dealt out before they are compared
+        df = df.repartition(groups, F.xxhash64(order))
     df = df.withColumn("_part", part)
     sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))
     ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

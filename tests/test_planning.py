@@ -325,3 +325,11 @@ def test_free_pairs_are_judged_where_they_are_formed(spark):
     want = {(i, j) for i, a, b in clear for j, c, d in clear if i < j and (a - c) * (a - c) + (b - d) * (b - d) <= 16 and not barred(a, b, c, d)}
     through = {(i, j) for i, a, b in clear for j, c, d in clear if (a - 5) * (d - 5) == (b - 5) * (c - 5) and (a - 5) * (c - 5) <= 0 and (b - 5) * (d - 5) <= 0}
     assert {p for p in got if p[0] in ids and p[1] in ids} == want - through
+
+
+def test_global_rank_deals_one_file_out_before_it_compares(spark):
+    df = spark.range(2000).selectExpr("id", "named_struct('s', CAST(id * 7919 % 37 AS STRING), 't', -id) AS o").coalesce(1)
+    ranked = relational.global_rank(df, "o", "rank")
+    want = {i: n for n, (_, _, i) in enumerate(sorted((str(i * 7919 % 37), -i, i) for i in range(2000)), 1)}
+    assert {r.id: r.rank for r in ranked.collect()} == want
+    assert "REPARTITION_BY_NUM" in ranked._jdf.queryExecution().toString()
