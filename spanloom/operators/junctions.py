@@ -130,11 +130,22 @@ def merged_feeders(feeders: DataFrame, connectors: DataFrame, points: DataFrame)
 
 
 def clear_of(lines: DataFrame, buildings: DataFrame, margin: float = 0.3, size: float = 50.0) -> DataFrame:
-    """Lines (fid, line) that keep more than `margin` from every building (poly, rings); a line inside a building does not."""
-    from ..functions.geometry import covers
+    """Lines (fid, line) that keep more than `margin` from every building (poly, rings); a line inside a building does not.
 
-    rings = buildings.select(F.col("poly").alias("other"), "rings", F.flatten("rings").alias("other_line"))
-    start = F.col("line")[0]
+    Lines that start inside a building are found in cells first, without pairs; only the others are measured against the buildings near them.
+    """
+    from ..functions.geometry import covers
+    from .celled import inside_of
+    from .graph import checkpoints
+    from .overlay import polygon_edges
+
+    cut = checkpoints(lines)
+    own = cut(lines.select("fid", "line").withColumn("pid", F.monotonically_increasing_id()))
+    shapes = cut(buildings.where("rings IS NOT NULL").select("rings").withColumn("poly", F.monotonically_increasing_id()))
+    start = F.get(F.col("line"), 0)
+    starts = own.select("pid", F.lit(0).alias("side"), start["x"].alias("x"), start["y"].alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    held = cut(inside_of(starts, polygon_edges(shapes, ["poly", F.lit("b").alias("role")]), [], size, "b").select("pid"))
+    rings = shapes.select(F.col("poly").alias("other"), "rings", F.flatten("rings").alias("other_line"))
     gap = F.array_min(F.transform(F.col("rings"), lambda r: approach(F.col("line"), r)["d"]))
-    hit = box_pairs(lines.select("fid", "line"), rings, size, margin).where((gap <= margin) | covers(F.col("rings"), start["x"], start["y"])).select("fid").distinct()
-    return lines.join(hit, "fid", "left_anti")
+    hit = box_pairs(own.join(held, "pid", "left_anti").select("fid", "line"), rings, size, margin).where((gap <= margin) | covers(F.col("rings"), start["x"], start["y"])).select("fid")
+    return lines.join(hit.unionByName(own.join(held, "pid").select("fid")).distinct(), "fid", "left_anti")
